@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelode.plans import session_reports  # noqa: F401
+from tracelode.plans import conversation_plans, session_reports  # noqa: F401
 from tracelode.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -116,3 +116,91 @@ requests AS (
     event_type || ' ' || props AS last_user_message, k, event_id, user_id, value
   FROM base)
 """
+
+
+# --- conversations -----------------------------------------------------------------------------
+
+# Openings put before user texts, by (conv_id * 3 + turn) % 8, so that every text rule is met.
+USER_OPENINGS = (
+    "<task>\nexplain how does it work </task> ",
+    "[read_file for a.py] Result: ",
+    "do not explain, please fix packages/core/app.py ",
+    "same thing above ",
+    "",
+    "add tests for ProviderFactory and load_settings ",
+    "<task> find </task> and <task>refactor plan</task> ",
+    "for that never ",
+)
+TOOL_ARGUMENTS = '{"path": "x.py"}'
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with openings on user texts, and tool calls in every second conversation.
+
+    Every sixth conversation reuses one call id for all its calls.
+    """
+    source = table(spark, sf_dir, "conversations")
+    conv, turn, role = F.col("conv_id"), F.col("turn"), F.col("role")
+    opening = F.get(
+        F.array(*[F.lit(o) for o in USER_OPENINGS]), ((conv * 3 + turn) % 8).cast("int")
+    )
+    called = (role == "assistant") & (turn % 4 == 1) & (conv % 2 == 0)
+    answers = (role == "user") & (turn % 4 == 2) & (conv % 2 == 0)
+
+    def call_id(at):
+        return F.when(conv % 6 == 0, "c").otherwise(F.concat(F.lit("c"), at.cast("string")))
+
+    call = F.struct(
+        call_id(turn).alias("id"),
+        F.struct(F.lit("read_file").alias("name"), F.lit(TOOL_ARGUMENTS).alias("arguments")).alias(
+            "function"
+        ),
+    )
+    return source.select(
+        "conv_id",
+        "turn",
+        F.when(answers, "tool").otherwise(role).alias("role"),
+        F.when(role == "user", F.concat(opening, "text")).otherwise(F.col("text")).alias("content"),
+        F.lit(None).cast("array<struct<type:string,text:string>>").alias("content_parts"),
+        F.when(role == "assistant", "helper").alias("name"),
+        F.lit(None).cast("string").alias("reasoning_content"),
+        F.when(called, F.array(call)).alias("tool_calls"),
+        F.when(answers, call_id(turn - 1)).alias("tool_call_id"),
+    )
+
+
+def sent_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as ranked symbols offered per conversation (user) and turn (day)."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("conv_id"),
+        F.dayofyear("ts").cast("bigint").alias("turn"),
+        (F.col("event_id") % 5 + 1).alias("rank"),
+        F.concat(F.lit("s"), (k % 20).cast("string")).alias("symbol"),
+    )
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_OPENINGS_SQL = " ".join(
+    f"WHEN {i} THEN {_sql_text(opening)}" for i, opening in enumerate(USER_OPENINGS)
+)
+MESSAGES_SQL = f"""
+messages AS (
+  SELECT conv_id, turn,
+    CASE WHEN role = 'user' AND turn % 4 = 2 AND conv_id % 2 = 0 THEN 'tool' ELSE role END AS role,
+    CASE WHEN role = 'user' THEN CASE (conv_id * 3 + turn) % 8 {_OPENINGS_SQL} END || text
+      ELSE text END AS content,
+    CASE WHEN role = 'assistant' THEN 'helper' END AS name,
+    CASE WHEN role = 'assistant' AND turn % 4 = 1 AND conv_id % 2 = 0
+      THEN CASE WHEN conv_id % 6 = 0 THEN 'c' ELSE 'c' || turn END END AS call_id,
+    CASE WHEN role = 'user' AND turn % 4 = 2 AND conv_id % 2 = 0
+      THEN CASE WHEN conv_id % 6 = 0 THEN 'c' ELSE 'c' || (turn - 1) END END AS tool_call_id
+  FROM conversations)
+"""
+SENT_SQL = """
+sent AS (SELECT user_id AS conv_id, dayofyear(ts) AS turn, event_id % 5 + 1 AS rank,
+  's' || (CAST(props::JSON->>'$.k' AS BIGINT) % 20) AS symbol FROM events)
+"""
