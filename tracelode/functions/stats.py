@@ -22,8 +22,18 @@ def rounded(column: Column, digits: int = 6) -> Column:
     return F.round(column.cast("double"), digits)
 
 
-def median_of(name: str) -> str:
-    return f"{name}_median"
+def round_half_even(column: Column, digits: int) -> Column:
+    """Round a double in [0, 1] by its exact binary value, ties to even.
+
+    `bround` works on the shortest decimal text of a double and takes 0.475, stored as slightly
+    less, for a tie. Scaled by 2^60 the double is a whole number, so the comparison is exact.
+    """
+    unit = F.lit(2**60).cast("decimal(38,0)")
+    whole = (column * F.lit(float(2**60))).cast("bigint").cast("decimal(20,0)") * F.lit(10**digits)
+    rest = whole % unit
+    down = ((whole - rest) / unit).cast("bigint")
+    up = (rest * 2 > unit) | ((rest * 2 == unit) & (down % 2 == 1))
+    return (down + F.when(up, 1).otherwise(0)) / F.lit(float(10**digits))
 
 
 def distribution(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.session import cut_lineage
@@ -25,3 +27,426 @@ def spread_minimum(links: DataFrame) -> DataFrame:
         labels = spread
         if changed.isEmpty():
             return labels
+
+
+ROUNDS_PER_CUT = 3
+
+
+def transitive_reach(
+    seeds: DataFrame, edges: DataFrame, depth: int = -1, incoming: bool = False
+) -> DataFrame:
+    """Nodes within `depth` steps of each seed (-1: any number), the seed itself left out.
+
+    Input: seeds(seed), edges(source, target). Output: (seed, node, distance), distance being the
+    shortest. All seeds move one step per round; nodes already seen leave the frontier.
+    """
+    ends = ("target", "source") if incoming else ("source", "target")
+    arcs = edges.select(F.col(ends[0]).alias("node"), F.col(ends[1]).alias("next")).distinct()
+    start = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("distance")).distinct()
+    seen = frontier = cut_lineage(start)
+    step = 0
+    while depth < 0 or step < depth:
+        step += 1
+        reached = (
+            frontier.join(arcs, "node")
+            .select("seed", F.col("next").alias("node"))
+            .distinct()
+            .join(seen, ["seed", "node"], "left_anti")
+            .withColumn("distance", F.lit(step))
+        )
+        frontier = cut_lineage(reached)
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+        if step % ROUNDS_PER_CUT == 0:
+            seen = cut_lineage(seen)
+    return seen.where(F.col("distance") > 0)
+
+
+# Order in which edge types win a tie of distance, and the reason each stands for.
+IMPACT_REASONS = (
+    ("calls", "out", "CALLEE"),
+    ("calls", "in", "CALLER"),
+    ("imports", "out", "IMPORT"),
+    ("imports", "in", "IMPORT"),
+    ("inherits", "out", "INHERITANCE"),
+    ("inherits", "in", "INHERITANCE"),
+    ("defines", "out", "DEPENDENCY"),
+    ("defines", "in", "DEPENDENCY"),
+)
+
+
+def impact(roots: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
+    """Symbols a change touches: shortest distance and reason per change.
+
+    Input: roots(change_id, root, root_order), edges(source, target, type). Each edge type is
+    walked in each direction on its own, never mixed; a symbol keeps its nearest reason, ties going
+    to the earlier root, then edge type, then outgoing before incoming. Output: (change_id, symbol,
+    distance, reason).
+    """
+    if depth != -1 and depth < 1:
+        raise ValueError("depth must be at least 1, or -1 for unlimited")
+    known = edges.where(F.col("type").isin([kind for kind, _, _ in IMPACT_REASONS]))
+    lane = F.coalesce(
+        *[
+            F.when((F.col("type") == kind) & (F.col("direction") == way), F.lit(i))
+            for i, (kind, way, _) in enumerate(IMPACT_REASONS)
+        ]
+    )
+    both = F.array(
+        F.struct(
+            F.col("source").alias("node"), F.col("target").alias("next"), F.lit("out").alias("direction")
+        ),
+        F.struct(
+            F.col("target").alias("node"), F.col("source").alias("next"), F.lit("in").alias("direction")
+        ),
+    )
+    arcs = known.select("type", F.inline(both)).select("node", "next", lane.alias("lane")).distinct()
+    walk = ["change_id", "root", "root_order", "lane"]
+    frontier = roots.select("change_id", "root", "root_order", F.col("root").alias("node"))
+    reached = None
+    step = 0
+    while depth < 0 or step < depth:
+        step += 1
+        keys = ["node"] if step == 1 else ["node", "lane"]
+        moved = (
+            frontier.join(arcs, keys)
+            .select(*walk, F.col("next").alias("node"))
+            .where(F.col("node") != F.col("root"))
+            .distinct()
+        )
+        if reached is not None:
+            moved = moved.join(reached, [*walk, "node"], "left_anti")
+        frontier = moved.withColumn("distance", F.lit(step))
+        if step >= 2 and step != depth:
+            frontier = cut_lineage(frontier)
+            if frontier.isEmpty():
+                break
+        reached = frontier if reached is None else reached.unionByName(frontier)
+        if step % ROUNDS_PER_CUT == 0 and step != depth:
+            reached = cut_lineage(reached)
+        frontier = frontier.drop("distance")
+    nearest = reached.groupBy("change_id", F.col("node").alias("symbol")).agg(
+        F.min(F.struct("distance", "root_order", "lane")).alias("best")
+    )
+    reasons = F.array(*[F.lit(reason) for _, _, reason in IMPACT_REASONS])
+    return nearest.select(
+        "change_id",
+        "symbol",
+        F.col("best.distance").alias("distance"),
+        F.get(reasons, F.col("best.lane")).alias("reason"),
+    )
+
+
+def impacted_tests(
+    roots: DataFrame, impacted: DataFrame, edges: DataFrame, symbols: DataFrame
+) -> DataFrame:
+    """(change_id, module): test modules at either end of an edge that touches the change."""
+    from tracelode.operators.graph import is_test_path
+
+    scope = impacted.select("change_id", F.col("symbol").alias("node"))
+    scope = scope.union(roots.select("change_id", "root")).distinct()
+    tests = (
+        symbols.where(is_test_path(F.col("module")))
+        .select(F.explode(F.array("qualified_name", "name")).alias("node"), "module")
+        .distinct()
+    )
+    inside = scope.join(tests, "node").select("change_id", "module", "node")
+    ends = edges.select("source").union(edges.select("target")).distinct()
+    inside = inside.join(ends.withColumnRenamed("source", "node"), "node", "left_semi")
+    pairs = edges.select(
+        F.inline(
+            F.array(
+                F.struct(F.col("source").alias("node"), F.col("target").alias("other")),
+                F.struct(F.col("target").alias("node"), F.col("source").alias("other")),
+            )
+        )
+    ).distinct()
+    beside = pairs.join(tests.withColumnRenamed("node", "other"), "other")
+    beside = beside.select("node", "module").distinct()
+    across = scope.join(beside, "node").select("change_id", "module")
+    return inside.select("change_id", "module").union(across).distinct()
+
+
+def impact_report(roots: DataFrame, impacted: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Per change: impacted symbols and modules, the furthest distance, and the confidence."""
+    owner = symbols.groupBy(F.col("qualified_name").alias("symbol")).agg(F.min("module").alias("module"))
+    per_change = impacted.groupBy("change_id").agg(
+        F.count(F.lit(1)).alias("impacted_symbols"), F.max("distance").alias("max_distance")
+    )
+    modules = (
+        impacted.join(owner, "symbol")
+        .select("change_id", "module")
+        .distinct()
+        .groupBy("change_id")
+        .agg(F.count(F.lit(1)).alias("impacted_modules"))
+    )
+    report = (
+        roots.select("change_id")
+        .distinct()
+        .join(per_change, "change_id", "left")
+        .join(modules, "change_id", "left")
+        .na.fill(0)
+    )
+    base = F.when(F.col("max_distance") <= 1, 1.0).when(F.col("max_distance") == 2, 0.8).otherwise(0.6)
+    confidence = base / (1 + (F.col("impacted_symbols") - 1) * 0.1)
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence))
+    return report.withColumn(
+        "confidence", F.when(F.col("impacted_symbols") == 0, 0.0).otherwise(F.round(clamped, 6))
+    )
+
+
+def top_module_impact(
+    modules: DataFrame, symbols: DataFrame, edges: DataFrame, module_limit: int = 3, limit: int = 5
+) -> DataFrame:
+    """Joint impact of the first symbols of the most connected modules."""
+    from tracelode.operators.graph import coupling
+
+    total = (F.col("dependency_count") + F.col("dependent_count")).alias("total")
+    top = coupling(modules, symbols, edges).select("module", total)
+    top = top.orderBy(F.desc("total"), "module").limit(module_limit)
+    picked = (
+        symbols.join(F.broadcast(top), "module")
+        .orderBy(F.desc("total"), "module", "load_order")
+        .limit(limit)
+    )
+    roots = picked.select(
+        F.lit(0).alias("change_id"), F.col("qualified_name").alias("root"), F.lit(0).alias("root_order")
+    )
+    report = impact_report(roots, impact(roots, edges), symbols)
+    return report.select("impacted_symbols", "max_distance", "confidence")
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Component of every node over undirected edges, named by its smallest node.
+
+    Alternating large-star and small-star rounds: every edge is re-hung on the smallest node known
+    nearby, so the number of rounds grows with the logarithm of the diameter and no star is ever
+    formed by listing pairs.
+    """
+    links = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a <> b")
+    links = cut_lineage(
+        links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    )
+    while True:
+        both = links.union(links.select("b", "a"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        large = (
+            both.join(low, "a")
+            .where(F.col("b") > F.col("a"))
+            .select(F.col("b").alias("a"), F.col("low").alias("b"))
+            .distinct()
+        )
+        under = large.groupBy("a").agg(F.min("b").alias("low"))
+        small = (
+            large.join(under, "a")
+            .select(
+                F.inline(
+                    F.array(
+                        F.struct(F.col("a"), F.col("low").alias("b")),
+                        F.struct(F.col("b").alias("a"), F.col("low").alias("b")),
+                    )
+                )
+            )
+            .where(F.col("a") != F.col("b"))
+            .distinct()
+        )
+        small = cut_lineage(small)
+        settled = small.join(links, ["a", "b"], "left_anti").isEmpty() and links.join(
+            small, ["a", "b"], "left_anti"
+        ).isEmpty()
+        links = small
+        if settled:
+            break
+    every = nodes.select("node").union(edges.select("source")).union(edges.select("target")).distinct()
+    named = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return every.join(named, "node", "left").select(
+        "node", F.coalesce("component", "node").alias("component")
+    )
+
+
+def _spread(state: DataFrame, arcs: DataFrame, better: Callable[[str], Column]) -> DataFrame:
+    """Relax `state(node, value)` along `arcs(node, next)` until nothing changes.
+
+    `better` is the aggregate that picks a node's value from its own and the offered ones. Several
+    hops are planned per materialised round.
+    """
+    kind = state.schema["value"].dataType
+    state = cut_lineage(state)
+    while True:
+        current = state.select("node", "value", F.col("value").alias("was"))
+        for _ in range(ROUNDS_PER_CUT):
+            offers = current.join(arcs, "node").select(F.col("next").alias("node"), "value")
+            pool = current.unionByName(offers.withColumn("was", F.lit(None).cast(kind)))
+            current = pool.groupBy("node").agg(
+                better("value").alias("value"), F.max("was").alias("was")
+            )
+        state = cut_lineage(current.where(F.col("was").isNotNull()))
+        if state.where(F.col("value") != F.col("was")).isEmpty():
+            return state.select("node", "value")
+
+
+def dependency_cycles(edges: DataFrame) -> DataFrame:
+    """Groups of two or more nodes that all reach each other: (cycle_id, node), on directed edges.
+
+    Nodes with no way in or no way out cannot be on a cycle and are peeled first. Then every node
+    takes the smallest node that reaches it, and each group keeps the members that also reach back.
+    """
+    arcs = edges.select("source", "target").where("source <> target").distinct()
+    arcs = cut_lineage(arcs)
+    found = None
+    while not arcs.isEmpty():
+        arcs = _peel(arcs)
+        if arcs.isEmpty():
+            break
+        nodes = arcs.select(F.col("source").alias("node")).union(arcs.select("target")).distinct()
+        forward = arcs.select(F.col("source").alias("node"), F.col("target").alias("next"))
+        colour = _spread(nodes.withColumn("value", F.col("node")), forward, F.min)
+        colour = colour.withColumnRenamed("value", "colour")
+        back = (
+            arcs.join(colour.select(F.col("node").alias("source"), F.col("colour").alias("cs")), "source")
+            .join(colour.select(F.col("node").alias("target"), F.col("colour").alias("ct")), "target")
+            .where(F.col("cs") == F.col("ct"))
+            .select(F.col("target").alias("node"), F.col("source").alias("next"))
+        )
+        back = cut_lineage(back)
+        start = colour.select(
+            "node",
+            F.when(F.col("node") == F.col("colour"), 1).otherwise(0).cast("bigint").alias("value"),
+        )
+        reaching = _spread(start, back, F.max).where(F.col("value") == 1).select("node")
+        group = cut_lineage(colour.join(reaching, "node", "left_semi"))
+        found = group if found is None else found.unionByName(group)
+        rest = arcs.join(group.select(F.col("node").alias("source")), "source", "left_anti")
+        arcs = cut_lineage(
+            rest.join(group.select(F.col("node").alias("target")), "target", "left_anti")
+        )
+    if found is None:
+        return edges.select(F.col("source").alias("cycle_id"), F.col("source").alias("node")).limit(0)
+    sizes = found.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return found.join(sizes, "colour", "left_semi").select(F.col("colour").alias("cycle_id"), "node")
+
+
+def _peel(arcs: DataFrame) -> DataFrame:
+    """Drop arcs at nodes without a way in or without a way out, again and again."""
+    before = arcs.count()
+    while True:
+        for _ in range(ROUNDS_PER_CUT):
+            out = arcs.select(F.col("source").alias("target"))
+            into = arcs.select(F.col("target").alias("source"))
+            arcs = arcs.join(out.distinct(), "target", "left_semi")
+            arcs = arcs.join(into.distinct(), "source", "left_semi").select("source", "target")
+        arcs = cut_lineage(arcs)
+        after = arcs.count()
+        if after == before:
+            return arcs
+        before = after
+
+
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
+    """(node): every node on a cycle, a node that calls itself included."""
+    loops = edges.where("source = target").select(F.col("source").alias("node"))
+    return dependency_cycles(edges).select("node").union(loops).distinct()
+
+
+def call_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Longest call chain over the part of the graph that has no cycles, and what was left out."""
+    on_cycle = cyclic_nodes(edges)
+    acyclic = edges.join(on_cycle.withColumnRenamed("node", "source"), "source", "left_anti")
+    acyclic = acyclic.join(on_cycle.withColumnRenamed("node", "target"), "target", "left_anti")
+    levels = longest_levels(nodes, acyclic)
+    cyclic = on_cycle.agg(F.count(F.lit(1))).scalar()
+    return levels.agg(
+        F.coalesce(F.max("level"), F.lit(0)).cast("bigint").alias("maximum_call_depth")
+    ).select("maximum_call_depth", cyclic.alias("cyclic_nodes"))
+
+
+def longest_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, level): edges on the longest way from a source node. The graph must be acyclic."""
+    arcs = cut_lineage(
+        edges.select(F.col("source").alias("node"), F.col("target").alias("next")).distinct()
+    )
+    every = nodes.select("node").union(arcs.select("node")).union(arcs.select("next")).distinct()
+    state = cut_lineage(every.select("node", F.lit(0).cast("bigint").alias("value")))
+    while True:
+        current = state.select("node", "value", F.col("value").alias("was"))
+        for _ in range(ROUNDS_PER_CUT):
+            offers = current.join(arcs, "node").select(
+                F.col("next").alias("node"), (F.col("value") + 1).alias("value")
+            )
+            pool = current.unionByName(offers.withColumn("was", F.lit(None).cast("bigint")))
+            current = pool.groupBy("node").agg(F.max("value").alias("value"), F.max("was").alias("was"))
+        state = cut_lineage(current)
+        if state.where(F.col("value") != F.col("was")).isEmpty():
+            return state.select("node", F.col("value").alias("level"))
+
+
+def dag_layers(nodes: DataFrame, deps: DataFrame) -> DataFrame:
+    """(node, layer): execution layer of every node that is not on or behind a cycle.
+
+    Input: nodes(node), deps(node, depends_on) with both ends known. Layer 0 has no dependencies; a
+    node enters the layer after its last dependency. What never gets a layer is cyclic or waits for
+    a cycle.
+    """
+    waiting = cut_lineage(deps.select("node", "depends_on").distinct())
+    todo = cut_lineage(nodes.select("node").distinct())
+    placed = None
+    layer = 0
+    while True:
+        ready = todo.join(waiting.select("node").distinct(), "node", "left_anti")
+        ready = cut_lineage(ready.withColumn("layer", F.lit(layer)))
+        if ready.isEmpty():
+            break
+        placed = ready if placed is None else placed.unionByName(ready)
+        done = ready.select(F.col("node").alias("depends_on"))
+        waiting = waiting.join(done, "depends_on", "left_anti").select("node", "depends_on")
+        todo = todo.join(ready, "node", "left_anti")
+        layer += 1
+        if layer % ROUNDS_PER_CUT == 0:
+            waiting, todo = cut_lineage(waiting), cut_lineage(todo)
+    return placed if placed is not None else nodes.select("node", F.lit(0).alias("layer")).limit(0)
+
+
+def dag_checks(nodes: DataFrame, deps: DataFrame) -> DataFrame:
+    """Problems of a dependency graph as (problem, node).
+
+    Input: nodes(node) with possible repeats, deps(node, depends_on).
+    """
+    repeated = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    known = nodes.select("node").distinct()
+    listed = known.withColumnRenamed("node", "depends_on")
+    missing = deps.join(listed, "depends_on", "left_anti").select("node").distinct()
+    inside = deps.join(listed, "depends_on", "left_semi").select("node", "depends_on").distinct()
+    layers = dag_layers(known, inside)
+    stuck = known.join(layers, "node", "left_anti")
+    arcs = inside.select(F.col("depends_on").alias("source"), F.col("node").alias("target"))
+    cyclic = cyclic_nodes(arcs)
+    roots = known.join(deps.select("node").distinct(), "node", "left_anti")
+    reach = _reached_from(roots, arcs)
+    unreachable = known.join(reach, "node", "left_anti")
+
+    def problem(name: str, rows: DataFrame) -> DataFrame:
+        return rows.select(F.lit(name).alias("problem"), "node")
+
+    return (
+        problem("duplicate", repeated)
+        .unionByName(problem("unknown dependency", missing))
+        .unionByName(problem("cyclic", cyclic))
+        .unionByName(problem("never runs", stuck))
+        .unionByName(problem("unreachable", unreachable))
+    )
+
+
+def _reached_from(roots: DataFrame, arcs: DataFrame) -> DataFrame:
+    """Nodes reachable from any root, the roots included."""
+    steps = cut_lineage(arcs.select(F.col("source").alias("node"), F.col("target").alias("next")))
+    seen = frontier = cut_lineage(roots.select("node").distinct())
+    rounds = 0
+    while not frontier.isEmpty():
+        rounds += 1
+        moved = frontier.join(steps, "node").select(F.col("next").alias("node")).distinct()
+        frontier = cut_lineage(moved.join(seen, "node", "left_anti"))
+        seen = seen.unionByName(frontier)
+        if rounds % ROUNDS_PER_CUT == 0:
+            seen = cut_lineage(seen)
+    return seen

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from tracelode.plans import conversation_plans, session_reports  # noqa: F401
+from tracelode.plans import (  # noqa: F401
+    conversation_plans,
+    graph_plans,
+    session_reports,
+)
 from tracelode.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

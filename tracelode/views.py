@@ -204,3 +204,117 @@ SENT_SQL = """
 sent AS (SELECT user_id AS conv_id, dayofyear(ts) AS turn, event_id % 5 + 1 AS rank,
   's' || (CAST(props::JSON->>'$.k' AS BIGINT) % 20) AS symbol FROM events)
 """
+
+
+# --- repository graph --------------------------------------------------------------------------
+
+
+def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as code symbols: modules in tests, at the root and in a package; few short names."""
+    key = F.col("p_partkey")
+    folder = F.when(key % 10 == 0, "tests/").when(key % 10 == 1, "").otherwise("pkg/")
+    kind = F.when(key % 4 == 0, "class").when(key % 4 == 2, "method").otherwise("function")
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("n"), key.cast("string")).alias("qualified_name"),
+        F.when(key % 50 == 1, "main").otherwise(F.translate("p_name", " ", "_")).alias("name"),
+        kind.alias("symbol_type"),
+        F.concat(folder, F.translate("p_brand", "#", ""), F.lit(".py")).alias("module"),
+        F.col("p_size").cast("bigint").alias("lineno"),
+        F.when(key % 20 == 2, F.array(F.lit("abstractmethod")))
+        .otherwise(F.array().cast("array<string>"))
+        .alias("decorators"),
+        key.alias("load_order"),
+    )
+
+
+def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules of the symbols, and one empty package marker per customer segment."""
+    owned = symbols(spark, sf_dir).select(F.col("module").alias("path"))
+    markers = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("pkg/"), F.lower("c_mktsegment"), F.lit("/__init__.py")).alias("path")
+    )
+    empty = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("pkg/empty/"), F.lower("n_name"), F.lit(".py")).alias("path")
+    )
+    return owned.union(markers).union(empty).distinct()
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as edges from part to supplier in one node space; some ends lie outside it."""
+    number = F.col("l_linenumber") % 4
+    kind = (
+        F.when(number == 0, "calls").when(number == 1, "imports").when(number == 2, "inherits")
+    ).otherwise("defines")
+    outside = F.when(F.col("l_quantity") >= 49, "ext").otherwise("n")
+    return (
+        table(spark, sf_dir, "lineitem")
+        .select(
+            F.concat(F.lit("n"), F.col("l_partkey").cast("string")).alias("source"),
+            F.concat(outside, F.col("l_suppkey").cast("string")).alias("target"),
+            kind.alias("type"),
+        )
+        .distinct()
+    )
+
+
+def module_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Import edges lifted to modules."""
+    owner = symbols(spark, sf_dir).select("qualified_name", "module")
+    imports = edges(spark, sf_dir).where(F.col("type") == "imports")
+    left = imports.join(owner, imports["source"] == owner["qualified_name"]).select(
+        F.col("module").alias("source"), "target"
+    )
+    right = left.join(owner, left["target"] == owner["qualified_name"])
+    return right.select("source", F.col("module").alias("target")).distinct()
+
+
+def call_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a sparse call graph: chains of four, some closed to rings, hung in a tree.
+
+    Node c calls c + 1 inside its block of four; the last of a block calls the first when its
+    nation is even; the first of a block calls node c / 4 - 1 of another block.
+    """
+    c = F.col("c_custkey")
+    customers = table(spark, sf_dir, "customer")
+    step = customers.where((c % 4 != 3)).select(c.alias("source"), (c + 1).alias("target"))
+    ids = customers.select(c.alias("target"))
+    step = step.join(ids, "target", "left_semi").select("source", "target")
+    close = customers.where((c % 4 == 3) & (F.col("c_nationkey") % 2 == 0)).select(
+        c.alias("source"), (c - 3).alias("target")
+    )
+    parent = customers.where((c % 4 == 0) & (c >= 8)).select(
+        c.alias("source"), (F.floor(c / 4) - 1).alias("target")
+    )
+    return step.union(close).union(parent).select(
+        "source", "target", F.lit("calls").alias("type")
+    )
+
+
+def call_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"))
+
+
+GRAPH_SQL = """
+symbols AS (SELECT 'n' || p_partkey AS qualified_name,
+  CASE WHEN p_partkey % 50 = 1 THEN 'main' ELSE replace(p_name, ' ', '_') END AS name,
+  CASE p_partkey % 4 WHEN 0 THEN 'class' WHEN 2 THEN 'method' ELSE 'function' END AS symbol_type,
+  CASE p_partkey % 10 WHEN 0 THEN 'tests/' WHEN 1 THEN '' ELSE 'pkg/' END || replace(p_brand, '#', '') || '.py' AS module,
+  p_size::BIGINT AS lineno, p_partkey % 20 = 2 AS is_abstract, p_partkey FROM part),
+modules AS (SELECT module AS path FROM symbols
+  UNION SELECT 'pkg/' || lower(c_mktsegment) || '/__init__.py' FROM customer
+  UNION SELECT 'pkg/empty/' || lower(n_name) || '.py' FROM nation),
+edges AS (SELECT DISTINCT 'n' || l_partkey AS source,
+  CASE WHEN l_quantity >= 49 THEN 'ext' ELSE 'n' END || l_suppkey AS target,
+  CASE l_linenumber % 4 WHEN 0 THEN 'calls' WHEN 1 THEN 'imports' WHEN 2 THEN 'inherits' ELSE 'defines' END AS type
+  FROM lineitem),
+module_imports AS (SELECT DISTINCT a.module AS source, b.module AS target FROM edges e
+  JOIN symbols a ON a.qualified_name = e.source JOIN symbols b ON b.qualified_name = e.target
+  WHERE e.type = 'imports')
+"""
+CHAIN_SQL = """
+chain AS (
+  SELECT c_custkey AS source, c_custkey + 1 AS target FROM customer
+    WHERE c_custkey % 4 <> 3 AND c_custkey + 1 IN (SELECT c_custkey FROM customer)
+  UNION ALL SELECT c_custkey, c_custkey - 3 FROM customer WHERE c_custkey % 4 = 3 AND c_nationkey % 2 = 0
+  UNION ALL SELECT c_custkey, c_custkey // 4 - 1 FROM customer WHERE c_custkey % 4 = 0 AND c_custkey >= 8)
+"""
