@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,16 +42,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the reliable checkpoint folder, so a lost executor costs no recomputation."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     """Fresh sub-folder of the shared folder, for tables a job writes and reads back."""
-    import uuid
-
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and read it back: a lost executor costs no recomputation.
+
+    A written table rather than `checkpoint()`: a checkpointed plan keeps the filter constraints of
+    its source, and in a loop of joins those pile up until the generated code no longer compiles.
+    The table also has a known size, so joins with it are planned on facts.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "round")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
