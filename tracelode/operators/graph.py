@@ -408,17 +408,12 @@ def refactoring_findings(
     ]
     if cycles is not None:
         owners = owner.withColumnRenamed("source", "node")
-        grouped = cycles.join(owners, "node", "left").select(
+        sets = cycle_module_sets(cycles.join(owners, "node", "left").select(
             "cycle_id", "node", F.coalesce("m", "node").alias("module")
-        )
-        sizes = grouped.groupBy("cycle_id").agg(F.count(F.lit(1)).alias("length"))
-        paths = grouped.select("cycle_id", "module").distinct().groupBy("cycle_id").agg(
-            F.array_join(F.array_sort(F.collect_list("module")), ",").alias("modules")
-        )
-        rows = paths.join(sizes, "cycle_id")
+        ))
         kinds.append(
             _finding(
-                rows, "CIRCULAR_DEPENDENCY", "HIGH", F.col("modules"), one, 1.0, F.col("length")
+                sets, "CIRCULAR_DEPENDENCY", "HIGH", F.col("modules"), one, 1.0, F.col("length")
             )
         )
     every = merge_findings(kinds)
@@ -435,6 +430,31 @@ def refactoring_findings(
     )
 
 
+def cycle_module_sets(members: DataFrame) -> DataFrame:
+    """One row per distinct set of modules on a cycle: (modules, length).
+
+    Input: (cycle_id, node, module). Sets are compared by two sums of hashes instead of by lists, so
+    a cycle may run through any number of modules; `modules` names the first one and how many more.
+    """
+    sizes = members.groupBy("cycle_id").agg(F.count(F.lit(1)).alias("length"))
+    hashed = lambda seed: F.sum(F.xxhash64(F.lit(seed), "module").cast("decimal(38,0)"))
+    sets = (
+        members.select("cycle_id", "module")
+        .distinct()
+        .groupBy("cycle_id")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("module").alias("first"),
+            hashed(1).alias("h1"),
+            hashed(2).alias("h2"),
+        )
+        .join(sizes, "cycle_id")
+    )
+    longest = sets.groupBy("first", "n", "h1", "h2").agg(F.max("length").alias("length"))
+    more = F.when(F.col("n") > 1, F.concat(F.lit(" +"), (F.col("n") - 1).cast("string"))).otherwise("")
+    return longest.select(F.concat("first", more).alias("modules"), "length")
+
+
 def merge_findings(kinds: list[DataFrame]) -> DataFrame:
     merged = kinds[0]
     for other in kinds[1:]:

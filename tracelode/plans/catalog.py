@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from tracelode.plans import (  # noqa: F401
+    check_plans,
     conversation_plans,
+    file_plans,
     graph_plans,
+    quality_plans,
+    record_plans,
     session_reports,
 )
 from tracelode.plans.registry import ORACLES, QUERIES

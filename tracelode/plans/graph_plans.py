@@ -520,8 +520,8 @@ cycles AS (SELECT c.a AS node, least(c.a, min(c.b)) AS cycle_id FROM closure c J
 """
 FINDINGS_SQL = f"""
 {COUPLING_SQL}, {HIGH_SQL.format(m='1.5::DOUBLE')}, {DEAD_SQL}, {ORPHAN_SQL}, {CLOSURE_SQL},
-looped AS (SELECT cycle_id, string_agg(DISTINCT module, ',' ORDER BY module) AS modules, count(DISTINCT node) AS length
-  FROM cycles JOIN symbols ON qualified_name = node GROUP BY cycle_id),
+looped AS (SELECT min(module) || CASE WHEN count(DISTINCT module) > 1 THEN ' +' || (count(DISTINCT module) - 1) ELSE '' END AS modules,
+  count(DISTINCT node) AS length FROM cycles JOIN symbols ON qualified_name = node GROUP BY cycle_id),
 raw AS (
   SELECT 'HIGH_COUPLING' AS category, 'HIGH' AS severity, module AS modules, 2 AS evidence, total AS measure, 0.72 AS confidence FROM high
   UNION ALL SELECT 'LARGE_MODULE', 'MEDIUM', module, 1, count(*), 0.5 FROM symbols GROUP BY module HAVING count(*) >= 30

@@ -318,3 +318,37 @@ chain AS (
   UNION ALL SELECT c_custkey, c_custkey - 3 FROM customer WHERE c_custkey % 4 = 3 AND c_nationkey % 2 = 0
   UNION ALL SELECT c_custkey, c_custkey // 4 - 1 FROM customer WHERE c_custkey % 4 = 0 AND c_custkey >= 8)
 """
+
+
+# --- source files ------------------------------------------------------------------------------
+
+FILE_SUFFIXES = (".py", ".PY", ".js", ".md", ".bashrc", ".txt", "", "_test.py")
+FILE_FOLDERS = ("pkg", "tests", "node_modules/x", "build", "docs/.hidden", "pkg/__pycache__", "lib/gen")
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a source tree, path made of folder, language, source and id."""
+    key = F.col("doc_id")
+    folder = F.get(F.array(*[F.lit(f) for f in FILE_FOLDERS]), (key % len(FILE_FOLDERS)).cast("int"))
+    suffix = F.get(F.array(*[F.lit(s) for s in FILE_SUFFIXES]), (key % len(FILE_SUFFIXES)).cast("int"))
+    stem = F.concat(F.col("source"), F.lit("_"), key.cast("string"))
+    return table(spark, sf_dir, "documents").select(
+        F.concat(folder, F.lit("/"), "lang", F.lit("/"), stem, suffix).alias("relative_path"),
+        F.col("n_chars").alias("size_bytes"),
+    )
+
+
+_FOLDERS_SQL = " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(FILE_FOLDERS))
+_SUFFIX_SQL = " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(FILE_SUFFIXES))
+_LANGUAGE_SQL = (
+    "CASE WHEN extension IN ('.py') THEN 'Python' WHEN extension = '.js' THEN 'JavaScript' "
+    "WHEN extension = '.md' THEN 'Markdown' WHEN extension = '.bashrc' THEN 'Shell' ELSE 'Unknown' END"
+)
+FILES_SQL = f"""
+named AS (SELECT CASE doc_id % {len(FILE_FOLDERS)} {_FOLDERS_SQL} END || '/' || lang AS directory,
+  source || '_' || doc_id || CASE doc_id % {len(FILE_SUFFIXES)} {_SUFFIX_SQL} END AS name,
+  n_chars AS size_bytes FROM documents),
+suffixed AS (SELECT directory || '/' || name AS path, name, directory, size_bytes,
+  CASE WHEN contains(name, '.') THEN '.' || split_part(name, '.', 2) ELSE '' END AS extension FROM named),
+inventory AS (SELECT *, {_LANGUAGE_SQL} AS language FROM suffixed)
+"""
