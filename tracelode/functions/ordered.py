@@ -75,3 +75,39 @@ def previous_value(
         .withColumn(output, F.coalesce("_local", "_carried")["v"])
         .drop("_value", "_block", "_local", "_carried")
     )
+
+
+def sorted_ordinal(
+    df: DataFrame,
+    keys: Sequence[str],
+    levels: Sequence[tuple[Column, bool]],
+    order: Sequence[Column],
+    output: str,
+) -> DataFrame:
+    """Position 1..n within `keys` by a sort that begins with two coarse levels.
+
+    `levels` are (column, descending), coarse first; `order` sorts inside one cell of both levels and
+    must begin where the levels end. Cells are counted, offsets summed over cells, and only the rows
+    of one cell are ordered together.
+    """
+    (first, first_down), (second, second_down) = levels
+    celled = df.withColumn("_l1", first).withColumn("_l2", second)
+    cells = celled.groupBy(*keys, "_l1", "_l2").agg(F.count(F.lit(1)).alias("_n"))
+    rows = cells.groupBy(*keys, "_l1").agg(F.sum("_n").alias("_m"))
+    down = lambda name, descending: F.desc(name) if descending else F.asc(name)
+    by_first = Window.partitionBy(*keys).orderBy(down("_l1", first_down)).rowsBetween(*_UP_TO_HERE)
+    by_second = (
+        Window.partitionBy(*keys, "_l1").orderBy(down("_l2", second_down)).rowsBetween(*_UP_TO_HERE)
+    )
+    rows = rows.withColumn("_before1", F.sum("_m").over(by_first) - F.col("_m")).drop("_m")
+    cells = cells.withColumn("_before2", F.sum("_n").over(by_second) - F.col("_n")).drop("_n")
+    offsets = cells.join(rows, [*keys, "_l1"]).withColumn(
+        "_offset", F.col("_before1") + F.col("_before2")
+    )
+    inside = Window.partitionBy(*keys, "_l1", "_l2").orderBy(*order)
+    return (
+        celled.withColumn("_place", F.row_number().over(inside))
+        .join(offsets.drop("_before1", "_before2"), [*keys, "_l1", "_l2"])
+        .withColumn(output, F.col("_offset") + F.col("_place"))
+        .drop("_l1", "_l2", "_place", "_offset")
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelode.functions.ordered import sorted_ordinal
 from tracelode.functions.stats import distribution, percent, ratio, rounded, widen
 
 NEW_CONVERSATION = "__new__"
@@ -321,30 +322,11 @@ def context_cost_by_intent(requests: DataFrame) -> DataFrame:
 
 
 def time_ordinals(df: DataFrame, groups: list[str], ts: str, tie: str) -> DataFrame:
-    """Position 0..n-1 of each row within its group by (ts, tie), without one big sort task.
-
-    Rows are numbered within a second; offsets come from counts per second and per hour, so the
-    largest ordered set is one group's hours, one hour's seconds, or one second's rows.
-    """
-    timed = df.withColumn("second", F.date_trunc("second", F.col(ts))).withColumn(
-        "hour", F.date_trunc("hour", F.col(ts))
-    )
-    seconds = timed.groupBy(*groups, "hour", "second").agg(F.count(F.lit(1)).alias("size"))
-    hours = seconds.groupBy(*groups, "hour").agg(F.sum("size").alias("hour_size"))
-    upto = (Window.unboundedPreceding, 0)
-    by_second = Window.partitionBy(*groups, "hour").orderBy("second").rowsBetween(*upto)
-    by_hour = Window.partitionBy(*groups).orderBy("hour").rowsBetween(*upto)
-    seconds = seconds.withColumn("in_hour", F.sum("size").over(by_second) - F.col("size"))
-    hours = hours.withColumn("hours_before", F.sum("hour_size").over(by_hour) - F.col("hour_size"))
-    offsets = seconds.join(hours, [*groups, "hour"]).select(
-        *groups, "second", (F.col("in_hour") + F.col("hours_before")).alias("offset")
-    )
-    local = Window.partitionBy(*groups, "second").orderBy(ts, tie)
-    numbered = timed.withColumn("position", F.row_number().over(local) - 1)
-    return (
-        numbered.join(offsets, [*groups, "second"])
-        .withColumn("ordinal", F.col("position") + F.col("offset"))
-        .drop("second", "hour", "position", "offset")
+    """Position 1..n of each row within its group by (ts, tie): the largest ordered set is one
+    group's hours, one hour's seconds, or one second's rows."""
+    hour, second = F.date_trunc("hour", F.col(ts)), F.date_trunc("second", F.col(ts))
+    return sorted_ordinal(
+        df, groups, [(hour, False), (second, False)], [F.col(ts), F.col(tie)], "ordinal"
     )
 
 

@@ -9,6 +9,7 @@ from tracelode.plans import (  # noqa: F401
     graph_plans,
     quality_plans,
     record_plans,
+    retrieval_plans,
     session_reports,
 )
 from tracelode.plans.registry import ORACLES, QUERIES

@@ -352,3 +352,102 @@ suffixed AS (SELECT directory || '/' || name AS path, name, directory, size_byte
   CASE WHEN contains(name, '.') THEN '.' || split_part(name, '.', 2) ELSE '' END AS extension FROM named),
 inventory AS (SELECT *, {_LANGUAGE_SQL} AS language FROM suffixed)
 """
+
+
+# --- retrieval ---------------------------------------------------------------------------------
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as code symbols with text: packages by type and brand, some private, stubs and tests."""
+    key = F.col("p_partkey")
+    kind, short = F.lower("p_type"), F.translate("p_name", " ", "_")
+    module = F.when(key % 17 == 0, F.concat(F.lit("tests/test_"), kind)).otherwise(
+        F.concat(kind, F.lit("/"), F.lower(F.translate("p_brand", "#", "_")))
+    )
+    name = (
+        F.when(key % 13 == 0, F.concat(F.lit("_"), short))
+        .when(key % 19 == 0, F.concat(F.lit("stub_"), short))
+        .otherwise(F.concat(short, F.lit("_"), (key % 7).cast("string")))
+    )
+    scope = F.when(key % 3 == 0, "Holder.").when(key % 3 == 1, "RingBox.").otherwise("")
+    code = F.when(key % 4 == 0, "class").when(key % 4 == 1, "function").when(key % 4 == 2, "method").otherwise("constant")
+    return table(spark, sf_dir, "part").select(
+        key.alias("symbol_id"),
+        F.concat(module, F.lit("."), scope, name).alias("qualified_name"),
+        module.alias("module"),
+        code.alias("symbol_type"),
+        F.concat(module, F.lit(".py")).alias("path"),
+        F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("Doc of "), "p_name")).alias("docstring"),
+        F.repeat(F.lit("value = compute(1)\n"), F.col("p_size") * 4).alias("source"),
+        F.concat(F.lit("def "), short, F.lit("()")).alias("signature"),
+        (key % 23 == 0).alias("in_init"),
+    )
+
+
+def retrieval_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query per benchmark item, worded after the part of the same number."""
+    key = F.col("item_id")
+    kind = key % 5
+    words = (
+        F.when(kind == 0, F.concat_ws(" ", F.lit("where is"), "p_name", F.lit("in"), "p_type"))
+        .when(kind == 1, F.concat(F.lit("explain "), F.translate("p_name", " ", "_"), F.lit(" for brand_1")))
+        .when(kind == 2, F.concat(F.lit("tests for "), "p_name"))
+        .when(kind == 3, F.concat(F.lit("compare economy/brand_1.py with "), F.lower("p_type"), F.lit("/brand_2.py")))
+        .otherwise(F.concat_ws(" ", F.lit("shared helper for brand"), "p_name", "p_type"))
+    )
+    items = table(spark, sf_dir, "benchmark").select("item_id")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), "p_name", "p_type")
+    return items.join(parts, "item_id").select(
+        key.alias("query_id"),
+        words.alias("text"),
+        (key % 16 + 5).alias("max_symbols"),
+        (key % 4 + 2).alias("max_modules"),
+        (key * 50 + 300).alias("max_tokens"),
+    )
+
+
+def named_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as edges between the retrieval symbols."""
+    names = candidates(spark, sf_dir).select("symbol_id", "qualified_name")
+    number = F.col("l_linenumber") % 4
+    kind = F.when(number == 0, "calls").when(number == 1, "imports").when(number == 2, "inherits").otherwise("defines")
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", kind.alias("type")).distinct()
+    left = names.select(F.col("symbol_id").alias("l_partkey"), F.col("qualified_name").alias("source"))
+    right = names.select(F.col("symbol_id").alias("l_suppkey"), F.col("qualified_name").alias("target"))
+    return lines.join(left, "l_partkey").join(right, "l_suppkey").select("source", "target", "type").distinct()
+
+
+def retrieval_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(module, imported) between the retrieval symbols' modules."""
+    homes = candidates(spark, sf_dir).select("symbol_id", "module")
+    lines = table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") % 4 == 1)
+    lines = lines.select("l_partkey", "l_suppkey").distinct()
+    left = homes.select(F.col("symbol_id").alias("l_partkey"), "module")
+    right = homes.select(F.col("symbol_id").alias("l_suppkey"), F.col("module").alias("imported"))
+    pairs = lines.join(left, "l_partkey").join(right, "l_suppkey").select("module", "imported")
+    return pairs.where(F.col("module") != F.col("imported")).distinct()
+
+
+CANDIDATES_SQL = """
+c0 AS (SELECT *, lower(p_type) AS kind, replace(p_name, ' ', '_') AS short,
+  CASE WHEN p_partkey % 17 = 0 THEN 'tests/test_' || lower(p_type)
+    ELSE lower(p_type) || '/' || lower(replace(p_brand, '#', '_')) END AS module FROM part),
+cand AS (SELECT p_partkey AS symbol_id, module || '.' || CASE p_partkey % 3 WHEN 0 THEN 'Holder.' WHEN 1 THEN 'RingBox.' ELSE '' END
+  || CASE WHEN p_partkey % 13 = 0 THEN '_' || short WHEN p_partkey % 19 = 0 THEN 'stub_' || short
+    ELSE short || '_' || (p_partkey % 7) END AS qualified_name, module,
+  CASE p_partkey % 4 WHEN 0 THEN 'class' WHEN 1 THEN 'function' WHEN 2 THEN 'method' ELSE 'constant' END AS symbol_type,
+  CASE WHEN p_size % 3 = 0 THEN 'Doc of ' || p_name END AS docstring,
+  repeat('value = compute(1)' || chr(10), p_size * 4) AS source, p_size * 4 AS n_lines,
+  'def ' || short || '()' AS signature, p_partkey % 23 = 0 AS in_init FROM c0),
+query AS (SELECT item_id AS query_id, CASE item_id % 5 WHEN 0 THEN 'where is ' || p_name || ' in ' || p_type
+  WHEN 1 THEN 'explain ' || replace(p_name, ' ', '_') || ' for brand_1' WHEN 2 THEN 'tests for ' || p_name
+  WHEN 3 THEN 'compare economy/brand_1.py with ' || lower(p_type) || '/brand_2.py'
+  ELSE 'shared helper for brand ' || p_name || ' ' || p_type END AS text,
+  item_id % 16 + 5 AS max_symbols, item_id % 4 + 2 AS max_modules, item_id * 50 + 300 AS max_tokens
+  FROM benchmark JOIN part ON p_partkey = item_id),
+named_edges AS (SELECT DISTINCT a.qualified_name AS source, b.qualified_name AS target,
+  CASE l_linenumber % 4 WHEN 0 THEN 'calls' WHEN 1 THEN 'imports' WHEN 2 THEN 'inherits' ELSE 'defines' END AS type
+  FROM lineitem JOIN cand a ON a.symbol_id = l_partkey JOIN cand b ON b.symbol_id = l_suppkey),
+mod_imports AS (SELECT DISTINCT a.module, b.module AS imported FROM lineitem JOIN cand a ON a.symbol_id = l_partkey
+  JOIN cand b ON b.symbol_id = l_suppkey WHERE l_linenumber % 4 = 1 AND a.module <> b.module)
+"""
