@@ -7,6 +7,7 @@ from tracelode.plans import (  # noqa: F401
     conversation_plans,
     file_plans,
     graph_plans,
+    mining_plans,
     quality_plans,
     record_plans,
     retrieval_plans,
