@@ -12,6 +12,7 @@ from tracelode.plans import (  # noqa: F401
     record_plans,
     retrieval_plans,
     session_reports,
+    streaming_plans,
 )
 from tracelode.plans.registry import ORACLES, QUERIES
 
