@@ -82,7 +82,7 @@ def _stream_delta(spark, sf_dir):
 def _stream_responses(spark, sf_dir):
     session = jobs.local_session(spark)
     rows = jobs.stream_table(session, f"{sf_dir}/conversations.parquet")
-    stamp = F.timestamp_seconds(F.col("conv_id") * 100 + F.col("turn"))
+    stamp = F.timestamp_seconds(1_700_000_000 + F.col("conv_id") * 100 + F.col("turn"))
     both = F.array(
         F.struct(F.col("turn").alias("seq"), F.col("text").alias("text")),
         F.struct((F.col("turn") + 1000000).alias("seq"), F.lit("[DONE]").alias("text")),
