@@ -41,11 +41,13 @@ def distribution(
     by: Sequence[str],
     values: Mapping[str, Column],
     probabilities: Mapping[str, float] | None = None,
+    weight: Column | None = None,
 ) -> DataFrame:
     """n, mean, min, max and interpolated quantiles of several value columns per group.
 
     Output: one row per group and metric (`metric`, `n`, `mean`, `min`, `max`, one column per
-    probability). Nulls are dropped per metric, so a metric without values has no row.
+    probability). Nulls are dropped per metric, so a metric without values has no row. With `weight`
+    a row stands for that many equal ones.
 
     Exactness without a gather: values are counted per (group, value) first, then per
     order-preserving logarithmic bin. A running sum over the few bins of a group tells which bins
@@ -59,11 +61,13 @@ def distribution(
             for name, column in values.items()
         ]
     )
-    long = df.select(*by, F.inline(pairs)).where(F.col("value").isNotNull())
+    times = F.lit(1) if weight is None else weight
+    long = df.select(*by, times.cast("bigint").alias("times"), F.inline(pairs))
+    long = long.where(F.col("value").isNotNull())
     fine = F.floor(F.log1p(F.abs("value")) * BINS_PER_E_FOLD)
     counted = (
         long.groupBy(*keys, "value")
-        .agg(F.count(F.lit(1)).alias("cnt"))
+        .agg(F.sum("times").alias("cnt"))
         .withColumn("bin", F.when(F.col("value") < 0, -fine).otherwise(fine))
     )
     bins = counted.groupBy(*keys, "bin").agg(

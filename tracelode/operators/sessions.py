@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.functions.ordered import sorted_ordinal
@@ -127,55 +127,20 @@ def suppression_effect(requests: DataFrame) -> DataFrame:
         .select("conversation_key")
     )
     kept = folded.join(many, "conversation_key", "left_semi")
-    turns = kept.where(F.col("ratio").isNotNull()).groupBy("ratio").agg(F.sum("turns").alias("turns"))
-    summary = weighted_distribution(turns, F.col("ratio"), F.col("turns"))
+    long = distribution(kept, [], {"ratio": F.col("ratio")}, {"median": 0.5}, F.col("turns"))
+    parts = {name: ("ratio", name) for name in ("n", "mean", "median", "min", "max")}
+    summary = widen(long, [], parts)
     conversations = many.agg(F.count(F.lit(1))).scalar()
     return summary.withColumn("multi_turn_conversations", conversations)
 
 
-def weighted_distribution(df: DataFrame, value: Column, weight: Column) -> DataFrame:
-    """n, mean, median, min, max of values that carry a count, from one global summary row.
-
-    For values that repeat a lot (ratios of small integers, turn counts): the ordered window runs
-    over logarithmic bins first, then only over the distinct values of the bins in question.
-    """
-    repeated = df.select(value.cast("double").alias("value"), weight.cast("bigint").alias("cnt"))
-    n = repeated.agg(F.sum("cnt")).scalar()
-    fine = F.floor(F.log1p(F.col("value")) * 1024)
-    bins = repeated.groupBy(fine.alias("bin")).agg(F.sum("cnt").alias("bin_n"))
-    running = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = bins.withColumn("before", F.sum("bin_n").over(running) - F.col("bin_n"))
-    low, high = F.floor((n - 1) / 2), F.ceil((n - 1) / 2)
-
-    def holds(edge: Column, start: str, size: str) -> Column:
-        return (F.col(start) <= edge) & (edge < F.col(start) + F.col(size))
-
-    bins = bins.where(holds(low, "before", "bin_n") | holds(high, "before", "bin_n"))
-    inside = (
-        Window.partitionBy("bin").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    located = repeated.withColumn("bin", fine).join(bins, "bin")
-    located = located.withColumn("start", F.col("before") + F.sum("cnt").over(inside) - F.col("cnt"))
-    middle = located.agg(
-        (
-            F.max(F.when(holds(low, "start", "cnt"), F.col("value")))
-            + F.max(F.when(holds(high, "start", "cnt"), F.col("value")))
-        ).alias("m")
-    ).select(F.col("m") / 2)
-    zero = F.lit(0.0)
-    return repeated.agg(
-        F.coalesce(F.sum("cnt"), F.lit(0)).alias("n"),
-        rounded(F.coalesce(F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt"), zero)).alias("mean"),
-        rounded(F.coalesce(F.min("value"), zero)).alias("min"),
-        rounded(F.coalesce(F.max("value"), zero)).alias("max"),
-    ).withColumn("median", rounded(F.coalesce(middle.scalar(), zero)))
-
-
 def turns_per_conversation(requests: DataFrame) -> DataFrame:
     """Turn counts per conversation; conversations of more than one turn are counted apart."""
     sizes = requests.groupBy("conversation_key").agg(F.count(F.lit(1)).alias("turns"))
     shapes = sizes.groupBy("turns").agg(F.count(F.lit(1)).alias("conversations"))
-    summary = weighted_distribution(shapes, F.col("turns"), F.col("conversations"))
+    weight = F.col("conversations")
+    long = distribution(shapes, [], {"turns": F.col("turns")}, {"median": 0.5}, weight)
+    summary = widen(long, [], {name: ("turns", name) for name in ("n", "median", "min", "max")})
     several = shapes.where(F.col("turns") > 1).agg(
         F.coalesce(F.sum("conversations"), F.lit(0))
     ).scalar()
