@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -43,7 +44,7 @@ def ingest_batch(store_path: str, key: str, order: str):
         kept = [name for name in batch.columns]
         try:
             store = spark.read.schema(batch.schema).parquet(store_path)
-        except Exception:  # noqa: BLE001 - the store does not exist before the first batch
+        except AnalysisException:  # the store does not exist before the first batch
             store = batch.limit(0)
         ingest_new_records(batch, store, key, order).select(*kept).write.mode("append").parquet(store_path)
 
