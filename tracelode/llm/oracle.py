@@ -62,7 +62,7 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND kept_chars >= 0.5 * word_chars AS kept,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND kept_chars >= (1 - 0.7::DOUBLE) * word_chars AS kept,
   n_lines, n_removed_lines
 FROM figures
 """

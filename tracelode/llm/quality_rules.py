@@ -103,7 +103,7 @@ def repeated_words(tokens: Column, width: int = 5) -> Column:
 def judge(
     docs: DataFrame,
     text: str = "text",
-    max_loss: float = 0.5,
+    max_loss: float = 0.7,
     min_words: int = 10,
     max_repeat_percent: int = 20,
     output: str = "quality",
