@@ -67,7 +67,65 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM figures
 """
 
+SUBSTRING_DEDUP = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), grams AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13)
+), late AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY gram) AS first FROM grams) WHERE first < doc_id
+), covered AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM late, (SELECT unnest(range(0, 13)) AS k)
+), flat AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text
+  FROM flat ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+LINE_DEDUP = r"""
+WITH rows AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS line_no FROM documents
+), held AS (
+  SELECT doc_id, line_no, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS idx,
+    len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n_words
+  FROM rows WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), windows AS (
+  SELECT doc_id, idx, 1 AS k, line AS gram, n_words AS words FROM held
+  UNION ALL
+  SELECT doc_id, idx, 2, line || chr(10) || lead(line) OVER w, n_words + lead(n_words) OVER w
+  FROM held WINDOW w AS (PARTITION BY doc_id ORDER BY idx)
+  UNION ALL
+  SELECT doc_id, idx, 3, line || chr(10) || lead(line) OVER w || chr(10) || lead(line, 2) OVER w, 50
+  FROM held WINDOW w AS (PARTITION BY doc_id ORDER BY idx)
+), late AS (
+  SELECT doc_id, idx, k FROM (
+    SELECT *, min(doc_id * 10000000 + idx) OVER (PARTITION BY k, gram) AS first FROM windows WHERE gram IS NOT NULL
+  ) WHERE words >= 50 AND first < doc_id * 10000000 + idx
+), gone AS (
+  SELECT DISTINCT doc_id, idx + s AS idx FROM late, (SELECT unnest(range(0, 3)) AS s) WHERE s < k
+), lost AS (
+  SELECT doc_id, line_no FROM held JOIN gone USING (doc_id, idx)
+), kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text
+  FROM rows ANTI JOIN lost USING (doc_id, line_no) GROUP BY doc_id
+), counts AS (
+  SELECT doc_id, count(*) AS n FROM lost GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(string_split(coalesce(documents.text, ''), chr(10))) AS BIGINT) AS n_lines,
+  CAST(coalesce(n, 0) AS BIGINT) AS n_removed_lines, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
+
 SQL: dict[str, str] = {
+    "op1_substring_dedup": SUBSTRING_DEDUP,
     "op6_chat_formatting": CHAT_FORMATTING,
     "op7_quality_rules": QUALITY_RULES,
+    "op10_line_dedup": LINE_DEDUP,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm import chat_format, quality_rules
+from tracelode.llm import chat_format, line_dedup, mixing, quality_rules, substring_dedup
 from tracelode.llm.oracle import SQL
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Share of all tokens each domain of `labels` shall have.
+TARGETS = {"clean": 0.9, "poor": 0.06, "toxic": 0.04}
+
+
+def label_domains(labels: DataFrame) -> DataFrame:
+    """doc_id and domain: toxic, poor (quality 0) or clean; rows without both marks have none."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "clean")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeat_digest(_table(spark, sf_dir, "documents"))
+
+
+def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = label_domains(_table(spark, sf_dir, "labels"))
+    return mixing.mix(_table(spark, sf_dir, "documents"), labels, TARGETS)
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digest(_table(spark, sf_dir, "documents"))
+
+
 def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, whose texts hold control strings."""
     told = r"\### Assistant: </turn> ok"
@@ -35,8 +58,11 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Job] = {
+    "op1_substring_dedup": substring,
+    "op2_source_mixing": source_mixing,
     "op6_chat_formatting": chat_formatting,
     "op7_quality_rules": quality,
+    "op10_line_dedup": lines,
 }
 
 ORACLES: dict[str, str] = dict(SQL)
