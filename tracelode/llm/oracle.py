@@ -123,9 +123,39 @@ SELECT doc_id, CAST(len(string_split(coalesce(documents.text, ''), chr(10))) AS
 FROM documents LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
 """
 
+DECONTAMINATION = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents
+), b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item_id, least(len(words), 10) AS width, array_to_string(words[i:i + 9], ' ') AS gram
+  FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM b WHERE len(words) > 0)
+), widths AS (
+  SELECT DISTINCT width FROM item_windows
+), doc_windows AS (
+  SELECT doc_id, i, width, array_to_string(words[i:i + width - 1], ' ') AS gram
+  FROM (SELECT doc_id, words, width, unnest(range(1, len(words) - width + 2)) AS i FROM d, widths WHERE len(words) >= width)
+), found AS (
+  SELECT doc_id, i, width, item_id FROM doc_windows JOIN item_windows USING (width, gram)
+), hits AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT doc_id, i, width FROM found), (SELECT unnest(range(0, 10)) AS k)
+  WHERE k < width GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM found) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
 SQL: dict[str, str] = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op6_chat_formatting": CHAT_FORMATTING,
     "op7_quality_rules": QUALITY_RULES,
+    "op9_benchmark_decontamination": DECONTAMINATION,
     "op10_line_dedup": LINE_DEDUP,
 }
