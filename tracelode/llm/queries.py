@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm import chat_format, decontaminate, line_dedup, mixing, quality_rules, substring_dedup
+from tracelode.llm import chat_format, decontaminate, line_dedup, mixing, near_dedup, quality_rules, substring_dedup
 from tracelode.llm.oracle import SQL
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,10 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdict_digest(_table(spark, sf_dir, "documents"))
 
 
+def near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -64,6 +68,7 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Job] = {
     "op1_substring_dedup": substring,
     "op2_source_mixing": source_mixing,
+    "op3_minhash_near_dedup": near,
     "op6_chat_formatting": chat_formatting,
     "op7_quality_rules": quality,
     "op9_benchmark_decontamination": decontamination,
