@@ -218,7 +218,7 @@ def _rest_pairs(members: DataFrame, tested: DataFrame, grouped: DataFrame, perce
     limit = 1 - percent / 100 + 1e-9
     pairs = a.join(
         b,
-        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") <> F.col("y.component"))
+        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
         & (100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles"))
         & (F.abs(F.col("x.far") - F.col("y.far")) <= limit),
     )
