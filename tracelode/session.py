@@ -5,9 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped_to: list[SparkContext] = []
+
 
 def build_session(app: str = "tracelode", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the jobs rely on; the cluster's own values win where set."""
@@ -27,6 +32,20 @@ def build_session(app: str = "tracelode", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once a context, for Python code that calls it in tasks."""
+    context = spark.sparkContext
+    if context in _shipped_to:
+        return
+    source = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="package-")) / f"{source.name}.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(source.rglob("*.py")):
+            archive.write(path, path.relative_to(source.parent))
+    context.addPyFile(str(target))
+    _shipped_to[:] = [context]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: `spark.checkpoint.dir`, or a scratch folder in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
