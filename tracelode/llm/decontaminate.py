@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelode.llm.wordcodes import ALNUM, WordTable
+from tracelode.llm.wordcodes import ALNUM, WordTable, text_pieces
+from tracelode.session import ship_package
 
 SHARD_BYTES = 1 << 21
 BLOCK_BYTES = 1 << 23
@@ -207,6 +208,7 @@ def _blocks(benchmark: DataFrame) -> list[list]:
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """MATCH_SCHEMA, a row for each row of `docs`: words, words under a match, longest matches by place."""
+    ship_package(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     found = [_search(plain, rows, window) for rows in _blocks(benchmark)]
     if len(found) == 1:
@@ -219,24 +221,12 @@ def _search(docs: DataFrame, rows: list, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = _Items(ids, texts, window)
-        held_ids, held, size = [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            found = _match_shard(held_ids, held, items)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(_MATCH))
-            names = ["doc_id", "n_words", "n_hit", "matches"]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names=names)
-
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(_MATCH))
+        names = ["doc_id", "n_words", "n_hit", "matches"]
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                held_ids.append(doc_id)
-                held.append(text or b"")
-                size += len(held[-1]) + 16
-                if size >= SHARD_BYTES:
-                    yield flush()
-                    held_ids, held, size = [], [], 0
-        if held:
-            yield flush()
+            for piece, held in text_pieces(batch, 1, SHARD_BYTES):
+                found = _match_shard(piece.column(0).to_pylist(), held, items)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names=names)
 
     return docs.mapInArrow(run, MATCH_SCHEMA)
 
@@ -260,12 +250,29 @@ def _merged(docs: DataFrame, found: list[DataFrame]) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """`docs` without the documents that hold a window of the benchmark; same columns.
+    """`docs` without the rows that hold a window of the benchmark; same columns, no shuffle.
 
-    Documents without a doc_id are judged like others; rows of one doc_id go together.
+    With a benchmark of several blocks, each block sees what the ones before it left.
     """
-    hits = find_matches(docs, benchmark, window).filter("n_hit > 0").select(F.col("doc_id").alias("_hit_id")).distinct()
-    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["_hit_id"]), "left_anti")
+    ship_package(docs.sparkSession)
+    kept = docs
+    for rows in _blocks(benchmark):
+        kept = _without_hits(kept, rows, window)
+    return kept
+
+
+def _without_hits(docs: DataFrame, rows: list, window: int) -> DataFrame:
+    ids, texts = [r["item_id"] for r in rows], [r["text"].encode() for r in rows]
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = _Items(ids, texts, window)
+        for batch in batches:
+            for piece, held in text_pieces(batch, place, SHARD_BYTES):
+                found = _match_shard(list(range(len(held))), held, items)
+                yield piece.filter(pa.array([n_hit == 0 for _, _, n_hit, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def leak_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.session import scratch_path
+from tracelode.session import scratch_path, ship_package
 
 CHUNK_BYTES = 1 << 22
 _BUCKET_CODES = 1 << 20
@@ -63,6 +63,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def chunk_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Written table of chunks: chunk_id, n_bytes, ids, lengths, data (the texts end to end)."""
     spark = docs.sparkSession
+    ship_package(spark)
     name = f"text_chunks_{uuid.uuid4().hex}"
     packed = docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_packed, _CHUNK_SCHEMA)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -136,14 +137,26 @@ def asked(bits: int, chunk_id: int, sorted_codes: np.ndarray, pack: Callable[[sl
     )
 
 
-def answered(asks: DataFrame, answer: Callable[[list[bytes], list[bytes]], list[bytes]]) -> DataFrame:
-    """chunk_id, bucket, answer: `answer` sees all rows of a bucket and gives one reply to each."""
+def answered(
+    asks: DataFrame,
+    answer: Callable[[list[bytes], list[bytes]], list[bytes]],
+    note: Callable[[list[bytes], list[bytes]], bytes] | None = None,
+) -> DataFrame:
+    """chunk_id, bucket, answer, note: `answer` sees all rows of a bucket and gives one reply to each.
 
-    def reply(rows: pd.DataFrame) -> pd.DataFrame:
-        replies = answer(rows["codes"].tolist(), rows["extra"].tolist())
-        return pd.DataFrame({"chunk_id": rows["chunk_id"], "bucket": rows["bucket"], "answer": replies})
+    `note` is said once for a bucket, in its first row.
+    """
 
-    return asks.groupBy("bucket").applyInPandas(reply, "chunk_id long, bucket long, answer binary")
+    def reply(rows: pd.DataFrame) -> pd.DataFrame:
+        codes, extra = rows["codes"].tolist(), rows["extra"].tolist()
+        notes = [None] * len(rows)
+        if note is not None:
+            notes[0] = note(codes, extra)
+        return pd.DataFrame(
+            {"chunk_id": rows["chunk_id"], "bucket": rows["bucket"], "answer": answer(codes, extra), "note": notes}
+        )
+
+    return asks.groupBy("bucket").applyInPandas(reply, "chunk_id long, bucket long, answer binary, note binary")
 
 
 def with_answers(chunks: DataFrame, replies: DataFrame, name: str) -> DataFrame:

@@ -24,6 +24,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tracelode.session import ship_package
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.S)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
@@ -288,6 +290,7 @@ def _content_node(holders: dict[int, _Element], share: float) -> _Element:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text: the main text of each row of `pages` (page_id, url, html)."""
+    ship_package(pages.sparkSession)
     schema = pages.select("page_id", "url").schema.add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.llm.wordcodes import NOT_SPACE, WordTable, mix, window_codes
-from tracelode.session import cut_lineage
+from tracelode.llm.wordcodes import NOT_SPACE, WordTable, mix, text_pieces, window_codes
+from tracelode.session import cut_lineage, ship_package
 
 BINS, ROWS, BANDS = 256, 6, 42
 STAR_PART = 64
@@ -86,26 +86,12 @@ def bucket_codes(bins: np.ndarray) -> np.ndarray:
     return mix((mix(rows) * _BAND_FACTORS).sum(axis=1, dtype=np.uint64) + _BAND_MARKS)
 
 
-def pieces(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """A batch cut where its texts reach `_PIECE_BYTES`, with the texts (null: empty)."""
-    low = size = 0
-    texts: list[bytes] = []
-    for k, text in enumerate(batch.column(column).cast(pa.binary())):
-        texts.append(text.as_py() or b"")
-        size += len(texts[-1])
-        if size >= _PIECE_BYTES:
-            yield batch.slice(low, k + 1 - low), texts
-            low, size, texts = k + 1, 0, []
-    if texts:
-        yield batch.slice(low), texts
-
-
 def signatures(docs: DataFrame, width: int) -> DataFrame:
     """SIGNATURE_SCHEMA, a row for each row of `docs`; code_a and code_b tell sets apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece, texts in pieces(batch, 1):
+            for piece, texts in text_pieces(batch, 1, _PIECE_BYTES):
                 sets = shingle_sets(texts, width)
                 codes = [mix(s) for s in sets]
                 with np.errstate(over="ignore"):
@@ -135,7 +121,7 @@ def overlaps(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre = np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            for piece, held in pieces(batch, 3):
+            for piece, held in text_pieces(batch, 3, _PIECE_BYTES):
                 found = []
                 for a, b, own in zip(piece.column(0).to_pylist(), piece.column(2).to_pylist(), shingle_sets(held, width)):
                     if b is None:
@@ -177,6 +163,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     Linked: 100 * common shingles >= percent * shingles of either. component_id is the smallest doc_id that
     links reach, kept marks the document that bears it.
     """
+    ship_package(docs.sparkSession)
     signed = cut_lineage(signatures(docs, width))
     named = signed.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     codes = ["code_a", "code_b", "n_shingles"]
@@ -224,3 +211,9 @@ def _rest_pairs(members: DataFrame, tested: DataFrame, grouped: DataFrame, perce
     )
     found = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     return found.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """`docs` with one document of each group, the one of the smallest doc_id; same columns."""
+    gone = near_groups(docs, width, percent).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm import chat_format, decontaminate, line_dedup, mixing, near_dedup, quality_rules, substring_dedup
+from tracelode.llm import (
+    chat_format,
+    decontaminate,
+    html_extract,
+    line_dedup,
+    lm_score,
+    mixing,
+    near_dedup,
+    quality_rules,
+    substring_dedup,
+    token_counts,
+)
 from tracelode.llm.oracle import SQL
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +68,26 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdict_digest(_table(spark, sf_dir, "documents"))
 
 
+#: Ranks of a public vocabulary, read on the driver, and the id that is free to end a document.
+RANK_FILE = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+END_OF_DOCUMENT = 50256
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and its tokens, counted from the token files that the documents were written to."""
+    found = token_counts.document_tokens(_table(spark, sf_dir, "documents"), RANK_FILE, END_OF_DOCUMENT)
+    return found.select("doc_id", "n_tokens")
+
+
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(_table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -69,8 +100,11 @@ QUERIES: dict[str, Job] = {
     "op1_substring_dedup": substring,
     "op2_source_mixing": source_mixing,
     "op3_minhash_near_dedup": near,
+    "op4_token_counts": tokens,
+    "op5_lm_scoring": language_model,
     "op6_chat_formatting": chat_formatting,
     "op7_quality_rules": quality,
+    "op8_html_extraction": html_text,
     "op9_benchmark_decontamination": decontamination,
     "op10_line_dedup": lines,
 }

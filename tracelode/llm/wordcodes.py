@@ -5,7 +5,10 @@ A helper for code that runs inside tasks; every function is linear in its input.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BLOCK = 1 << 22
@@ -119,3 +122,17 @@ def from_planes(data: bytes, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
     planes = np.frombuffer(data, dtype=np.uint8).reshape(size, -1)
     return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
+def text_pieces(batch: pa.RecordBatch, column: int, size: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """A batch cut where its texts reach `size` bytes, with the texts of the piece (null: empty)."""
+    low = held = 0
+    texts: list[bytes] = []
+    for k, text in enumerate(batch.column(column).cast(pa.binary())):
+        texts.append(text.as_py() or b"")
+        held += len(texts[-1]) + 16
+        if held >= size:
+            yield batch.slice(low, k + 1 - low), texts
+            low, held, texts = k + 1, 0, []
+    if texts:
+        yield batch.slice(low), texts
