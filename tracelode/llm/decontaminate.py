@@ -213,7 +213,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Dat
     found = [_search(plain, rows, window) for rows in _blocks(benchmark)]
     if len(found) == 1:
         return found[0]
-    return _merged(plain, found)
+    return _merged(found)
 
 
 def _search(docs: DataFrame, rows: list, window: int) -> DataFrame:
@@ -231,22 +231,26 @@ def _search(docs: DataFrame, rows: list, window: int) -> DataFrame:
     return docs.mapInArrow(run, MATCH_SCHEMA)
 
 
-def _merged(docs: DataFrame, found: list[DataFrame]) -> DataFrame:
-    """One row for each document from the rows of several blocks; rows of one doc_id and text agree."""
+def _merged(found: list[DataFrame]) -> DataFrame:
+    """One row for each document from the rows of several blocks; rows of one doc_id are one document."""
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
     # Matches of a document are bounded by its words times the items that quote it.
-    grouped = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"), F.count("*").alias("n"))
-    spans = grouped.select("doc_id", F.explode("matches").alias("m")).select("doc_id", F.col("m.doc_start").alias("a"), (F.col("m.doc_start") + F.col("m.n_words")).alias("b")).distinct()
+    grouped = every.groupBy("doc_id").agg(
+        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"), F.count("*").alias("n")
+    )
+    begin, stop = F.col("m.doc_start"), F.col("m.doc_start") + F.col("m.n_words")
+    spans = grouped.select("doc_id", F.explode("matches").alias("m")).select("doc_id", begin.alias("a"), stop.alias("b")).distinct()
     order = Window.partitionBy("doc_id").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.greatest(F.coalesce(F.max("b").over(order), F.lit(0)), F.col("a"))
-    hits = spans.select("doc_id", F.greatest(F.col("b") - reach, F.lit(0)).alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n_hit"))
+    covered = spans.select(F.col("doc_id").alias("hit_id"), F.greatest(F.col("b") - reach, F.lit(0)).alias("n_hit"))
+    hits = covered.groupBy("hit_id").agg(F.sum("n_hit").alias("n_hit"))
     times = (F.col("n") / F.lit(len(found))).cast("int")
-    whole = grouped.join(hits, grouped["doc_id"].eqNullSafe(hits["doc_id"]), "left").select(
-        grouped["doc_id"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), "matches", F.explode(F.sequence(F.lit(1), times))
+    whole = grouped.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+    return whole.withColumn("row", F.explode(F.sequence(F.lit(1), times))).select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), "matches"
     )
-    return whole.select("doc_id", "n_words", "n_hit", "matches")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

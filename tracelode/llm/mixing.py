@@ -12,8 +12,9 @@
 
 Spark SQL functions only. Null or empty text: no tokens, posteriors equal to the label shares, a rate
 like any other. Null doc_id: a document like any other. Rows that repeat doc_id and text are one row of
-the result with their number in n_rows, and weigh as often as they occur. Empty table: empty result.
-Labels of unknown documents and null labels are ignored.
+the result with their number in n_rows, and weigh as often as they occur. Labels of unknown
+documents and null labels are ignored; without any labelled document there is nothing to learn from and
+`mix` raises ValueError, also for an empty table.
 """
 
 from __future__ import annotations
@@ -63,6 +64,8 @@ def fit_classifier(
         .groupBy("domain", "f.kind", "f.bucket").agg(F.count("*").alias("n"))
     )
     shares = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    if not shares:
+        raise ValueError("no labelled document: there is nothing to learn domains from")
     names = sorted(shares)
     total = sum(shares.values())
     sums = {(r["domain"], r["kind"]): r["n"] for r in counted.groupBy("domain", "kind").agg(F.sum("n").alias("n")).collect()}
@@ -162,8 +165,6 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], **fit) ->
     plain = docs.select("doc_id", "text")
     model = fit_classifier(plain, labels.select("doc_id", "domain"), **fit)
     names = list(model[1])
-    if not names:
-        raise ValueError("no labelled document: there is nothing to learn domains from")
     members = posteriors(plain, model, fit.get("feature_bits", 17))
     rated = fit_rates(members, [float(targets.get(k, 0.0)) for k in names])
     return rated.select(
