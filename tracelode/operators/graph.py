@@ -434,8 +434,21 @@ def cycle_module_sets(members: DataFrame) -> DataFrame:
     """One row per distinct set of modules on a cycle: (modules, length).
 
     Input: (cycle_id, node, module). Sets are compared by two sums of hashes instead of by lists, so
-    a cycle may run through any number of modules; `modules` names the first one and how many more.
+    a cycle may run through any number of modules; `modules` names the first one, how many more, and
+    the set itself by a sum of its names' digests. `cycle_modules` lists the set as rows.
     """
+    longest = _cycle_sets(members).groupBy("modules", "h1", "h2").agg(F.max("length").alias("length"))
+    return longest.select("modules", "length")
+
+
+def cycle_modules(members: DataFrame) -> DataFrame:
+    """Modules of each distinct set on a cycle: (modules, module), `modules` as in cycle_module_sets."""
+    named = _cycle_sets(members).select("cycle_id", "modules")
+    return members.join(named, "cycle_id").select("modules", "module").distinct()
+
+
+def _cycle_sets(members: DataFrame) -> DataFrame:
+    """(cycle_id, modules, h1, h2, length) for each cycle."""
     sizes = members.groupBy("cycle_id").agg(F.count(F.lit(1)).alias("length"))
     hashed = lambda seed: F.sum(F.xxhash64(F.lit(seed), "module").cast("decimal(38,0)"))
     sets = (
@@ -447,12 +460,13 @@ def cycle_module_sets(members: DataFrame) -> DataFrame:
             F.min("module").alias("first"),
             hashed(1).alias("h1"),
             hashed(2).alias("h2"),
+            F.sum(F.conv(F.substring(F.md5("module"), 1, 15), 16, 10).cast("decimal(38,0)")).alias("digest"),
         )
         .join(sizes, "cycle_id")
     )
-    longest = sets.groupBy("first", "n", "h1", "h2").agg(F.max("length").alias("length"))
-    more = F.when(F.col("n") > 1, F.concat(F.lit(" +"), (F.col("n") - 1).cast("string"))).otherwise("")
-    return longest.select(F.concat("first", more).alias("modules"), "length")
+    more = F.concat(F.lit(" +"), (F.col("n") - 1).cast("string"), F.lit(" #"), F.col("digest").cast("string"))
+    label = F.concat("first", F.when(F.col("n") > 1, more).otherwise(""))
+    return sets.select("cycle_id", label.alias("modules"), "h1", "h2", "length")
 
 
 def merge_findings(kinds: list[DataFrame]) -> DataFrame:

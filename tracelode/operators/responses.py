@@ -15,7 +15,11 @@ PREVIEW, ERROR_TEXT = 500, 500
 
 def parse_chunks(chunks: DataFrame) -> DataFrame:
     """(request_id, seq, text, usage, error) of each well-formed data line; the end mark and broken
-    JSON are left out. Input: (request_id, seq, line)."""
+    JSON are left out. Input: (request_id, seq, line).
+
+    A line is a part of a stream (`delta`) or a whole body (`message`). An error may be an object with a
+    message, a plain text, or any other JSON value, which is given as it is written.
+    """
     data = F.regexp_replace(F.trim("line"), r"^data:\s*", "")
     body = F.from_json(data, STREAM_CHUNK, {"mode": "PERMISSIVE"})
     rows = chunks.withColumn("data", data).where((F.col("data") != DONE) & (F.col("data") != ""))
@@ -23,9 +27,15 @@ def parse_chunks(chunks: DataFrame) -> DataFrame:
     return rows.select(
         "request_id",
         "seq",
-        F.coalesce(F.get("body.choices", 0)["delta"]["content"], F.lit("")).alias("text"),
+        F.coalesce(
+            F.get_json_object("data", "$.choices[0].delta.content"),
+            F.get_json_object("data", "$.choices[0].message.content"),
+            F.lit(""),
+        ).alias("text"),
         F.col("body.usage").alias("usage"),
-        F.col("body.error.message").alias("error"),
+        F.coalesce(
+            F.get_json_object("data", "$.error.message"), F.get_json_object("data", "$.error")
+        ).alias("error"),
     )
 
 

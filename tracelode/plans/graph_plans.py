@@ -520,8 +520,10 @@ cycles AS (SELECT c.a AS node, least(c.a, min(c.b)) AS cycle_id FROM closure c J
 """
 FINDINGS_SQL = f"""
 {COUPLING_SQL}, {HIGH_SQL.format(m='1.5::DOUBLE')}, {DEAD_SQL}, {ORPHAN_SQL}, {CLOSURE_SQL},
-looped AS (SELECT min(module) || CASE WHEN count(DISTINCT module) > 1 THEN ' +' || (count(DISTINCT module) - 1) ELSE '' END AS modules,
-  count(DISTINCT node) AS length FROM cycles JOIN symbols ON qualified_name = node GROUP BY cycle_id),
+cycle_members AS (SELECT DISTINCT cycle_id, node, module FROM cycles JOIN symbols ON qualified_name = node),
+cycle_labels AS (SELECT cycle_id, min(module) || CASE WHEN count(*) > 1 THEN ' +' || (count(*) - 1) || ' #' || sum(('0x' || left(md5(module), 15))::BIGINT) ELSE '' END AS modules
+  FROM (SELECT DISTINCT cycle_id, module FROM cycle_members) GROUP BY cycle_id),
+looped AS (SELECT modules, count(DISTINCT node) AS length FROM cycle_members JOIN cycle_labels USING (cycle_id) GROUP BY cycle_id, modules),
 raw AS (
   SELECT 'HIGH_COUPLING' AS category, 'HIGH' AS severity, module AS modules, 2 AS evidence, total AS measure, 0.72 AS confidence FROM high
   UNION ALL SELECT 'LARGE_MODULE', 'MEDIUM', module, 1, count(*), 0.5 FROM symbols GROUP BY module HAVING count(*) >= 30
@@ -547,6 +549,17 @@ def _refactoring_findings(spark, sf_dir):
     return graph.ordered_findings(_findings(spark, sf_dir))
 
 
+@query(
+    "cycle_modules",
+    f"""WITH RECURSIVE {views.GRAPH_SQL}, {FINDINGS_SQL}
+    SELECT DISTINCT modules, module FROM cycle_members JOIN cycle_labels USING (cycle_id)""",
+)
+def _cycle_modules(spark, sf_dir):
+    _, symbols, edges = _tables(spark, sf_dir)
+    owner = symbols.groupBy(F.col("qualified_name").alias("node")).agg(F.min("module").alias("module"))
+    return graph.cycle_modules(graph_walk.dependency_cycles(edges).join(owner, "node"))
+
+
 @query(
     "finding_summary",
     f"""WITH RECURSIVE {views.GRAPH_SQL}, {FINDINGS_SQL} SELECT count(*) AS total,
