@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import statistics
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tracelode import schemas
 from tracelode.functions import text
 from tracelode.functions.ordered import previous_value, running_sum, sorted_ordinal
 from tracelode.functions.stats import distribution, round_half_even
-from tracelode.operators import checks, conversations, graph, graph_walk, mining, sessions
+from tracelode.operators import checks, conversations, graph, graph_walk, mining, responses, sessions
+from tracelode.operators.responses import DONE
 from tracelode.sources import files, logs
+from tracelode.streaming import jobs
 
 
 def rows(df, *names):
@@ -102,6 +106,95 @@ def test_intent_sees_phrases_and_negations_over_message_edges(spark):
     assert ("SEARCH", "custom:one") in [(r["intent"], r["keyword"]) for r in custom.collect()]
 
 
+def test_intent_phrases_over_many_messages(spark):
+    """Labels of split texts are those of the joined text, wherever it is cut."""
+    custom = {"test": ["alpha beta gamma delta epsilon"], "search": ["where is it"]}
+    joined = [
+        "please alpha beta gamma delta epsilon now", "so where is it then", "do not add it", "never fix how does it go",
+        "don't where is it alpha beta gamma delta", "x refactoring plan y", "modify files", "please do not refactor plan ok",
+        "nothing to see", "never never add one",
+    ]
+    split, whole = [], []
+    for k, sentence in enumerate(joined):
+        parts = sentence.split()
+        for style, size in enumerate((1, 2, 3)):
+            pieces = [" ".join(parts[i : i + size]) for i in range(0, len(parts), size)]
+            split += [message(10 * k + style, 5000 * n, "user", piece) for n, piece in enumerate(pieces)]
+            whole.append(message(10 * k + style, 0, "user", sentence))
+    label = lambda data: {
+        r["conv_id"]: (r["intent"], r["keyword"])
+        for r in conversations.intent_label(spark.createDataFrame(data, schemas.MESSAGES), custom).collect()
+    }
+    got = label(split)
+    assert got == label(whole)
+    assert got[0] == ("TEST", "custom:alpha beta gamma delta epsilon") and got[10] == ("SEARCH", "custom:where is it")
+
+
+def test_cycles_of_equal_first_module_and_size_stay_apart(spark):
+    members = spark.createDataFrame(
+        [(1, "n1", "pkg/a"), (1, "n2", "pkg/b"), (2, "n3", "pkg/a"), (2, "n4", "pkg/c"), (3, "n5", "pkg/b"), (3, "n6", "pkg/a")],
+        "cycle_id long, node string, module string",
+    )
+    sets = graph.cycle_module_sets(members).collect()
+    assert len(sets) == 2 and all(r["modules"].startswith("pkg/a +1 #") for r in sets)
+    listed = {}
+    for r in graph.cycle_modules(members).collect():
+        listed.setdefault(r["modules"], set()).add(r["module"])
+    assert sorted(map(sorted, listed.values())) == [["pkg/a", "pkg/b"], ["pkg/a", "pkg/c"]]
+
+
+def test_whole_bodies_and_errors_of_any_shape(spark):
+    lines = [
+        (1, 0, '{"choices":[{"message":{"content":"hello"}}]}'), (2, 0, 'data: {"error":"boom"}'),
+        (3, 0, 'data: {"error":{"message":"told"}}'), (4, 0, 'data: {"error":{"code":5}}'),
+        (5, 1, 'data: {"choices":[{"delta":{"content":"b"}}]}'), (5, 0, 'data: {"choices":[{"delta":{"content":"a"}}]}'),
+    ]
+    frame = spark.createDataFrame(lines, "request_id long, seq long, line string")
+    got = {r["request_id"]: (r["answer"], r["error"]) for r in responses.assemble_responses(frame).collect()}
+    assert got == {1: ("hello", None), 2: ("", "boom"), 3: ("", "told"), 4: ("", '{"code":5}'), 5: ("ab", None)}
+
+
+def test_nested_sources_give_an_error_fact(spark):
+    files = spark.createDataFrame(
+        [("deep", "x = " + "-" * 200000 + "1"), ("chain", "x = a" + ".b" * 100000), ("good", "def f():\n    g()\n")],
+        "module string, content string",
+    )
+    facts = mining.facts_table(files)
+    assert {r["module"] for r in mining.parse_errors(facts).collect()} <= {"deep", "chain"}
+    assert [r["qualified_name"] for r in mining.symbols_of(facts).where("module = 'good'").collect()] == ["good.f"]
+
+
+def test_streamed_answers_equal_batch_answers_over_many_batches(spark, tmp_path):
+    parts = [
+        [(1, 2, "C"), (2, 0, "x")], [(1, 1, "B"), (1, 3, DONE), (2, 1, "y"), (2, 2, DONE)],
+        [(1, 0, "A"), (1, 0, "A"), (3, 0, "p"), (3, 2, DONE)], [(1, 3, DONE), (4, 0, DONE)],
+        [(9, 0, "later"), (9, 1, DONE)], [(10, 0, "end"), (10, 1, DONE)],
+    ]
+    schema = "request_id long, seq long, text string, ts timestamp, prompt_tokens long, completion_tokens long, error string"
+    for n, part in enumerate(parts):
+        minutes = n * 3 if n < 4 else n * 60
+        stamp = (pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=minutes)).to_pydatetime()
+        data = [(r, s, t, stamp, s * 10 if t != DONE else None, s, "bad" if (r, s) == (3, 0) else None) for r, s, t in part]
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{tmp_path}/in{n}")
+    folder = tmp_path / "all"
+    folder.mkdir()
+    for n in range(len(parts)):
+        source = next((tmp_path / f"in{n}").glob("part-*.parquet"))
+        target = folder / f"{n}.parquet"
+        target.write_bytes(source.read_bytes())
+        os.utime(target, (1_700_000_000 + n, 1_700_000_000 + n))
+    session = jobs.local_session(spark)
+    chunks = session.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    got = jobs.run_available(spark, jobs.response_state(chunks), "answers").collect()
+    found = {r["request_id"]: (r["answer"], r["chunks"], r["finished"]) for r in got}
+    assert len(got) == len(found)
+    assert found == {
+        1: ("ABC", 3, True), 2: ("xy", 2, True), 3: ("p", 1, False), 4: ("", 0, True), 9: ("later", 1, True), 10: ("end", 1, True),
+    }
+    one = {r["request_id"]: r for r in got}
+    assert (one[1]["prompt_tokens"], one[3]["error"], one[2]["error"]) == (20, "bad", None)
+
+
 def test_query_tokens_keep_form_order(spark):
     df = spark.createDataFrame([("where is ProviderFactory load_all",), ("what is the",), ("?!",)], "t string")
     got = [r[0] for r in df.select(text.query_tokens(F.col("t"))).collect()]

@@ -77,6 +77,41 @@ def previous_value(
     )
 
 
+def preceding_values(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: Column,
+    count: int,
+    output: str,
+    size: int = BLOCK,
+) -> DataFrame:
+    """`value` of up to `count` rows before, oldest first, by the integer columns `order` within `keys`.
+
+    Blocks are cut by the first column of `order`. The window over a whole group sees the last values
+    of each block.
+    """
+    valued = df.withColumn("_value", value).withColumn("_block", _block(order[0], size))
+    backwards = Window.partitionBy(*keys, "_block").orderBy(*[F.desc(name) for name in order])
+    cell = F.struct(F.struct(*order).alias("at"), F.col("_value").alias("v"))
+    last = (
+        valued.withColumn("_rank", F.row_number().over(backwards))
+        .where(F.col("_rank") <= count)
+        .groupBy(*keys, "_block")
+        .agg(F.transform(F.sort_array(F.collect_list(cell)), lambda c: c["v"]).alias("_last"))
+    )
+    blocks = Window.partitionBy(*keys).orderBy("_block").rowsBetween(-count, -1)
+    carried = last.withColumn("_carried", F.flatten(F.collect_list("_last").over(blocks))).drop("_last")
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(-count, -1)
+    newest = F.slice(F.reverse(F.concat("_carried", "_local")), 1, count)
+    return (
+        valued.withColumn("_local", F.collect_list("_value").over(inside))
+        .join(carried, [*keys, "_block"])
+        .withColumn(output, F.reverse(newest))
+        .drop("_value", "_block", "_local", "_carried")
+    )
+
+
 def sorted_ordinal(
     df: DataFrame,
     keys: Sequence[str],

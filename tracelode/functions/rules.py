@@ -103,6 +103,12 @@ def _custom_list(custom: Mapping[str, Sequence[str]] | None) -> list[tuple[str,
     return listed
 
 
+def longest_phrase(custom: Mapping[str, Sequence[str]] | None = None) -> int:
+    """Most words that one rule spans; the explicit patterns span two."""
+    phrases = [keyword for _, keyword in KEYWORD_ORDER] + [pattern for _, pattern in _custom_list(custom)]
+    return max(2, *(len(phrase.split()) for phrase in phrases))
+
+
 def intent_rank(
     text: Column, custom: Mapping[str, Sequence[str]] | None = None, phrases_only: bool = False
 ) -> Column:

@@ -196,3 +196,9 @@ def truncation_flag(answer: Column, completion_tokens: Column, max_tokens: Colum
 
 def strip_empty_think(text: Column) -> Column:
     return F.regexp_replace(text, r"^<think>\s*</think>\s*", "")
+
+
+def last_words(text: Column, count: int) -> Column:
+    """The last `count` words with the white space between and after them, all of a shorter text."""
+    pattern = r"(?U)^(\s*\S+(?:\s+\S+){0,%d})" % (count - 1)
+    return F.reverse(F.regexp_extract(F.reverse(text), pattern, 1))

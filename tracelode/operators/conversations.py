@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelode.functions import rules, text
-from tracelode.functions.ordered import previous_value, running_sum
+from tracelode.functions.ordered import preceding_values, running_sum
 
 NEW_CONVERSATION = "__new__"
 
@@ -73,31 +73,23 @@ def last_tasks(messages: DataFrame) -> DataFrame:
 def intent_label(messages: DataFrame, custom: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Intent of each conversation and the keyword that decided it.
 
-    Every text is matched where it lies and only the best rank per conversation is shuffled. A
-    phrase or a negation over the edge of two neighbouring texts is found too: each text sees the
-    last words of the one before it.
+    The rules hold for the texts of a conversation joined by spaces. Every text is matched where it
+    lies and only the best rank per conversation is shuffled: a text sees as many words of the texts
+    before it as the longest rule can span, over any number of texts, and before those a negation that
+    may reach into them.
     """
-    texts = task_texts(messages).select(
-        "conv_id",
-        (F.col("turn") * 65536 + F.col("part")).alias("position"),
-        F.lower("text").alias("text"),
-    )
-    tail = F.regexp_extract(F.right("text", F.lit(200)), r"(?U)((?:\S+\s+){0,2}\S+)\s*$", 1)
-    texts = previous_value(texts, ["conv_id"], "position", tail, "before")
-    opened = F.col("before").rlike(r"(?U)\b(?:do\s+not|don't|dont|never)$")
-    split = F.col("before").rlike(r"(?U)\bdo$") & F.col("text").rlike(r"(?U)^not\s+\w+\b")
-    own = (
-        F.when(opened, F.regexp_replace("text", r"(?U)^\w+\b", " "))
-        .when(split, F.regexp_replace("text", r"(?U)^not\s+\w+\b", " "))
-        .otherwise(F.col("text"))
-    )
-    texts = texts.withColumn("own", rules.cleaned_request(own))
-    head = F.regexp_extract("own", r"(?U)^((?:\S+\s+){0,2}\S+)", 1)
-    edge = F.concat(rules.cleaned_request(F.col("before")), F.lit(" "), head)
-    rank = F.least(
-        rules.intent_rank(F.col("own"), custom),
-        rules.intent_rank(edge, custom, phrases_only=True),
+    texts = task_texts(messages).select("conv_id", "turn", "part", F.lower("text").alias("text"))
+    span = rules.longest_phrase(custom) - 1
+    seen = span + 2  # a negated command is at most three words
+    texts = preceding_values(
+        texts, ["conv_id"], ["turn", "part"], text.last_words(F.col("text"), seen), seen, "before"
     )
+    before = text.last_words(F.array_join("before", " "), seen)
+    near = text.last_words(before, span)
+    opened = F.left(before, F.char_length(before) - F.char_length(near))
+    opener = F.regexp_extract(opened, r"(?U)\b((?:do\s+not|don't|dont|never|do)\s*)$", 1)
+    joined = F.when(before == "", F.col("text")).otherwise(F.concat(opener, near, F.lit(" "), "text"))
+    rank = rules.intent_rank(rules.cleaned_request(joined), custom)
     best = texts.groupBy("conv_id").agg(F.min(rank).alias("rank"))
     intent, keyword = rules.intent_of_rank(F.col("rank"), custom)
     return best.select("conv_id", intent.alias("intent"), keyword.alias("keyword"))

@@ -83,11 +83,12 @@ def _stream_responses(spark, sf_dir):
     session = jobs.local_session(spark)
     rows = jobs.stream_table(session, f"{sf_dir}/conversations.parquet")
     stamp = F.timestamp_seconds(1_700_000_000 + F.col("conv_id") * 100 + F.col("turn"))
-    both = F.array(
-        F.struct(F.col("turn").alias("seq"), F.col("text").alias("text")),
-        F.struct((F.col("turn") + 1000000).alias("seq"), F.lit("[DONE]").alias("text")),
-    )
-    chunks = rows.select(F.col("conv_id").alias("request_id"), stamp.alias("ts"), F.inline(both))
+    turns = session.read.parquet(f"{sf_dir}/conversations.parquet")
+    ended = rows.join(turns.groupBy("conv_id").agg(F.max("turn").alias("end")), "conv_id")
+    part = F.struct(F.col("turn").alias("seq"), F.col("text").alias("text"))
+    mark = F.struct((F.col("turn") + 1).alias("seq"), F.lit("[DONE]").alias("text"))
+    both = F.when(F.col("turn") == F.col("end"), F.array(mark, part)).otherwise(F.array(part))
+    chunks = ended.select(F.col("conv_id").alias("request_id"), stamp.alias("ts"), F.inline(both))
     folded = jobs.run_available(spark, jobs.response_state(chunks), "responses")
     return folded.select("request_id", F.md5("answer").alias("answer"), "chunks", "finished")
 

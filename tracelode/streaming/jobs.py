@@ -94,48 +94,91 @@ def delta_state(sent: DataFrame, ttl: str | None = None) -> DataFrame:
     )
 
 
-RESPONSE_OUT = "request_id long, answer string, chunks long, first_ts timestamp, finished boolean"
+RESPONSE_OUT = (
+    "request_id long, answer string, chunks long, first_ts timestamp, finished boolean, prompt_tokens long,"
+    " completion_tokens long, error string"
+)
+_PIECE = "struct<seq: long, text: string>"
+_RESPONSE_STATE = (
+    f"told boolean, joined string, next long, pieces array<{_PIECE}>, last long, first_ts string, used_at long,"
+    " prompt_tokens long, completion_tokens long, failed_at long, error string"
+)
 
 
 def response_state(chunks: DataFrame, idle: str = "10 minutes") -> DataFrame:
-    """Finished answers from a stream of (request_id, seq, text, ts); text `[DONE]` ends a request.
+    """Answers from a stream of (request_id, seq, text, ts), seq from 0 on; text `[DONE]` ends a request.
 
-    A request is given out unfinished once the newest event time is `idle` past its last chunk. Event
-    time, so that a rerun decides the same.
+    Columns prompt_tokens, completion_tokens and error may be there too: the last usage and the first
+    error by seq are given out. Chunks may come in any order and any number of batches, and repeat. An
+    answer is given out once all chunks before its end mark are there; if that does not happen, unfinished
+    with what there is, once the newest event time is `idle` past its newest chunk. What arrives for an
+    answer already given out, within `idle`, is ignored. Event time, so that a rerun decides the same.
     """
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    for name, kind in (("prompt_tokens", "long"), ("completion_tokens", "long"), ("error", "string")):
+        if name not in chunks.columns:
+            chunks = chunks.withColumn(name, F.lit(None).cast(kind))
+
+    def given(key: tuple[Any, ...], held: dict, finished: bool) -> pd.DataFrame:
+        rest = sorted(held["pieces"].items())
+        row = {
+            "request_id": key[0], "answer": held["joined"] + "".join(text for _, text in rest),
+            "chunks": held["next"] + len(rest), "first_ts": pd.Timestamp(held["first_ts"]), "finished": finished,
+            "prompt_tokens": held["prompt_tokens"], "completion_tokens": held["completion_tokens"], "error": held["error"],
+        }
+        return pd.DataFrame([row]).astype({"prompt_tokens": "Int64", "completion_tokens": "Int64", "error": object})
+
+    def take(held: dict, row: Any) -> None:
+        if row.text == DONE:
+            held["last"] = row.seq if held["last"] is None else max(held["last"], row.seq)
+        elif row.seq >= held["next"]:
+            held["pieces"][int(row.seq)] = row.text
+        if pd.notna(row.prompt_tokens) and (held["used_at"] is None or row.seq >= held["used_at"]):
+            held["used_at"], held["prompt_tokens"] = int(row.seq), int(row.prompt_tokens)
+            held["completion_tokens"] = int(row.completion_tokens) if pd.notna(row.completion_tokens) else None
+        if row.error is not None and pd.notna(row.error) and (held["failed_at"] is None or row.seq < held["failed_at"]):
+            held["failed_at"], held["error"] = int(row.seq), row.error
+
+    names = [part.split()[0] for part in _RESPONSE_STATE.replace("seq: long, ", "").split(",")]
 
     def fold(
         key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        text, count, first = state.get if state.exists else ("", 0, None)
-        finished = False
-        if not state.hasTimedOut:
-            rows = pd.concat(list(batches)).sort_values("seq")
-            finished = bool((rows["text"] == DONE).any())
-            pieces = rows[rows["text"] != DONE]
-            text += "".join(pieces["text"])
-            count += len(pieces)
-            earliest = rows["ts"].min().isoformat()
-            first = min(first, earliest) if first else earliest
-        if finished or state.hasTimedOut:
+        if state.exists:
+            held = dict(zip(names, state.get))
+            held["pieces"] = {int(seq): text for seq, text in held["pieces"]}
+        else:
+            held = dict.fromkeys(names) | {"told": False, "joined": "", "next": 0, "pieces": {}}
+        if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame(
-                {
-                    "request_id": [key[0]],
-                    "answer": [text],
-                    "chunks": [count],
-                    "first_ts": [pd.Timestamp(first)],
-                    "finished": [finished],
-                }
-            )
+            if not held["told"]:
+                yield given(key, held, False)
             return
-        state.update((text, count, first))
-        state.setTimeoutTimestamp(_deadline(rows["ts"].max(), idle_ms, state))
-
-    answers = chunks.withWatermark("ts", idle).groupBy("request_id").applyInPandasWithState(
-        fold, RESPONSE_OUT, "text string, chunks long, first_ts string", "append",
-        GroupStateTimeout.EventTimeTimeout,
+        newest = None
+        for rows in batches:
+            late = rows["ts"].max()
+            newest = late if newest is None else max(newest, late)
+            early = rows["ts"].min().isoformat()
+            held["first_ts"] = min(held["first_ts"] or early, early)
+            if not held["told"]:
+                for row in rows.itertuples(index=False):
+                    take(held, row)
+        # Chunks that follow on from what is joined already leave the list.
+        joined = []
+        while held["next"] in held["pieces"]:
+            joined.append(held["pieces"].pop(held["next"]))
+            held["next"] += 1
+        held["joined"] += "".join(joined)
+        if not held["told"] and held["last"] is not None and held["next"] >= held["last"]:
+            yield given(key, held, True)
+            held |= {"told": True, "joined": "", "pieces": {}}
+        held["last"] = None if held["last"] is None else int(held["last"])
+        state.update(tuple(list(held["pieces"].items()) if n == "pieces" else held[n] for n in names))
+        state.setTimeoutTimestamp(_deadline(newest, idle_ms, state))
+
+    wanted = ["request_id", "seq", "text", "ts", "prompt_tokens", "completion_tokens", "error"]
+    answers = chunks.select(*wanted).withWatermark("ts", idle).groupBy("request_id").applyInPandasWithState(
+        fold, RESPONSE_OUT, _RESPONSE_STATE, "append", GroupStateTimeout.EventTimeTimeout,
     )
     answer = strip_empty_think(F.col("answer"))
     return answers.withColumn("answer", answer).withColumn("preview", F.substring(answer, 1, PREVIEW))
