@@ -82,6 +82,18 @@ PLAN_COLUMNS = (
     "include_modules", "include_diagnostics", "estimated_complexity", "retrieval_profile",
 )
 
+# What each named capability takes from a repository.
+CAPABILITY_COLUMNS = (
+    "capability", "include_callers", "include_callees", "include_dependencies", "include_dependents",
+    "include_tests", "include_dead_code", "include_diagnostics", "relationship_depth", "max_context_tokens",
+)
+CAPABILITY_PROFILES = (
+    ("explain", False, False, False, False, False, False, False, 1, 4096),
+    ("debug", True, True, True, False, True, False, True, 2, 4096),
+    ("refactor", True, True, True, True, True, True, True, 3, 4096),
+    ("architecture-review", True, True, True, True, True, True, True, 3, 8192),
+)
+
 KEYWORD_ORDER = tuple((intent, word) for intent, words in INTENT_KEYWORDS for word in words)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS_PER_E_FOLD = 1024
+CELLS_PER_BIN = 16384
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -51,7 +52,9 @@ def distribution(
 
     Exactness without a gather: values are counted per (group, value) first, then per
     order-preserving logarithmic bin. A running sum over the few bins of a group tells which bins
-    hold the wanted ranks, and only the distinct values of those bins are ordered.
+    hold the wanted ranks. Those are cut once more, evenly between their own smallest and largest
+    value, so that values of a narrow range or near zero part as well, and only the distinct values
+    of the cells that hold the ranks are ordered.
     """
     probabilities = probabilities or {"median": 0.5, "p90": 0.9}
     keys = [*by, "metric"]
@@ -94,14 +97,33 @@ def distribution(
     for rank in ranks.values():
         for edge in (F.floor(rank), F.ceil(rank)):
             wanted = wanted | holds(edge, F.col("before"), F.col("bin_n"))
-    bins = bins.where(wanted).select(*keys, "bin", "n", "total", "lowest", "highest", "before")
+    bins = bins.where(wanted).select(
+        *keys, "bin", "n", "total", "lowest", "highest", "before", "bin_min", "bin_max"
+    )
+    width = F.col("bin_max") - F.col("bin_min")
+    place = F.floor((F.col("value") - F.col("bin_min")) / width * CELLS_PER_BIN)
+    celled = counted.join(bins, [*keys, "bin"]).withColumn(
+        "cell", F.when(F.col("bin_max") > F.col("bin_min"), place).otherwise(F.lit(0)).cast("bigint")
+    )
+    cells = celled.groupBy(*keys, "bin", "cell").agg(
+        F.sum("cnt").alias("cell_n"), F.max("before").alias("before"), F.max("n").alias("n")
+    )
+    step = (
+        Window.partitionBy(*keys, "bin").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    cells = cells.withColumn("cell_before", F.col("before") + F.sum("cell_n").over(step) - F.col("cell_n"))
+    wanted = F.lit(False)
+    for rank in ranks.values():
+        for edge in (F.floor(rank), F.ceil(rank)):
+            wanted = wanted | holds(edge, F.col("cell_before"), F.col("cell_n"))
+    cells = cells.where(wanted).select(*keys, "bin", "cell", "cell_before")
     inside = (
-        Window.partitionBy(*keys, "bin")
+        Window.partitionBy(*keys, "bin", "cell")
         .orderBy("value")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    located = counted.join(bins, [*keys, "bin"]).withColumn(
-        "start", F.col("before") + F.sum("cnt").over(inside) - F.col("cnt")
+    located = celled.join(cells, [*keys, "bin", "cell"]).withColumn(
+        "start", F.col("cell_before") + F.sum("cnt").over(inside) - F.col("cnt")
     )
     picks = []
     for name, rank in ranks.items():

@@ -102,6 +102,20 @@ def backend_groups(catalog: DataFrame) -> DataFrame:
     )
 
 
+def backend_models(catalog: DataFrame) -> DataFrame:
+    """Models of each backend group as rows."""
+    named = catalog.where(F.col("model").isNotNull())
+    return named.select("provider", "base_url", "api_key", "timeout", "model").distinct()
+
+
+def capability_lookup(requests: DataFrame) -> DataFrame:
+    """What the named capability of each request takes along; nulls for a name that is not known."""
+    kinds = ["string"] + ["boolean"] * 7 + ["int"] * 2
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in zip(rules.CAPABILITY_COLUMNS, kinds))
+    table = requests.sparkSession.createDataFrame([tuple(row) for row in rules.CAPABILITY_PROFILES], schema)
+    return requests.join(F.broadcast(table), "capability", "left")
+
+
 def plan_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         [tuple(rule) for rule in rules.PLAN_RULES],

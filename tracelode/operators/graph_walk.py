@@ -168,19 +168,19 @@ def impacted_tests(
     return inside.select("change_id", "module").union(across).distinct()
 
 
+def impacted_modules(impacted: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(change_id, module): the modules of what a change reaches, as rows."""
+    owner = symbols.groupBy(F.col("qualified_name").alias("symbol")).agg(F.min("module").alias("module"))
+    return impacted.join(owner, "symbol").select("change_id", "module").distinct()
+
+
 def impact_report(roots: DataFrame, impacted: DataFrame, symbols: DataFrame) -> DataFrame:
     """Per change: impacted symbols and modules, the furthest distance, and the confidence."""
-    owner = symbols.groupBy(F.col("qualified_name").alias("symbol")).agg(F.min("module").alias("module"))
     per_change = impacted.groupBy("change_id").agg(
         F.count(F.lit(1)).alias("impacted_symbols"), F.max("distance").alias("max_distance")
     )
-    modules = (
-        impacted.join(owner, "symbol")
-        .select("change_id", "module")
-        .distinct()
-        .groupBy("change_id")
-        .agg(F.count(F.lit(1)).alias("impacted_modules"))
-    )
+    reached = impacted_modules(impacted, symbols)
+    modules = reached.groupBy("change_id").agg(F.count(F.lit(1)).alias("impacted_modules"))
     report = (
         roots.select("change_id")
         .distinct()

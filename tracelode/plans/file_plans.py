@@ -150,6 +150,42 @@ def _backend_groups(spark, sf_dir):
     return catalogs.backend_groups(_catalog(spark, sf_dir)).drop("api_key", "timeout")
 
 
+@query(
+    "backend_models",
+    f"WITH {CATALOG_SQL} SELECT DISTINCT provider, base_url, model FROM catalog WHERE model IS NOT NULL",
+)
+def _backend_models(spark, sf_dir):
+    return catalogs.backend_models(_catalog(spark, sf_dir)).drop("api_key", "timeout")
+
+
+def _capability_values() -> str:
+    cells = lambda row: ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row)
+    rows = ", ".join(f"({cells(row)})" for row in rules.CAPABILITY_PROFILES)
+    return f"(VALUES {rows}) AS p({', '.join(rules.CAPABILITY_COLUMNS)})"
+
+
+@query(
+    "capability_lookup",
+    f"""WITH asked AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'explain' WHEN 'error' THEN 'debug'
+      WHEN 'click' THEN 'refactor' WHEN 'signup' THEN 'architecture-review' ELSE 'none' END AS capability FROM events)
+    SELECT event_id, a.capability, include_callers, include_callees, include_dependencies, include_dependents,
+    include_tests, include_dead_code, include_diagnostics, relationship_depth, max_context_tokens
+    FROM asked a LEFT JOIN {_capability_values()} ON p.capability = a.capability""",
+)
+def _capability_lookup(spark, sf_dir):
+    kind = F.col("event_type")
+    name = (
+        F.when(kind == "view", "explain")
+        .when(kind == "error", "debug")
+        .when(kind == "click", "refactor")
+        .when(kind == "signup", "architecture-review")
+        .otherwise("none")
+    )
+    return catalogs.capability_lookup(
+        views.table(spark, sf_dir, "events").select("event_id", name.alias("capability"))
+    )
+
+
 _ASKED = "asked AS (SELECT event_id, 'm' || (user_id % 90) AS model FROM events)"
 _UNIQUE = """uniq AS (SELECT model, arg_min(backend_model, entry) AS b, min(entry) AS entry FROM catalog
   WHERE model IS NOT NULL GROUP BY 1),

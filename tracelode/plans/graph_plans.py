@@ -413,6 +413,16 @@ def _impact_report(spark, sf_dir):
     return graph_walk.impact_report(roots, impacted, symbols)
 
 
+@query(
+    "impacted_modules",
+    f"""{WITH}, {IMPACT_SQL} SELECT DISTINCT i.change_id, m.module FROM impacted i
+    JOIN symbols m ON m.qualified_name = i.symbol""",
+)
+def _impacted_modules(spark, sf_dir):
+    _, impacted, _, symbols = _impact(spark, sf_dir)
+    return graph_walk.impacted_modules(impacted, symbols)
+
+
 @query(
     "impacted_tests",
     f"""{WITH}, {IMPACT_SQL},

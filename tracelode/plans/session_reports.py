@@ -211,6 +211,15 @@ def _cap_runs(spark, sf_dir):
     return sessions.cap_run_comparison(views.requests(spark, sf_dir).withColumnRenamed("model", "label"))
 
 
-@query("approximate_latency")
+@query("approximate_latency", "SELECT true AS median_close, true AS p90_close")
 def _approximate(spark, sf_dir):
-    return sessions.approximate_latency(views.requests(spark, sf_dir))
+    """Whether both estimates lie within the sketch's rank error of 1 / 10,000."""
+    requests = views.requests(spark, sf_dir).where("total_ms IS NOT NULL").select("total_ms", F.lit(1).alias("one"))
+    guess = sessions.approximate_latency(requests).withColumn("one", F.lit(1))
+    ranked = requests.join(F.broadcast(guess), "one")
+
+    def close(name: str, rank: float):
+        below, upto = (F.avg(c.cast("double")) for c in (F.col("total_ms") < F.col(name), F.col("total_ms") <= F.col(name)))
+        return ((below <= rank + 1e-4) & (upto >= rank - 1e-4)).alias(f"{name}_close")
+
+    return ranked.agg(close("median", 0.5), close("p90", 0.9))
