@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.session import cut_lineage
+from tracelode.session import cut_lineage, scratch_path
 
 
 def spread_minimum(links: DataFrame) -> DataFrame:
@@ -362,12 +362,13 @@ def call_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def longest_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, level): edges on the longest way from a source node. The graph must be acyclic."""
+    """(node, level): edges on the longest way from a source node. A graph with a cycle is an error."""
     arcs = cut_lineage(
         edges.select(F.col("source").alias("node"), F.col("target").alias("next")).distinct()
     )
     every = nodes.select("node").union(arcs.select("node")).union(arcs.select("next")).distinct()
     state = cut_lineage(every.select("node", F.lit(0).cast("bigint").alias("value")))
+    size = state.count()
     while True:
         current = state.select("node", "value", F.col("value").alias("was"))
         for _ in range(ROUNDS_PER_CUT):
@@ -377,8 +378,11 @@ def longest_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             pool = current.unionByName(offers.withColumn("was", F.lit(None).cast("bigint")))
             current = pool.groupBy("node").agg(F.max("value").alias("value"), F.max("was").alias("was"))
         state = cut_lineage(current)
-        if state.where(F.col("value") != F.col("was")).isEmpty():
+        seen = state.agg(F.count_if(F.col("value") != F.col("was")), F.max("value")).first()
+        if not seen[0]:
             return state.select("node", F.col("value").alias("level"))
+        if seen[1] >= size:
+            raise ValueError("a way longer than the number of nodes: the graph has a cycle")
 
 
 def dag_layers(nodes: DataFrame, deps: DataFrame) -> DataFrame:
@@ -388,23 +392,24 @@ def dag_layers(nodes: DataFrame, deps: DataFrame) -> DataFrame:
     node enters the layer after its last dependency. What never gets a layer is cyclic or waits for
     a cycle.
     """
+    spark = nodes.sparkSession
     waiting = cut_lineage(deps.select("node", "depends_on").distinct())
     todo = cut_lineage(nodes.select("node").distinct())
-    placed = None
+    path = scratch_path(spark, "layers")  # one table, a partition for each layer
     layer = 0
     while True:
-        ready = todo.join(waiting.select("node").distinct(), "node", "left_anti")
-        ready = cut_lineage(ready.withColumn("layer", F.lit(layer)))
+        step = f"{path}/layer={layer}"
+        todo.join(waiting.select("node").distinct(), "node", "left_anti").write.parquet(step)
+        ready = spark.read.schema(todo.schema).parquet(step)
         if ready.isEmpty():
             break
-        placed = ready if placed is None else placed.unionByName(ready)
         done = ready.select(F.col("node").alias("depends_on"))
         waiting = waiting.join(done, "depends_on", "left_anti").select("node", "depends_on")
         todo = todo.join(ready, "node", "left_anti")
         layer += 1
         if layer % ROUNDS_PER_CUT == 0:
             waiting, todo = cut_lineage(waiting), cut_lineage(todo)
-    return placed if placed is not None else nodes.select("node", F.lit(0).alias("layer")).limit(0)
+    return spark.read.schema(todo.select("node").schema.add("layer", "integer")).parquet(path)
 
 
 def dag_checks(nodes: DataFrame, deps: DataFrame) -> DataFrame:
