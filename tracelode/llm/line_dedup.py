@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelode.llm.columns import fresh_name, has_word, text_lines, words
+from tracelode.llm.columns import fresh_name, has_word, let, text_lines, words
 from tracelode.session import cut_lineage
 
 POSITION = ("doc_id", "text_code", "idx")
@@ -143,13 +143,9 @@ def deduplicate(
     joined = coded.join(gone, (coded[doc_id].eqNullSafe(gone[there])) & (coded[own] == gone[code]), "left")
     # Numbers of lost lines among the lines with a word become numbers among all lines.
     numbered = F.transform(_numbered_lines(F.col(text)), lambda cell: cell["line_no"])
-    numbers = fresh_name(docs.columns, "_numbers")
-    dropped = F.transform(F.col(lost), lambda i: F.get(F.col(numbers), i))
-    joined = joined.withColumn(numbers, F.when(F.col(lost).isNotNull(), numbered))
-    flags = F.map_from_arrays(dropped, F.transform(dropped, lambda i: F.lit(True)))
-    marks = fresh_name(docs.columns, "_marks")
-    joined = joined.withColumn(marks, F.when(F.col(lost).isNotNull(), flags))
-    kept = F.filter(text_lines(F.col(text)), lambda line, i: F.element_at(F.col(marks), i).isNull())
+    dropped = let(numbered, lambda held: F.transform(F.col(lost), lambda i: F.get(held, i)))
+    marks = let(dropped, lambda held: F.map_from_arrays(held, F.transform(held, lambda i: F.lit(True))))
+    kept = let(marks, lambda held: F.filter(text_lines(F.col(text)), lambda line, i: F.element_at(held, i).isNull()))
     joined = joined.withColumn(n_lines, F.size(text_lines(F.col(text))).cast("long"))
     joined = joined.withColumn(n_removed, F.coalesce(F.size(F.col(lost)), F.lit(0)).cast("long"))
     out = joined.withColumn(text, F.when(F.col(lost).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))

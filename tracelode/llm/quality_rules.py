@@ -146,7 +146,8 @@ def judge(
         .withColumn(first, F.filter(F.col(rows), has_word))
         .withColumn(flags, let(copies, verdicts))
     )
-    kept_lines = F.filter(F.col(rows), lambda line, i: ~F.get(F.col(flags), i))
+    # Both arrays are arguments, not captured by the lambda, where the planner may inline their making.
+    kept_lines = F.zip_with(F.col(rows), F.col(flags), lambda line, bad: F.when(~bad, line))
     # Plain columns, not fields of a struct: the planner inlines structs and would work them out again.
     name = {n: fresh_name(docs.columns, f"_{n}") for n in FIELDS}
     figures = prepared.withColumns(
@@ -175,12 +176,14 @@ def judge(
 def clean(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents that stay, their failing lines removed; same columns. `n_chars` follows if there."""
     column = fresh_name(docs.columns, "quality")
-    judged = judge(docs, text, output=column, **options).filter(F.col(column)["kept"])
-    out = judged.withColumn(text, F.col(column)["cleaned"])
+    judged = judge(docs, text, output=column, **options)
+    cleaned = F.col(column)["cleaned"]
+    new = {text: cleaned}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.char_length(text).cast(kind))
-    return out.select(*[F.col(f"`{name}`") for name in docs.columns])
+        new["n_chars"] = F.char_length(cleaned).cast(docs.schema["n_chars"].dataType)
+    row = F.struct(*[new.get(name, F.col(f"`{name}`")).alias(name) for name in docs.columns])
+    # Not a filter: it would be pushed below the verdict and work it out once more.
+    return judged.select(F.inline(F.when(F.col(column)["kept"], F.array(row))))
 
 
 def verdict_digest(docs: DataFrame) -> DataFrame:
