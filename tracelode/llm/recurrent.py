@@ -29,6 +29,23 @@ class Layout:
         self.class_of = np.concatenate([owner, [used, used + 1]]).astype(np.int64)
 
 
+def _log_softmax(logits: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of the picked columns; `logits` become exponentials, whose row sums are returned.
+
+    One shift serves all rows; rows so far below it that they would vanish have their own.
+    """
+    if not len(logits):
+        return np.zeros(0, dtype=np.float32), np.zeros(0, dtype=np.float32)
+    logits -= logits.max()
+    low = logits[np.arange(len(pick)), pick]
+    if low.min() < -60:
+        logits -= logits.max(axis=1, keepdims=True)
+        low = logits[np.arange(len(pick)), pick]
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], dtype=np.float32)
+    return low - np.log(total), total
+
+
 class Model:
     """Parameters as one flat float32 array with named views."""
 
@@ -58,7 +75,7 @@ class Model:
     def _run(self, tokens: np.ndarray, state: np.ndarray, tape: list | None) -> np.ndarray:
         """States before each of the steps of `tokens` (steps, rows), then the one after the last."""
         h = self.hidden
-        entered = self.part["enter"][tokens] + self.part["bias"]
+        entered = (self.part["enter"] + self.part["bias"])[tokens]
         states = np.empty((len(tokens) + 1, len(state), h), dtype=np.float32)
         states[0] = state
         for t in range(len(tokens)):
@@ -79,12 +96,9 @@ class Model:
         """Log probability of each token given the state before it, and the gradient on the states."""
         layout = self.layout
         class_of = layout.class_of[tokens]
-        logits = states @ self.part["class_w"].T + self.part["class_b"]
-        logits -= logits.max(axis=1, keepdims=True)
-        chosen = logits[np.arange(len(tokens)), class_of]
-        np.exp(logits, out=logits)
-        total = logits.sum(axis=1)
-        found = chosen - np.log(total)
+        logits = states @ self.part["class_w"].T
+        logits += self.part["class_b"]
+        found, total = _log_softmax(logits, class_of)
         back = None
         if grads is not None:
             logits /= -total[:, None]
@@ -100,13 +114,11 @@ class Model:
             if not len(rows) or b - a < 2:
                 continue
             own = states[rows]
-            scores = own @ self.part["word_w"][a:b].T + self.part["word_b"][a:b]
-            scores -= scores.max(axis=1, keepdims=True)
+            scores = own @ self.part["word_w"][a:b].T
+            scores += self.part["word_b"][a:b]
             pick = tokens[rows] - a
-            chosen = scores[np.arange(len(rows)), pick]
-            np.exp(scores, out=scores)
-            total = scores.sum(axis=1)
-            found[rows] += chosen - np.log(total)
+            inside, total = _log_softmax(scores, pick)
+            found[rows] += inside
             if grads is not None:
                 scores /= -total[:, None]
                 scores[np.arange(len(rows)), pick] += 1
@@ -155,7 +167,8 @@ class Model:
         for t in texts:
             fresh[at] = True
             at += len(t) + 1
-        rows = int(min(128, max(1, len(stream) // (4 * WINDOW))))
+        # Wide enough for few calls a token, narrow enough for some twenty steps a pass over a small part.
+        rows = int(min(256, max(1, len(stream) // (24 * WINDOW))))
         span = len(stream) // rows
         if span < 2:
             return
@@ -192,7 +205,7 @@ class Model:
 
     def _run_cleared(self, tokens: np.ndarray, state: np.ndarray, clear: np.ndarray, tape: list) -> np.ndarray:
         h = self.hidden
-        entered = self.part["enter"][tokens] + self.part["bias"]
+        entered = (self.part["enter"] + self.part["bias"])[tokens]
         states = np.empty((len(tokens) + 1, len(state), h), dtype=np.float32)
         states[0] = state
         for t in range(len(tokens)):
