@@ -9,10 +9,12 @@
 3. Stars. The smallest class of a bucket is its centre, and each other one makes a pair with the centre:
    as many pairs as members. Pairs are checked on full sets.
 4. Components of the confirmed links, by alternating large and small stars.
-5. Rest. A link between two members that miss the centre must not be lost. Where a bucket still holds
-   several components, members of different ones are checked too, but for pairs that cannot be similar:
-   by set size, and by the triangle inequality of the Jaccard distance to the centre, which step 3 has
-   measured. Within a component no pair is formed.
+5. Hubs. A link between two members that both miss the centre must not be lost. Where a bucket still
+   holds several components, its members are checked with a second centre, the one with the fewest
+   shingles of its own (of a group of edits, the text they were made from).
+6. Rest. Members around one hub that are still apart are checked block against block inside tasks, but for
+   pairs that cannot be similar: by set size, by the shingles only one of them has, and by the triangle
+   inequality of the Jaccard distance to the hub. No row is made for a pair, only for a link found.
 
 Large groups of copies are one class; large groups of near copies are stars, dealt out in parts of
 `STAR_PART` members with the centre's text in each part. Nothing is collected to the driver but counts.
@@ -27,6 +29,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +39,8 @@ from tracelode.session import cut_lineage, ship_package
 
 BINS, ROWS, BANDS = 256, 6, 42
 STAR_PART = 64
+BLOCK = 128
+_CELLS = 50
 _PIECE_BYTES = 1 << 22
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(56)
@@ -182,9 +187,17 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     links = tested.filter(close).select("a", "b")
     grouped = cut_lineage(components(links))
 
-    rest = cut_lineage(overlaps(_rest_pairs(members, tested, grouped, percent), texts, width).filter(close).select("a", "b"))
-    if not rest.isEmpty():
-        grouped = cut_lineage(components(links.unionByName(rest)))
+    held = _open_members(members, grouped)
+    if not held.isEmpty():
+        circles = _circles(_with_private(held, texts, width))
+        again = circles.filter("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+        again = again.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        tested = cut_lineage(tested.unionByName(overlaps(again, texts, width)))
+        links = tested.filter(close).select("a", "b")
+        grouped = cut_lineage(components(links))
+        more = cut_lineage(_rest_links(circles, tested, grouped, texts, width, percent))
+        if not more.isEmpty():
+            grouped = cut_lineage(components(links.unionByName(more)))
     linked = classes.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     linked = linked.filter("copies > 1 OR component <> node").select(*codes, "component")
     joined = signed.join(linked, codes, "left")
@@ -194,23 +207,103 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     )
 
 
-def _rest_pairs(members: DataFrame, tested: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket and different components that may be similar and have not been checked."""
-    whole = members.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _with_component(members: DataFrame, grouped: DataFrame) -> DataFrame:
+    return members.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _open_members(members: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component."""
+    whole = _with_component(members, grouped)
     split = whole.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    far = (1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("far")
-    known = tested.select(F.col("a").alias("centre"), F.col("b").alias("node"), far)
-    held = cut_lineage(whole.join(split.select("bucket"), "bucket", "left_semi").filter("node <> centre").join(known, ["centre", "node"]))
-    a, b = held.alias("x"), held.alias("y")
-    limit = 1 - percent / 100 + 1e-9
-    pairs = a.join(
-        b,
-        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-        & (100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles"))
-        & (F.abs(F.col("x.far") - F.col("y.far")) <= limit),
-    )
-    found = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return found.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    return cut_lineage(whole.join(split.select("bucket"), "bucket", "left_semi"))
+
+
+def _with_private(held: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """`held` with `private`: how many shingles of the node no other node of `held` has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece, own in text_pieces(batch, 1, _PIECE_BYTES):
+                sets = shingle_sets(own, width)
+                nodes = np.repeat(piece.column(0).to_numpy(), [len(s) for s in sets])
+                codes = np.concatenate(sets).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(codes)], names=["node", "code"])
+
+    nodes = held.select(F.col("node").alias("doc_id")).distinct()
+    rows = texts.join(nodes, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "node long, code long")
+    alone = rows.groupBy("code").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1")
+    counted = alone.groupBy("node").agg(F.count("*").alias("private"))
+    return cut_lineage(held.join(counted, "node", "left").withColumn("private", F.coalesce("private", F.lit(0))))
+
+
+def _circles(held: DataFrame) -> DataFrame:
+    """hub, node, n_shingles, private: the members of all buckets of one hub, each once.
+
+    The hub of a bucket is the member with the smallest share of private shingles.
+    """
+    order = F.struct(F.col("private") / F.col("n_shingles"), F.col("node"))
+    hubs = held.groupBy("bucket").agg(F.min(order)["node"].alias("hub"))
+    return cut_lineage(held.join(hubs, "bucket").select("hub", "node", "n_shingles", "private").distinct())
+
+
+def _rest_links(circles: DataFrame, tested: DataFrame, grouped: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between components within a circle, looked for block against block.
+
+    Members are dealt into blocks of about `BLOCK` by their distance to the hub; blocks whose distances
+    differ by more than a link's meet no one. A pair is left out if the sizes differ too much, or if the
+    shingles that only one of them has are too many; the first link of two components is enough.
+    """
+    pair = tested.select("a", "b", (1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("far"))
+    keyed = circles.filter(100 * (F.col("n_shingles") - F.col("private")) >= percent * F.col("n_shingles"))
+    keyed = _with_component(keyed, grouped).withColumn("a", F.least("hub", "node")).withColumn("b", F.greatest("hub", "node"))
+    split = keyed.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    placed = keyed.join(split.select("hub"), "hub", "left_semi").join(pair, ["a", "b"], "left").drop("a", "b")
+    placed = placed.withColumn("cell", F.floor(F.coalesce("far", F.lit(0.0)) * _CELLS))
+    sizes = placed.groupBy("hub", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    placed = cut_lineage(placed.join(sizes, ["hub", "cell"]).withColumn("block", F.pmod(F.xxhash64("node"), "parts")).drop("parts", "far"))
+    blocks = placed.select("hub", "cell", "block").distinct()
+    x, y = blocks.alias("x"), blocks.alias("y")
+    reach = int(_CELLS * (1 - percent / 100)) + 1
+    meet = x.join(
+        y,
+        (F.col("x.hub") == F.col("y.hub"))
+        & (F.col("y.cell") - F.col("x.cell")).between(0, reach)
+        & ((F.col("x.cell") < F.col("y.cell")) | (F.col("x.block") <= F.col("y.block"))),
+    ).select(F.struct("x.*").alias("left"), F.struct("y.*").alias("right"))
+    first = meet.select("left", "right", F.lit(0).alias("side"), "left.*")
+    second = meet.filter("left <> right").select("left", "right", F.lit(1).alias("side"), "right.*")
+    dealt = first.unionByName(second).join(placed, ["hub", "cell", "block"])
+    rows = dealt.join(texts, dealt["node"] == texts["doc_id"]).select(
+        F.xxhash64("left", "right").alias("task"), "left", "right", "side", "node", "component", "n_shingles", "private", "text"
+    )
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        sets = shingle_sets([(t or "").encode() for t in block["text"]], width)
+        size, own = block["n_shingles"].to_numpy(), block["private"].to_numpy()
+        side, parts = block["side"].to_numpy(), block["component"].to_numpy()
+        most = np.minimum.outer(size - own, size - own)
+        may = 100 * most >= percent * (np.add.outer(size, size) - most)
+        may &= np.not_equal.outer(parts, parts)
+        may &= np.less.outer(side, side) if side.any() else np.triu(np.ones_like(may), 1)
+        alike: dict[int, int] = {}
+
+        def root(part: int) -> int:
+            while part in alike:
+                part = alike[part]
+            return part
+
+        found = []
+        for i, j in zip(*(k.tolist() for k in np.nonzero(may))):
+            a, b = root(int(parts[i])), root(int(parts[j]))
+            if a == b:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                alike[a] = b
+                found.append((int(block["node"].iloc[i]), int(block["node"].iloc[j])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("task", "left", "right").applyInPandas(compare, "a long, b long")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
