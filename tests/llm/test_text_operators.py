@@ -163,6 +163,21 @@ def test_pages(spark):
     assert html_extract.extract(frame.limit(0)).collect() == []
 
 
+def test_inline_parts_put_aside_end_with_their_tag():
+    read = html_extract.main_text
+    assert read('<p>One <span class="notice">x</span> two.</p>') == "One two."
+    assert read('<article><span class="ad">x</span><p>First.</p><p>Second.</p></article>') == "First.\n\nSecond."
+    assert read('<p>One <label hidden>x <label>y</label> z</label> two.</p>') == "One two."
+    assert read('<p>One <span class="ad">x <span>y</span> z</span> two <span>three</span>.</p>') == "One two three."
+    # Without its own end tag it ends with its parent, and so does one inside of it.
+    assert read('<article><p>One <span aria-hidden="true">x</p><p>Two</span>, three.</p></article>') == "One\n\nTwo, three."
+    assert read('<article>One <span class="ad"><div><span>x</div> y</span> two.</article>') == "One two."
+    assert read('<article>One <span style="display:none">x') == "One"
+    assert read('<article><nav><span>x</nav>One</span> two.</article>') == "One two."
+    linked = html_extract.read_blocks('<p><a href=u>one <span class="ad">x</span> two</a></p>')
+    assert [(b.text, b.links) for b in linked] == [("one two", 6)]
+
+
 def test_language_model_scores(spark):
     draw = np.random.default_rng(1)
     names = [[f"{kind}{i}" for i in range(40)] for kind in "ab"]

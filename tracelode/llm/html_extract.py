@@ -73,7 +73,8 @@ class _Element:
 
     def __init__(self, tag: str, parent: _Element | None, aside: bool):
         self.tag, self.parent, self.aside = tag, parent, aside
-        self.path = f"{parent.path}/{tag}" if parent else tag
+        # Nothing asks for the path of what is put aside.
+        self.path = "" if aside else f"{parent.path}/{tag}" if parent else tag
         self.content = 0
 
 
@@ -125,9 +126,22 @@ def read_blocks(page: str) -> list[_Block]:
     """Blocks of a page in order; those put aside are left out."""
     root = _Element("", None, False)
     here, blocks, parts, links, link_depth, at = root, [], [], 0, 0, 0
+    # The block an inline element that is put aside interrupts: its element, parts, links, link depth.
+    held: tuple[_Element, list[str], int, int] | None = None
+
+    def settle() -> None:
+        """End the interrupted block, for its element was left by other means than the end tag."""
+        nonlocal held
+        if held is not None:
+            text = " ".join("".join(held[1]).split())
+            if text:
+                blocks.append(_Block(held[0], text, min(held[2], len(text))))
+            held = None
 
     def close_block() -> None:
         nonlocal parts, links
+        if not here.aside:
+            settle()
         text = " ".join("".join(parts).split())
         if text and not here.aside:
             blocks.append(_Block(here, text, min(links, len(text))))
@@ -157,6 +171,7 @@ def read_blocks(page: str) -> list[_Block]:
         if token is None:
             add(page[at:])
             close_block()
+            settle()
             return blocks
         add(page[at : token.start()])
         at = token.end()
@@ -165,7 +180,24 @@ def read_blocks(page: str) -> list[_Block]:
         if token[3] is None:
             continue
         tag, end = token[3].lower(), bool(token[2])
-        if tag in _INLINE and not (tag in ("span", "label", "a") and not end and tag != "a" and _put_aside(tag, token[4], here)):
+        if tag in ("span", "label"):
+            # Elements of these are only open where they, or what they stand in, are put aside.
+            if end and here.aside:
+                element = here
+                while element is not None and element.tag != tag:
+                    element = element.parent
+                if element is not None:
+                    here = element.parent
+                    if not here.aside:
+                        (_, parts, links, link_depth), held = held, None
+            elif not end and (here.aside or _put_aside(tag, token[4], here)):
+                if not here.aside:
+                    settle()
+                    held = (here, parts, links, link_depth)
+                    parts, links, link_depth = [], 0, 0
+                here = _Element(tag, here, True)
+            continue
+        if tag in _INLINE:
             if tag == "a":
                 link_depth = 0 if end else 1
             continue
