@@ -178,6 +178,21 @@ def test_inline_parts_put_aside_end_with_their_tag():
     assert [(b.text, b.links) for b in linked] == [("one two", 6)]
 
 
+def test_content_is_whole():
+    read = html_extract.main_text
+    first, second = ["A long first part, with commas, of the page."] * 4, ["Another part, shorter, but content as well."] * 2
+
+    def paragraphs(listed: list[str]) -> str:
+        return "".join(f"<p>{t}</p>" for t in listed)
+
+    page = f"<body><div id=top><a href=1>One</a></div><section>{paragraphs(first)}</section><section>{paragraphs(second)}</section></body>"
+    assert read(page) == "\n\n".join(first + second)
+    page = f"<main><h1>Head</h1><article>{paragraphs(first)}</article><p>Between.</p><article><p>Short.</p></article><aside>no</aside></main><p>Outside.</p>"
+    assert read(page) == "\n\n".join(["Head", *first, "Between.", "Short."])
+    page = f"<article>{paragraphs(first)}</article><div>x</div><article class=related><p>No.</p></article><article><p>Two.</p></article>"
+    assert read(page) == "\n\n".join([*first, "Two."])
+
+
 def test_language_model_scores(spark):
     draw = np.random.default_rng(1)
     names = [[f"{kind}{i}" for i in range(40)] for kind in "ab"]

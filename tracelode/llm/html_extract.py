@@ -4,10 +4,10 @@ A page is read once into blocks: runs of text between block-level tags, each wit
 from the root. Blocks that their markup names as something else (menus, headers and footers of the page,
 sidebars, notices, adverts, forms, reader comments, hidden parts) are put aside. For the rest, characters,
 punctuation and link characters are added up for each path; their ratios to the path's blocks are smoothed
-over neighbouring blocks in page order, fused into one score and compared with a threshold. The content
-node is the article or main element with the most text on paths over the threshold; in pages without such
-elements it is the deepest element that holds most of that text. Inside an article or main element every
-block stays that is not put aside; elsewhere, blocks on paths under the threshold go, but for headings.
+over neighbouring blocks in page order, fused into one score and compared with a threshold. In pages with
+article or main elements the content is all of them, and every block in them stays that is not put aside.
+In other pages the content node is the deepest element that holds all text on paths over the threshold, and
+blocks in it on paths under the threshold go, but for headings.
 
 Pages are read one by one in tasks, no shuffle; time is linear in the page. Null or empty html: empty text.
 Broken markup: unclosed tags end with their parent, stray end tags are ignored, an unclosed script or
@@ -254,11 +254,14 @@ def path_scores(blocks: list[_Block]) -> dict[str, float]:
     return {p: total[p] / count[p] * (1 - links[p] / max(chars[p], 1)) for p in total}
 
 
-def main_text(page: str, threshold: float = 0.15, share: float = 0.6) -> str:
-    """Blocks of the content node joined by blank lines. `threshold`: part of the best path's score."""
+def main_text(page: str, threshold: float = 0.15) -> str:
+    """Blocks of the content joined by blank lines. `threshold`: part of the best path's score."""
     blocks = read_blocks(page)
     if not blocks:
         return ""
+    named = [b.text for b in blocks if _within(b.element, ("article", "main"))]
+    if named:
+        return "\n\n".join(named)
     scores = path_scores(blocks)
     limit = threshold * max(scores.values())
     holders: dict[int, _Element] = {}
@@ -269,13 +272,7 @@ def main_text(page: str, threshold: float = 0.15, share: float = 0.6) -> str:
                 element.content += len(block.text)
                 holders[id(element)] = element
                 element = element.parent
-    named = [e for e in _elements(blocks) if e.tag in ("article", "main") and not _within(e.parent, ("article",))]
-    articles = [e for e in named if e.tag == "article"] or named
-    if articles:
-        best = max(e.content for e in articles)
-        chosen = [e for e in articles if e.content == best] if not best else [e for e in articles if 2 * e.content >= best]
-        return "\n\n".join(b.text for b in blocks if any(_inside(b.element, e) for e in chosen))
-    node = _content_node(holders, share)
+    node = _content_node(holders)
     kept = []
     for block in blocks:
         if not _inside(block.element, node):
@@ -285,16 +282,6 @@ def main_text(page: str, threshold: float = 0.15, share: float = 0.6) -> str:
     return "\n\n".join(kept)
 
 
-def _elements(blocks: list[_Block]) -> list[_Element]:
-    seen: dict[int, _Element] = {}
-    for block in blocks:
-        element = block.element
-        while element is not None and id(element) not in seen:
-            seen[id(element)] = element
-            element = element.parent
-    return list(seen.values())
-
-
 def _inside(element: _Element | None, node: _Element) -> bool:
     while element is not None:
         if element is node:
@@ -303,8 +290,8 @@ def _inside(element: _Element | None, node: _Element) -> bool:
     return False
 
 
-def _content_node(holders: dict[int, _Element], share: float) -> _Element:
-    """From the root down to the child that holds `share` of the content, as long as there is one."""
+def _content_node(holders: dict[int, _Element]) -> _Element:
+    """The deepest element that holds all of the content; one that is a single paragraph or the like counts as its parent."""
     below: dict[int, list[_Element]] = defaultdict(list)
     node = None
     for element in holders.values():
@@ -312,12 +299,11 @@ def _content_node(holders: dict[int, _Element], share: float) -> _Element:
             node = element
         else:
             below[id(element.parent)].append(element)
-    whole = node.content
     while True:
-        best = max(below[id(node)], key=lambda e: e.content, default=None)
-        if best is None or best.content < share * whole or best.tag in ("p", "li", "td", *_HEADINGS):
+        whole = next((e for e in below[id(node)] if e.content == node.content), None)
+        if whole is None or whole.tag in ("p", "li", "td", *_HEADINGS):
             return node
-        node = best
+        node = whole
 
 
 def extract(pages: DataFrame) -> DataFrame:
