@@ -219,6 +219,40 @@ def test_language_model_scores(spark):
     assert lm_score.score_documents(texts.frame(spark, [])).collect() == []
 
 
+def test_vocabulary_grows_and_rare_words_have_context(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    names = [[f"{kind}{i}" for i in range(60)] for kind in "ab"]
+    rows = [(k, " ".join(draw.choice(names[k % 2], 60))) for k in range(600)] + [(700, "once more")]
+    trained: Counter = Counter()
+    for k, text in rows:
+        if not lm_score.held_out(k):
+            trained.update(texts.words(text))
+    seen: dict = {}
+
+    class Kept(lm_score._Vocabulary):
+        def __init__(self, *given):
+            super().__init__(*given)
+            seen["words"] = self
+
+    monkeypatch.setattr(lm_score, "_Vocabulary", Kept)
+    docs = texts.frame(spark, rows)
+    lm_score.score_documents(docs, vocabulary=5, classes=6, hidden=8, rounds=0).count()
+    found = seen["words"]
+    assert len(found.codes) == int(4 * len(trained) ** 0.5)
+    assert found.masses.sum() == found.rest == sum(trained.values()) - sum(sorted(trained.values())[-len(found.codes) :])
+    # Each known word has a token of its own or a share of a group's; the shares of a group add up to one.
+    names_of = sorted(trained)
+    table = WordTable([" ".join(names_of).encode()], lower=True)
+    token, share = found.encode(table.codes(), np.array([trained[w] for w in names_of]))
+    token = found.scored(token)
+    assert token.max() < found.size and len(np.unique(token)) == found.size - 1
+    assert np.allclose(np.bincount(token, 10.0**share, found.size)[np.arange(found.size) != found.end], 1)
+    monkeypatch.setattr(lm_score, "_GROWTH", 0)
+    # All but five words are outside the vocabulary, and still tell which half of the words a text uses.
+    got = lm_score.score_documents(docs, vocabulary=5, classes=6, hidden=8).filter("held_out").collect()
+    assert sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got) > 0.05
+
+
 def test_model_is_a_distribution_and_keeps_state():
     counts = np.array([50, 30, 10, 5, 1], dtype=float)
     model = Model(Layout(counts, 3), 4, counts, (7.0, 2.0))

@@ -2,8 +2,11 @@
 
 1. Counts. Chunks of documents ask for the training count of each of their words (see exchange.py), so
    counts cover all training documents and no table of all words goes anywhere as a whole.
-2. Vocabulary. The `vocabulary` most frequent words are classed by frequency; other known words share one
-   token and are told apart by their counts, unseen words share another one.
+2. Vocabulary. The most frequent words, `vocabulary` at least and `_GROWTH` times the square root of the
+   number of distinct words, have a token each. Other known words are grouped by the power of two of their
+   count and by a hash; a group has a token of its own, as context and as target, and its words are told
+   apart by their counts. The hash grows with the square root of the corpus. Tokens are classed by frequency;
+   the number of classes grows with the square root of the number of tokens. Unseen words share one token.
 3. Training. The weights go round `rounds` times: every task runs truncated backpropagation (recurrent.py)
    over its part of the training documents, each document once in all, and the weights are averaged by
    the tokens they saw. A word seen once stands for an unseen one, since it would be if left out.
@@ -12,7 +15,8 @@
 
 Documents whose crc32(doc_id as text) is divisible by ten are held out. Words are parted by white space,
 A-Z lower-cased, each document ends with an end token. Tasks hold one chunk and one model; the driver holds
-the vocabulary and a bounded number of weight vectors.
+the vocabulary and a bounded number of weight vectors, all of them of the order of the square root of the
+corpus.
 
 Null text: only the end token. Null doc_id: held out. No training document: base scores of an empty
 count table, and a model of even odds. Rows that repeat are learned and scored each. Other columns are
@@ -41,6 +45,9 @@ SCORE_SCHEMA = (
 _TOKEN_SCHEMA = "ids array<long>, lengths array<int>, known array<int>, base array<double>, rest array<double>, tokens binary"
 _MEAN_PARTS = 16
 _ROWS = 2048
+_GROWTH = 4
+_HASH_BITS = 6
+_POWERS = 63
 
 
 def fold(doc_id: int | None) -> int:
@@ -84,78 +91,127 @@ def _count_answer(codes: list[bytes], extra: list[bytes]) -> list[bytes]:
     return [to_planes(part) for part in np.split(totals[group], cuts)]
 
 
-def _note(vocabulary: int):
+def _most_words(vocabulary: int, distinct: float) -> int:
+    return max(vocabulary, int(_GROWTH * distinct**0.5))
+
+
+def _group(codes: np.ndarray, counts: np.ndarray, hashes: int) -> np.ndarray:
+    """Group of words outside the vocabulary: power of two of the count (1 is with 2 and 3) and hash.
+
+    Words seen once are with others because training takes them for unseen ones.
+    """
+    power = np.maximum(np.frexp(np.maximum(counts, 1).astype(np.float64))[1] - 1, 1).astype(np.int64)
+    mixed = (codes ^ (codes >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return np.minimum(power, _POWERS - 1) * hashes + (mixed >> np.uint64(40)).astype(np.int64) % hashes
+
+
+def _note(vocabulary: int, hashes: int, buckets: int):
     def note(codes: list[bytes], extra: list[bytes]) -> bytes:
-        """Words seen in training and their tokens, then the codes and counts of the most frequent ones."""
+        """Words seen in training, tokens, frequent words; their codes and counts; groups and their tokens."""
         distinct, totals, _ = _totals(codes, extra)
+        totals = totals.astype(np.int64)
         seen = totals > 0
-        top = np.lexsort((distinct, -totals.astype(np.int64)))[:vocabulary]
+        # Codes are even over buckets, so twice the words of this one, times buckets, are more than all.
+        most = _most_words(vocabulary, 2.0 * seen.sum() * buckets)
+        top = np.lexsort((distinct, -totals))[:most]
         top = top[totals[top] > 0]
-        head = np.array([seen.sum(), totals.sum()], dtype=np.uint64)
-        return np.concatenate([head, distinct[top], totals[top]]).tobytes()
+        masses = np.zeros(_POWERS * hashes, dtype=np.int64)
+        np.add.at(masses, _group(distinct, totals, hashes), totals)
+        used = np.flatnonzero(masses)
+        head = np.array([seen.sum(), totals.sum(), len(top)], dtype=np.int64)
+        return np.concatenate([head, distinct[top].view(np.int64), totals[top], used, masses[used]]).tobytes()
 
     return note
 
 
-def _frequent(replies: DataFrame, vocabulary: int) -> tuple[list, int, int]:
-    """The most frequent words as (code, count), the number of distinct words and of word tokens."""
+def _frequent(replies: DataFrame, vocabulary: int, hashes: int) -> tuple[list, int, int, np.ndarray]:
+    """The most frequent words as (code, count), numbers of distinct words and word tokens, tokens by group."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masses, sums = np.zeros(_POWERS * hashes, dtype=np.int64), np.zeros(2, dtype=np.int64)
         for batch in batches:
             for note in batch.column(0).to_pylist():
-                values = np.frombuffer(note, dtype=np.uint64)
-                head, rest = values[:2], values[2:].view(np.int64)
-                half = len(rest) // 2
-                # One more row with a null code carries the sums.
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([None, *rest[:half].tolist()], pa.int64()), pa.array([int(head[1]), *rest[half:].tolist()], pa.int64()),
-                        pa.array([int(head[0])] + [0] * half, pa.int64()),
-                    ],
-                    names=["code", "n", "distinct"],
-                )
-
-    found = replies.filter("note IS NOT NULL").select("note").mapInArrow(unpack, "code long, n long, distinct long")
-    sums = found.filter("code IS NULL").agg(F.sum("distinct").alias("v"), F.sum("n").alias("n")).first()
-    top = found.filter("code IS NOT NULL").orderBy(F.desc("n"), "code").limit(vocabulary).select("code", "n").collect()
-    return [(r["code"], r["n"]) for r in top], sums["v"] or 0, sums["n"] or 0
+                values = np.frombuffer(note, dtype=np.int64)
+                sums += values[:2]
+                codes, counts, rest = np.split(values[3:], [values[2], 2 * values[2]])
+                used, mass = np.split(rest, 2)
+                masses[used] += mass
+                nothing = pa.nulls(len(codes), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts), nothing], names=["code", "n", "masses"])
+        # One more row of each task, with a null code, carries the sums.
+        used = np.flatnonzero(masses)
+        packed = np.concatenate([used, masses[used]]).tobytes()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([None], pa.int64()), pa.array([sums[0]], pa.int64()), pa.array([sums[1:].tobytes() + packed], pa.binary())],
+            names=["code", "n", "masses"],
+        )
+
+    found = replies.filter("note IS NOT NULL").select("note").mapInArrow(unpack, "code long, n long, masses binary")
+    masses, distinct, tokens = np.zeros(_POWERS * hashes, dtype=np.int64), 0, 0
+    for row in found.filter("code IS NULL").toLocalIterator():
+        values = np.frombuffer(row["masses"], dtype=np.int64)
+        used, mass = np.split(values[1:], 2)
+        masses[used] += mass
+        distinct, tokens = distinct + row["n"], tokens + int(values[0])
+    most = _most_words(vocabulary, distinct)
+    top = found.filter("code IS NOT NULL").orderBy(F.desc("n"), "code").limit(most).select("code", "n").collect()
+    return [(r["code"], r["n"]) for r in top], distinct, tokens, masses
 
 
 class _Vocabulary:
-    """What every task needs to turn counted words into tokens: bounded by the vocabulary."""
+    """What every task needs to turn counted words into tokens: bounded by words and groups."""
 
-    def __init__(self, top: list, distinct: int, words: int, ends: int):
+    def __init__(self, top: list, distinct: int, words: int, ends: int, masses: np.ndarray, hashes: int):
         codes = np.array([c for c, _ in top], dtype=np.int64).view(np.uint64)
-        counts = np.array([n for _, n in top] + [ends], dtype=np.int64)
+        own = np.array([n for _, n in top], dtype=np.int64)
+        masses = masses.copy()
+        np.subtract.at(masses, _group(codes, own, hashes), own)
+        groups = np.flatnonzero(masses)
+        counts = np.concatenate([own, [ends], masses[groups]])
         rank = np.argsort(-counts, kind="stable")
         place = np.empty(len(counts), dtype=np.int64)
         place[rank] = np.arange(len(counts))
-        self.counts, self.end = counts[rank], int(place[-1])
+        self.counts, self.end = counts[rank], int(place[len(own)])
         order = np.argsort(codes)
-        self.codes, self.number = codes[order], place[:-1][order]
+        self.codes, self.number = codes[order], place[: len(own)][order]
+        self.hashes, self.masses = hashes, masses
+        self.group_number = np.full(len(masses), -1, dtype=np.int64)
+        self.group_number[groups] = place[len(own) + 1 :]
         self.size = len(counts)
-        self.ends, self.rest = ends, max(words - int(counts[:-1].sum()), 0)
+        self.ends, self.rest = ends, max(words - int(own.sum()), 0)
         self.tokens = words + ends
         self.distinct = distinct + (ends > 0)
         self.scale = self.tokens + 0.1 * (self.distinct + 1)
 
-    def encode(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Token of each distinct word: number, size (known), size + 1 (unseen), size + 2 (seen once)."""
-        out = np.where(counts == 0, self.size + 1, np.where(counts == 1, self.size + 2, self.size))
+    def encode(self, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token of each distinct word, and the log10 of its share of the token's count.
+
+        Own number, number of its group, size + 1 (unseen), size + 2 + number of the group (seen once).
+        """
+        group = _group(codes, counts, self.hashes)
+        number = self.group_number[group]
+        out = np.where(counts == 0, self.size + 1, np.where(counts == 1, self.size + 2 + number, number))
+        share = np.where(counts == 0, 0.0, np.log10(np.maximum(counts, 1) / np.maximum(self.masses[group], 1)))
         if len(self.codes):
             at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-            out = np.where(self.codes[at] == codes, self.number[at], out)
-        return out
+            listed = self.codes[at] == codes
+            out, share = np.where(listed, self.number[at], out), np.where(listed, 0.0, share)
+        return out, share
+
+    def learned(self, text: np.ndarray) -> np.ndarray:
+        """Tokens as training reads them: words seen once stand for unseen ones."""
+        return np.where(text >= self.size + 2, self.size + 1, text)
+
+    def scored(self, text: np.ndarray) -> np.ndarray:
+        return np.where(text >= self.size + 2, text - self.size - 2, text)
 
 
 def _encode_chunk(chunk: exchange.Chunk, words: _Vocabulary) -> tuple:
     distinct = _Distinct(chunk)
     replies = chunk.answers("counts")
     counts = np.concatenate([from_planes(r, np.uint64) for r in replies]).astype(np.int64) if replies else np.zeros(0, np.int64)
-    token = words.encode(distinct.codes, counts)
+    token, rest = words.encode(distinct.codes, counts)
     base = np.log10((counts + 0.1) / words.scale)
-    rest = np.where(token >= words.size, np.log10(np.maximum(counts, 1) / max(words.rest, 1)), 0.0)
-    rest[counts == 0] = 0.0
     first = distinct.table.first
 
     def by_text(values: np.ndarray) -> np.ndarray:
@@ -163,7 +219,7 @@ def _encode_chunk(chunk: exchange.Chunk, words: _Vocabulary) -> tuple:
         return sums[first[1:]] - sums[first[:-1]]
 
     lengths = np.diff(first) + 1
-    stream = np.full(int(lengths.sum()), words.end, dtype=np.uint16)
+    stream = np.full(int(lengths.sum()), words.end, dtype=np.uint32)
     at = np.arange(len(distinct.place)) + distinct.table.text_of
     stream[at] = token[distinct.place]
     known = by_text((counts > 0).astype(np.int64)) + (words.ends > 0)
@@ -172,7 +228,7 @@ def _encode_chunk(chunk: exchange.Chunk, words: _Vocabulary) -> tuple:
 
 
 def _texts(row: dict) -> list[np.ndarray]:
-    stream = from_planes(row["tokens"], np.uint16).astype(np.int64)
+    stream = from_planes(row["tokens"], np.uint32).astype(np.int64)
     return np.split(stream, np.cumsum(row["lengths"])[:-1])
 
 
@@ -187,7 +243,7 @@ def _train_round(encoded: DataFrame, words: _Vocabulary, model: Model, part: int
                 chosen = []
                 for doc_id, text in zip(row["ids"], _texts(row)):
                     if not held_out(doc_id) and fold(doc_id) // 10 % parts == part:
-                        chosen.append(np.where(text == words.size + 2, words.size + 1, text))
+                        chosen.append(words.learned(text))
                 seen += sum(len(t) for t in chosen)
                 own.train(chosen, words.end, rate, memory)
         if seen:
@@ -224,11 +280,12 @@ def score_documents(
         return exchange.asked(bits, chunk.chunk_id, distinct.codes, lambda p: (to_planes(distinct.codes[p]), to_planes(counts[p])))
 
     asks = exchange.over_chunks(chunks, ask, exchange.ASK_SCHEMA)
-    replies = cut_lineage(exchange.answered(asks, _count_answer, _note(vocabulary)))
-    top, distinct, tokens = _frequent(replies, vocabulary)
+    hashes = 1 << (_HASH_BITS + (bits - 4) // 2)
+    replies = cut_lineage(exchange.answered(asks, _count_answer, _note(vocabulary, hashes, 1 << bits)))
+    top, distinct, tokens, masses = _frequent(replies, vocabulary, hashes)
     key = F.coalesce(F.col("id").cast("string"), F.lit(""))
     ends = chunks.select(F.explode("ids").alias("id")).filter(F.crc32(key.cast("binary")) % 10 != 0).count()
-    words = _Vocabulary(top, distinct, tokens, ends)
+    words = _Vocabulary(top, distinct, tokens, ends, masses, hashes)
 
     def encode(chunk: exchange.Chunk) -> pa.RecordBatch:
         kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary())
@@ -237,7 +294,9 @@ def score_documents(
 
     encoded = cut_lineage(exchange.over_chunks(exchange.with_answers(chunks, replies, "counts"), encode, _TOKEN_SCHEMA))
     once = float(np.sqrt(max(words.rest, 0)))
-    model = Model(Layout(words.counts, classes), hidden, words.counts.astype(float), (float(words.rest), once))
+    layout = Layout(words.counts, max(classes, int(np.sqrt(words.size))))
+    # No known word is without a token, so the model's own one for such words is empty.
+    model = Model(layout, hidden, words.counts.astype(float), (0.0, once))
     for k in range(rounds if ends else 0):
         model = _train_round(encoded, words, model, k, rounds, rate * (1 - k / (rounds + 1)))
     flat, train_tokens = model.flat, int(words.tokens)
@@ -247,7 +306,7 @@ def score_documents(
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                texts = [np.where(t == words.size + 2, words.size, t) for t in _texts(row)]
+                texts = [words.scored(t) for t in _texts(row)]
                 found = np.zeros(len(texts))
                 order = np.argsort([len(t) for t in texts], kind="stable")
                 for low in range(0, len(order), _ROWS):

@@ -1,11 +1,12 @@
 """A gated recurrent language model in numpy: one layer, output softmax factored into classes.
 
-Tokens are numbers: 0 .. size-1 are words of the vocabulary, `size` stands for known words outside it,
-`size + 1` for words that training has not seen. Vocabulary words are split into classes of about equal
-probability; the probability of a word is that of its class times that of the word in the class, both
-given the state. The two other tokens are classes of their own.
+Tokens are numbers: 0 .. size-1 are those of the vocabulary, `size` stands for known words outside it (if
+there are any), `size + 1` for words that training has not seen. The vocabulary is split into classes, in
+order of frequency, by probability and by number of tokens alike; the probability of a token is that of its
+class times that of the token in the class, both given the state. The two other tokens are classes of their
+own.
 
-Used inside tasks; a model is a bounded number of floats whatever the corpus.
+Used inside tasks; the number of floats of a model is in proportion to its vocabulary.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ class Layout:
     def __init__(self, counts: np.ndarray, classes: int):
         size = len(counts)
         mass = np.cumsum(counts + 1.0) - (counts + 1.0) / 2
-        owner = np.minimum((mass / (counts + 1.0).sum() * classes).astype(int), classes - 1) if size else np.zeros(0, int)
+        # Half by number: no class has more than twice its share of the tokens, whatever their probability.
+        share = (mass / (counts + 1.0).sum() + (np.arange(size) + 0.5) / max(size, 1)) / 2
+        owner = np.minimum((share * classes).astype(int), classes - 1)
         _, owner = np.unique(owner, return_inverse=True)
         used = int(owner[-1]) + 1 if size else 0
         self.size, self.classes = size, used + 2
