@@ -267,6 +267,24 @@ def test_model_is_a_distribution_and_keeps_state():
     assert abs(alone[0] - together[1]) < 1e-3 and together[3] == 0
 
 
+@pytest.mark.parametrize("length", [1, 2, 31, 767, 768, 3001, 5000])
+def test_training_learns_every_token(length):
+    counts = np.ones(6000)
+    model = Model(Layout(counts, 3), 2, counts, (0.0, 2.0))
+    learned: list = []
+
+    def learn(grid, fresh, state, rate, memory):
+        inside = ~fresh[1:]
+        learned.extend(zip(grid[:-1][inside].tolist(), grid[1:][inside].tolist()))
+        return state
+
+    model._learn = learn
+    cut = length // 3
+    parts = [p for p in (np.arange(1, cut + 1), np.arange(cut + 1, length + 1)) if len(p)]
+    model.train(parts, 0, 0.0, {})
+    assert sorted(learned) == sorted((int(a), int(b)) for p in parts for a, b in zip([0, *p[:-1]], p))
+
+
 def test_gradient_of_the_model():
     """The step's direction agrees with finite differences."""
     counts = np.array([9, 5, 4, 2], dtype=float)

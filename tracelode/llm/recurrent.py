@@ -163,7 +163,11 @@ class Model:
             at += steps
 
     def train(self, texts: list[np.ndarray], start: int, rate: float, memory: dict) -> None:
-        """One pass of truncated backpropagation: rows of texts laid end to end, states carried on."""
+        """One pass of truncated backpropagation: rows of texts laid end to end, states carried on.
+
+        A row reads the last token of the row before it first; the last row is filled up with tokens that
+        are not learned.
+        """
         stream = np.concatenate([np.concatenate([[start], t]) for t in texts]) if texts else np.zeros(0, np.int64)
         fresh = np.zeros(len(stream), dtype=bool)
         at = 0
@@ -172,14 +176,16 @@ class Model:
             at += len(t) + 1
         # Wide enough for few calls a token, narrow enough for some twenty steps a pass over a small part.
         rows = int(min(256, max(1, len(stream) // (24 * WINDOW))))
-        span = len(stream) // rows
-        if span < 2:
+        if len(stream) < 2:
             return
-        grid = stream[: span * rows].reshape(rows, span).T
-        fresh = fresh[: span * rows].reshape(rows, span).T
+        span = -(-(len(stream) - 1) // rows)
+        fill = span * rows + 1 - len(stream)
+        place = np.arange(span + 1)[:, None] + span * np.arange(rows)
+        grid = np.concatenate([stream, np.full(fill, start, dtype=stream.dtype)])[place]
+        fresh = np.concatenate([fresh, np.ones(fill, dtype=bool)])[place]
         state = np.zeros((rows, self.hidden), dtype=np.float32)
-        for low in range(0, span - 1, WINDOW):
-            high = min(low + WINDOW, span - 1)
+        for low in range(0, span, WINDOW):
+            high = min(low + WINDOW, span)
             state = self._learn(grid[low : high + 1], fresh[low : high + 1], state, rate, memory)
 
     def _learn(self, grid: np.ndarray, fresh: np.ndarray, state: np.ndarray, rate: float, memory: dict) -> np.ndarray:
