@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from itertools import compress
 
 import pytest
@@ -67,6 +68,21 @@ def test_links_that_miss_the_centre_are_found(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("percent", [80, 85, 90])
+def test_blocks_of_a_link_meet(percent):
+    """Two members as far apart as a link allows, at any exact distance of one of them to the hub."""
+
+    def cell(apart: int, union: int) -> int:
+        return math.floor((1 - (union - apart) / union) * near_dedup._CELLS)
+
+    for union in range(20, 400, 20):
+        most = union * (100 - percent) // 100
+        for apart in range(union - most + 1):
+            for small in (k for k in range(1, union + 1) if apart * k % union == 0):
+                assert cell(apart + most, union) - cell(apart * small // union, small) <= near_dedup._reach(percent)
+    assert cell(3, 10) - cell(1, 10) == 11 and near_dedup._reach(80) >= 11
+
+
 def test_near_groups_of_odd_rows(spark):
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (2, "A B C D E F"), (9, None), (8, ""), (7, "a")]
     docs = texts.frame(spark, rows).withColumn("component_id", F.lit(1)).withColumn("bucket", F.lit("b"))

@@ -246,6 +246,11 @@ def _circles(held: DataFrame) -> DataFrame:
     return cut_lineage(held.join(hubs, "bucket").select("hub", "node", "n_shingles", "private").distinct())
 
 
+def _reach(percent: int) -> int:
+    """Cells that two members of one link may lie apart; one found in floating point may be one too low."""
+    return _CELLS * (100 - percent) // 100 + 1
+
+
 def _rest_links(circles: DataFrame, tested: DataFrame, grouped: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links between components within a circle, looked for block against block.
 
@@ -263,7 +268,7 @@ def _rest_links(circles: DataFrame, tested: DataFrame, grouped: DataFrame, texts
     placed = cut_lineage(placed.join(sizes, ["hub", "cell"]).withColumn("block", F.pmod(F.xxhash64("node"), "parts")).drop("parts", "far"))
     blocks = placed.select("hub", "cell", "block").distinct()
     x, y = blocks.alias("x"), blocks.alias("y")
-    reach = int(_CELLS * (1 - percent / 100)) + 1
+    reach = _reach(percent)
     meet = x.join(
         y,
         (F.col("x.hub") == F.col("y.hub"))
