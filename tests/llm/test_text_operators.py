@@ -253,6 +253,26 @@ def test_vocabulary_grows_and_rare_words_have_context(spark, monkeypatch):
     assert sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got) > 0.05
 
 
+def test_only_frequent_words_become_rows(spark, monkeypatch):
+    """Words by the hundred in each of 16 buckets, of which as good as only those of the vocabulary leave the notes."""
+    draw = np.random.default_rng(6)
+    held: list = []
+    notes = []
+    for _ in range(16):
+        codes, counts = draw.integers(1, 2**62, 400).astype(np.uint64), draw.zipf(1.5, 400).clip(1, 5000).astype(np.uint64)
+        held += zip(counts.tolist(), codes.tolist())
+        notes.append((lm_score._note(50, 64, 16)([lm_score.to_planes(codes)], [lm_score.to_planes(counts)]),))
+    replies = spark.createDataFrame([*notes, (None,)], "note binary").repartition(3)
+    rows: list = []
+    limit = type(replies).limit
+    monkeypatch.setattr(type(replies), "limit", lambda frame, n: rows.append(frame.count()) or limit(frame, n))
+    top, distinct, tokens, masses = lm_score._frequent(replies, 50, 64)
+    assert (distinct, tokens, masses.sum()) == (len(held), sum(n for n, _ in held), tokens)
+    wanted = sorted(held, key=lambda x: (-x[0], x[1]))[: int(4 * distinct**0.5)]
+    assert top == [(code, n) for n, code in wanted]
+    assert rows[0] < len(wanted) * 4 < len(held)
+
+
 def test_model_is_a_distribution_and_keeps_state():
     counts = np.array([50, 30, 10, 5, 1], dtype=float)
     model = Model(Layout(counts, 3), 4, counts, (7.0, 2.0))

@@ -95,12 +95,17 @@ def _most_words(vocabulary: int, distinct: float) -> int:
     return max(vocabulary, int(_GROWTH * distinct**0.5))
 
 
+def _power(counts: np.ndarray) -> np.ndarray:
+    """Power of two at or under each count."""
+    return np.frexp(np.maximum(counts, 1).astype(np.float64))[1].astype(np.int64) - 1
+
+
 def _group(codes: np.ndarray, counts: np.ndarray, hashes: int) -> np.ndarray:
     """Group of words outside the vocabulary: power of two of the count (1 is with 2 and 3) and hash.
 
     Words seen once are with others because training takes them for unseen ones.
     """
-    power = np.maximum(np.frexp(np.maximum(counts, 1).astype(np.float64))[1] - 1, 1).astype(np.int64)
+    power = np.maximum(_power(counts), 1)
     mixed = (codes ^ (codes >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
     return np.minimum(power, _POWERS - 1) * hashes + (mixed >> np.uint64(40)).astype(np.int64) % hashes
 
@@ -124,38 +129,52 @@ def _note(vocabulary: int, hashes: int, buckets: int):
     return note
 
 
+def _opened(note: bytes) -> tuple:
+    """Words and tokens; codes and counts of the frequent words; groups and their tokens."""
+    values = np.frombuffer(note, dtype=np.int64)
+    codes, counts, rest = np.split(values[3:], [values[2], 2 * values[2]])
+    return values[:2], codes, counts, *np.split(rest, 2)
+
+
 def _frequent(replies: DataFrame, vocabulary: int, hashes: int) -> tuple[list, int, int, np.ndarray]:
     """The most frequent words as (code, count), numbers of distinct words and word tokens, tokens by group."""
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masses, sums = np.zeros(_POWERS * hashes, dtype=np.int64), np.zeros(2, dtype=np.int64)
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row of each task: words and tokens, listed words by power of two of the count, tokens by group."""
+        head, listed, masses = np.zeros(2, np.int64), np.zeros(_POWERS + 1, np.int64), np.zeros(_POWERS * hashes, np.int64)
         for batch in batches:
             for note in batch.column(0).to_pylist():
-                values = np.frombuffer(note, dtype=np.int64)
-                sums += values[:2]
-                codes, counts, rest = np.split(values[3:], [values[2], 2 * values[2]])
-                used, mass = np.split(rest, 2)
+                found, _, counts, used, mass = _opened(note)
+                head += found
+                listed += np.bincount(_power(counts), minlength=_POWERS + 1)
                 masses[used] += mass
-                nothing = pa.nulls(len(codes), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts), nothing], names=["code", "n", "masses"])
-        # One more row of each task, with a null code, carries the sums.
         used = np.flatnonzero(masses)
-        packed = np.concatenate([used, masses[used]]).tobytes()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([None], pa.int64()), pa.array([sums[0]], pa.int64()), pa.array([sums[1:].tobytes() + packed], pa.binary())],
-            names=["code", "n", "masses"],
-        )
-
-    found = replies.filter("note IS NOT NULL").select("note").mapInArrow(unpack, "code long, n long, masses binary")
-    masses, distinct, tokens = np.zeros(_POWERS * hashes, dtype=np.int64), 0, 0
-    for row in found.filter("code IS NULL").toLocalIterator():
-        values = np.frombuffer(row["masses"], dtype=np.int64)
-        used, mass = np.split(values[1:], 2)
+        packed = np.concatenate([head, listed, used, masses[used]]).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], names=["sums"])
+
+    notes = replies.filter("note IS NOT NULL").select("note")
+    head, listed, masses = np.zeros(2, np.int64), np.zeros(_POWERS + 1, np.int64), np.zeros(_POWERS * hashes, np.int64)
+    for row in notes.mapInArrow(sums, "sums binary").toLocalIterator():
+        values = np.frombuffer(row["sums"], dtype=np.int64)
+        used, mass = np.split(values[len(head) + len(listed) :], 2)
+        head += values[: len(head)]
+        listed += values[len(head) : len(head) + len(listed)]
         masses[used] += mass
-        distinct, tokens = distinct + row["n"], tokens + int(values[0])
-    most = _most_words(vocabulary, distinct)
-    top = found.filter("code IS NOT NULL").orderBy(F.desc("n"), "code").limit(most).select("code", "n").collect()
-    return [(r["code"], r["n"]) for r in top], distinct, tokens, masses
+    most = _most_words(vocabulary, int(head[0]))
+    # The highest power of two that as many words reach as are wanted: no others become rows.
+    enough = np.flatnonzero(np.cumsum(listed[::-1])[::-1] >= most)
+    lowest = int(enough[-1]) if len(enough) else 0
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for note in batch.column(0).to_pylist():
+                _, codes, counts, _, _ = _opened(note)
+                high = _power(counts) >= lowest
+                yield pa.RecordBatch.from_arrays([pa.array(codes[high]), pa.array(counts[high])], names=["code", "n"])
+
+    found = notes.mapInArrow(frequent, "code long, n long")
+    top = found.orderBy(F.desc("n"), "code").limit(most).collect()
+    return [(r["code"], r["n"]) for r in top], int(head[0]), int(head[1]), masses
 
 
 class _Vocabulary:
