@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelode.llm.columns import fresh_name
-from tracelode.session import ship_package
+from tracelode.session import cut_lineage, ship_package
 
 STRETCH = 512
 UNKNOWN = "und"
@@ -59,14 +59,14 @@ def sample_passages(docs: DataFrame, rows: int, passages: int, total: int) -> Da
     by_place = Window.partitionBy("lang").orderBy("place")
     first = known.filter("text IS NOT NULL").select("lang", "place").withColumn("rank", F.row_number().over(by_place))
     limits = first.filter(F.col("rank") <= rows).groupBy("lang").agg(F.max("place").alias("limit"))
-    limits = limits.withColumn("languages", F.count("*").over(Window.partitionBy()))
+    # One row a language, of known size: the planner sends it to the documents where it is small.
+    limits = cut_lineage(limits)
+    most = max(1, min(passages, total // max(limits.count(), 1)))
     chosen = known.join(limits, "lang").filter(F.col("place") <= F.col("limit"))
     cut = F.regexp_extract_all(letters(F.col("text")), F.lit(f".{{1,{STRETCH}}}"), F.lit(0))
-    found = chosen.select("lang", "languages", F.explode(cut).alias("passage")).dropDuplicates(["lang", "passage"])
+    found = chosen.select("lang", F.explode(cut).alias("passage")).dropDuplicates(["lang", "passage"])
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("passage"), "passage")
-    most = F.greatest(F.lit(1), F.least(F.lit(passages), F.floor(F.lit(total) / F.col("languages"))))
-    ranked = found.withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= passages)
-    return ranked.filter(F.col("rank") <= most).select("lang", "passage")
+    return found.withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= most).select("lang", "passage")
 
 
 def suffix_automaton(data: bytes) -> tuple[np.ndarray, np.ndarray]:
