@@ -2,7 +2,8 @@
 
 No query is paired with every symbol. A symbol's score is a base that does not depend on the query
 plus what the query's tokens add, and the addition is never negative. So the best k of a query are
-among the symbols its tokens match and the k best by base score alone; both sets are small.
+among the symbols its tokens match and the k best by base score alone; of the former only those in
+blocks of postings that can reach the k-th score are looked at (postings.py).
 """
 
 from __future__ import annotations
@@ -12,13 +13,13 @@ from pyspark.sql import functions as F
 
 from tracelode.functions import text
 from tracelode.functions.ordered import sorted_ordinal
+from tracelode.operators import postings
+from tracelode.session import cut_lineage
 
-# Score weights.
-EXACT_NAME, EXACT_QUALIFIED, PARTIAL_NAME, MODULE_NAME = 100, 90, 50, 30
-TOKEN_IN_NAME, TOKEN_IN_MODULE = 10, 10
+# Score weights (those of tokens and tests are in postings.py).
 PUBLIC_NAME, KNOWN_TYPE, EXPORTED, DOCUMENTED, SMALL = 5, 10, 15, 10, 15
-GENERATED, TEST_CODE, TEST_WANTED, PRIVATE, LARGE = -20, -50, 75, -10, -5
-MAX_COMPOUND_PENALTY, SMALL_LINES, LARGE_LINES = 50, 50, 100
+GENERATED, PRIVATE, LARGE = -20, -10, -5
+SMALL_LINES, LARGE_LINES = 50, 100
 SAME_MODULE, SAME_CLASS, CALLER, CALLEE, SHARED_PARENT = 20, 25, 30, 30, 20
 MINIMUM_SCORE = 1
 # Name patterns and test words.
@@ -164,125 +165,26 @@ def candidate_tokens(symbols: DataFrame) -> DataFrame:
     return symbols.select("symbol_id", "primary_tokens", "support_tokens")
 
 
-def token_hits(queries: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(query_id, symbol_id) where some token of the query is inside the symbol's name or module.
-
-    An equi-join on character grams finds the pairs: a token looks up its first three characters,
-    a symbol is listed under every gram it has, and the hit is then checked in full. Tokens are
-    looked up once each, however many queries share them.
-    """
-    asked = queries.select("query_id", F.explode("tokens").alias("token"))
-    wanted = asked.select("token").distinct().withColumn("gram", F.substring("token", 1, 3))
-    place = F.concat_ws(" ", "lname", "lmodule", "phrases")
-    grams = lambda n: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("place") - n + 1, F.lit(1))),
-        lambda i: F.substring(F.col("place"), i, F.lit(n)),
-    )
-    listed = symbols.select("symbol_id", place.alias("place")).select(
-        "symbol_id", "place", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("gram")
-    )
-    found = listed.join(wanted, "gram").where(F.col("place").contains(F.col("token")))
-    return asked.join(found.select("symbol_id", "token"), "token").select("query_id", "symbol_id").distinct()
-
-
-def _matched(rows: DataFrame) -> DataFrame:
-    """Rows of a symbol beside a query's `tokens`, with `points` and `matched` reasons added.
-
-    Staged, so that no part is worked out twice per row.
-    """
-    tokens = F.col("tokens")
-    plain = lambda t: ~t.rlike("[^a-z0-9_]")
-    rows = rows.withColumn("hit_token", F.get(F.array_intersect(tokens, F.col("forms.form")), 0))
-    at = F.array_position(F.col("forms.form"), F.col("hit_token")).cast("int") - 1
-    rows = rows.withColumn("hit", F.get(F.col("forms.seg"), at))
-    rows = rows.withColumn("in_name", F.filter(tokens, lambda t: F.col("lname").contains(t)))
-    rows = rows.withColumn("of_module", F.size(F.filter(tokens, lambda t: F.col("lmodule").contains(t))))
-    around = F.get(F.filter(F.col("segments"), lambda other: F.position(F.col("hit"), other) > 1), 0)
-    rows = rows.withColumn("around", F.when(F.col("hit").isNotNull(), around))
-    penalty = F.coalesce(
-        F.floor(MAX_COMPOUND_PENALTY * (1.0 - F.length("hit") / F.length("around"))), F.lit(0)
-    ).cast("int")
-    rows = rows.withColumn(
-        "kind",
-        F.when(F.col("hit").isNotNull(), "EXACT_SYMBOL_NAME")
-        .when(F.array_contains(tokens, F.col("lname")), "EXACT_QUALIFIED_NAME")
-        .when(F.exists("in_name", plain), "PARTIAL_SYMBOL_NAME")
-        .when(F.col("of_module") > 0, "MODULE_MATCH"),
-    )
-    name_points = (
-        F.when(F.col("kind") == "EXACT_SYMBOL_NAME", EXACT_NAME - penalty)
-        .when(F.col("kind") == "EXACT_QUALIFIED_NAME", EXACT_QUALIFIED)
-        .when(F.col("kind") == "PARTIAL_SYMBOL_NAME", PARTIAL_NAME)
-        .when(F.col("kind") == "MODULE_MATCH", MODULE_NAME)
-        .otherwise(0)
-    )
-    in_name, of_module = F.size("in_name"), F.col("of_module")
-    points = (
-        name_points
-        + in_name * TOKEN_IN_NAME
-        + F.when(of_module >= 2, of_module * TOKEN_IN_MODULE).otherwise(0)
-    )
-    reasons = F.array_compact(
-        F.array(
-            F.col("kind"),
-            F.when(in_name > 0, "TOKEN_MATCH"),
-            F.when(of_module >= 2, "MODULE_TOKEN_MATCH"),
-        )
-    )
-    return rows.withColumn("points", points).withColumn("matched", reasons)
-
-
-def _test_points(wants_tests: Column) -> Column:
-    return F.when(F.col("is_test"), F.when(wants_tests, TEST_WANTED).otherwise(TEST_CODE)).otherwise(0)
-
-
-def _all_reasons(matched: Column, wants_tests: Column) -> Column:
-    test = F.when(F.col("is_test"), F.when(wants_tests, "TEST_TARGET").otherwise("TEST_CODE"))
-    return F.concat(
-        matched, F.col("reasons_before"), F.array_compact(F.array(test)), F.col("reasons_after")
-    )
-
-
-def score_symbols(queries: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Score and reasons of every (query, symbol) pair that shares a token.
-
-    Input: prepared queries and symbols.
-    """
-    asked = queries.select("query_id", "tokens", "wants_tests")
-    rows = token_hits(queries, symbols).join(symbols, "symbol_id").join(asked, "query_id")
-    return _matched(rows).select(
-        "query_id",
-        "symbol_id",
-        "qualified_name",
-        "module",
-        "symbol_type",
-        (F.col("points") + F.col("base") + _test_points(F.col("wants_tests"))).cast("bigint").alias("score"),
-        _all_reasons(F.col("matched"), F.col("wants_tests")).alias("reasons"),
-    )
-
-
-_ROW = ("symbol_id", "qualified_name", "module", "symbol_type", "score", "reasons")
-
-
 def unmatched_leaders(queries: DataFrame, symbols: DataFrame, k: int) -> DataFrame:
     """For every query, the k best symbols by base score alone, as scored rows.
 
-    Two short lists (with and without tests wanted) are found once and unfolded per query.
+    Two short lists (with and without tests wanted) of k rows each are found once.
     """
 
-    def leaders(wants: bool) -> Column:
+    def leaders(wants: bool) -> DataFrame:
         flag = F.lit(wants)
         scored = symbols.select(
             "symbol_id", "qualified_name", "module", "symbol_type",
-            (F.col("base") + _test_points(flag)).cast("bigint").alias("score"),
-            _all_reasons(F.array().cast("array<string>"), flag).alias("reasons"),
+            (F.col("base") + postings.test_points(flag)).cast("bigint").alias("score"),
+            postings.all_reasons(F.array().cast("array<string>"), flag).alias("reasons"),
         )
         top = best_per_name(scored, []).orderBy(F.desc("score"), "qualified_name").limit(k)
-        return top.agg(F.collect_list(F.struct(*_ROW))).scalar()
+        return top.withColumn("wants_tests", flag)
 
-    lists = F.when(F.col("wants_tests"), leaders(True)).otherwise(leaders(False))
-    asked = queries.where(F.size("tokens") > 0)
-    return asked.select("query_id", F.inline(lists))
+    # Written, so that the planner knows the size of the lists and sends them to the queries if they are small.
+    lists = cut_lineage(leaders(False).unionByName(leaders(True)))
+    asked = queries.where(F.size("tokens") > 0).select("query_id", "wants_tests")
+    return asked.join(lists, "wants_tests").drop("wants_tests")
 
 
 def best_per_name(scored: DataFrame, keys: list[str]) -> DataFrame:
@@ -303,20 +205,47 @@ def rank_candidates(scored: DataFrame) -> DataFrame:
     return sorted_ordinal(good, ["query_id"], levels, [F.col("qualified_name")], "rank")
 
 
-def top_k(queries: DataFrame, symbols: DataFrame, scored: DataFrame) -> DataFrame:
+def _by_score(rows: DataFrame) -> DataFrame:
+    """The best score of each name of a query, with its rank."""
+    names = rows.where(F.col("score") >= MINIMUM_SCORE).groupBy("query_id", "qualified_name").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "qualified_name")
+    return names.withColumn("rank", F.row_number().over(order))
+
+
+def top_k(queries: DataFrame, symbols: DataFrame, found: DataFrame) -> DataFrame:
     """The first `max_symbols` of each query over all symbols, matched or not.
 
-    Rows beyond k leave before the shuffle that orders a query's rows.
+    Postings (`found`) stand in blocks of equal impact, and a directory of blocks is all a query reads at first. The
+    blocks of highest impact, up to k postings, are opened and their pairs scored; with the symbols that are best
+    without any token they give a k-th score that is reached. Then only blocks whose bound reaches it are opened:
+    pairs below it are never made. A pair's best token opens its block, so no pair at or above it is missed.
     """
     k = queries.agg(F.max("max_symbols")).first()[0] or 0
-    if k <= 0:
-        return scored.withColumn("rank", F.lit(0)).limit(0)
-    rows = scored.unionByName(unmatched_leaders(queries, symbols, k))
-    best = best_per_name(rows.where(F.col("score") >= MINIMUM_SCORE), ["query_id"])
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "qualified_name")
+    leaders = cut_lineage(unmatched_leaders(queries, symbols, max(k, 0)))
     limits = queries.select("query_id", "max_symbols")
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.join(limits, "query_id").where(F.col("rank") <= F.col("max_symbols")).drop("max_symbols")
+    impacts = cut_lineage(postings.impact_postings(found))
+    blocks = cut_lineage(postings.impact_blocks(impacts, queries, found))
+    order = Window.partitionBy("query_id").orderBy(F.desc("impact"), "token")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    early = blocks.withColumn("before", before).join(limits, "query_id").where(F.col("before") < F.col("max_symbols"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return postings.score_pairs(pairs, queries, symbols, found)
+
+    names = _by_score(scored(postings.pairs_of(early, impacts)).drop("reasons").unionByName(leaders.drop("reasons")))
+    reached = names.where(F.col("rank") <= k).join(limits, "query_id").where(F.col("rank") == F.col("max_symbols"))
+    reached = cut_lineage(reached.select("query_id", F.col("score").alias("reached")))
+    opened = blocks.join(reached, "query_id", "left").where(F.col("bound") >= F.coalesce("reached", F.lit(MINIMUM_SCORE)))
+    late = cut_lineage(scored(postings.pairs_of(opened, impacts)))
+    ranked = _by_score(late.drop("reasons").unionByName(leaders.drop("reasons"))).where(F.col("rank") <= k)
+    ranked = ranked.join(limits, "query_id").where(F.col("rank") <= F.col("max_symbols"))
+    ranked = cut_lineage(ranked.select("query_id", "qualified_name", "rank"))
+    # Rows of the same name give their reasons too, whatever their own score.
+    ids = symbols.select("qualified_name", "symbol_id")
+    same = scored(ranked.join(ids, "qualified_name").select("query_id", "symbol_id").distinct())
+    rows = same.unionByName(leaders).join(ranked, ["query_id", "qualified_name"])
+    best = best_per_name(rows.drop("rank").where(F.col("score") >= MINIMUM_SCORE), ["query_id"])
+    return best.join(ranked, ["query_id", "qualified_name"])
 
 
 def selected_modules(top: DataFrame, queries: DataFrame) -> DataFrame:
@@ -519,14 +448,19 @@ def budget_trim(enriched: DataFrame, modules: DataFrame, queries: DataFrame) ->
 
 
 def _best_of_modules(
-    wanted: DataFrame, queries: DataFrame, symbols: DataFrame, scored: DataFrame
+    wanted: DataFrame, queries: DataFrame, symbols: DataFrame, found: DataFrame
 ) -> DataFrame:
-    """First symbol of each wanted (query_id, module), by score then name, matched or not."""
+    """First symbol of each wanted (query_id, module), by score then name, matched or not.
+
+    Only the wanted modules' symbols are scored.
+    """
     listed = wanted.select("query_id", "module").distinct()
-    rows = listed.join(symbols, "module").join(queries.select("query_id", "wants_tests"), "query_id")
-    own = scored.select("query_id", "symbol_id", F.col("score").alias("matched_score"))
+    known = symbols.select("symbol_id", "qualified_name", "module", "symbol_type", "base", "is_test")
+    rows = listed.join(known, "module").join(queries.select("query_id", "wants_tests"), "query_id")
+    own = postings.score_pairs(rows.select("query_id", "symbol_id").distinct(), queries, symbols, found)
+    own = own.select("query_id", "symbol_id", F.col("score").alias("matched_score"))
     rows = rows.join(own, ["query_id", "symbol_id"], "left")
-    base = F.col("base") + _test_points(F.col("wants_tests"))
+    base = F.col("base") + postings.test_points(F.col("wants_tests"))
     rows = rows.withColumn("score", F.coalesce("matched_score", base).cast("bigint"))
     rows = rows.where(F.col("score") >= MINIMUM_SCORE)
     best = rows.groupBy("query_id", "module").agg(
@@ -560,7 +494,7 @@ def _put_first(promoted: DataFrame, top: DataFrame, queries: DataFrame) -> DataF
 
 
 def promote_referenced(
-    top: DataFrame, queries: DataFrame, symbols: DataFrame, scored: DataFrame, imports: DataFrame
+    top: DataFrame, queries: DataFrame, symbols: DataFrame, found: DataFrame, imports: DataFrame
 ) -> DataFrame:
     """One symbol of each module a query names, then of each module importing those, come first.
 
@@ -573,7 +507,7 @@ def promote_referenced(
     using = using.select("query_id", "module").distinct().join(refs, ["query_id", "module"], "left_anti")
     using = using.select("query_id", "module", F.lit(1).alias("tier"), F.col("module").alias("place"))
     wanted = named.unionByName(using)
-    promoted = _best_of_modules(wanted, queries, symbols, scored).join(wanted, ["query_id", "module"])
+    promoted = _best_of_modules(wanted, queries, symbols, found).join(wanted, ["query_id", "module"])
     return _put_first(promoted, top, queries)
 
 
@@ -614,7 +548,7 @@ def promote_named(
 
 
 def promote_shared_helpers(
-    top: DataFrame, queries: DataFrame, symbols: DataFrame, scored: DataFrame, imports: DataFrame
+    top: DataFrame, queries: DataFrame, symbols: DataFrame, found: DataFrame, imports: DataFrame
 ) -> DataFrame:
     """For queries about shared helpers: modules the first eight rows import that fit the query's
     words, and the importers of those, each lend one symbol to the front."""
@@ -641,7 +575,7 @@ def promote_shared_helpers(
     using = using.join(direct.select("query_id", "module"), ["query_id", "module"], "left_anti")
     using = using.select("query_id", "module", F.lit(1).alias("tier"), F.col("module").alias("place"))
     wanted = direct.unionByName(using)
-    promoted = _best_of_modules(wanted, queries, symbols, scored).join(wanted, ["query_id", "module"])
+    promoted = _best_of_modules(wanted, queries, symbols, found).join(wanted, ["query_id", "module"])
     return _put_first(promoted, top, queries)
 
 

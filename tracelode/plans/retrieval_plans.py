@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from tracelode import views
-from tracelode.operators import quality, retrieval
+from tracelode.operators import postings, quality, retrieval
 from tracelode.plans.conversation_plans import TOKENISE_SQL
 from tracelode.plans.registry import query
+from tracelode.session import cut_lineage
 
 _GENERATED = " OR ".join(f"contains(lname, '{m}')" for m in retrieval.GENERATED_MARKS)
 _TESTS = "[" + ", ".join(f"'{w}'" for w in retrieval.TEST_WORDS) + "]"
@@ -67,14 +70,29 @@ class Bench:
     def __init__(self, spark, sf_dir):
         self.spark, self.sf_dir = spark, sf_dir
         self.candidates = views.candidates(spark, sf_dir)
-        self.symbols = retrieval.prepare_symbols(self.candidates)
-        self.queries = retrieval.prepare_queries(views.retrieval_queries(spark, sf_dir))
+
+    @cached_property
+    def queries(self):
+        return cut_lineage(retrieval.prepare_queries(views.retrieval_queries(self.spark, self.sf_dir)))
+
+    @cached_property
+    def symbols(self):
+        return cut_lineage(retrieval.prepare_symbols(self.candidates))
+
+    @cached_property
+    def postings(self):
+        tokens = postings.asked_tokens(self.queries)
+        return cut_lineage(postings.token_postings(tokens, self.symbols))
 
     def scored(self):
-        return retrieval.score_symbols(self.queries, self.symbols)
+        return postings.score_symbols(self.queries, self.symbols, self.postings)
+
+    @cached_property
+    def _top(self):
+        return cut_lineage(retrieval.top_k(self.queries, self.symbols, self.postings))
 
     def top(self):
-        return retrieval.top_k(self.queries, self.symbols, self.scored())
+        return self._top
 
     def edges(self):
         return views.named_edges(self.spark, self.sf_dir)
@@ -283,7 +301,7 @@ _REFS = r"""refs AS (SELECT query_id, ref AS module, min(pos) AS pos FROM (SELEC
 def _promote_referenced(spark, sf_dir):
     bench = Bench(spark, sf_dir)
     rows = retrieval.promote_referenced(
-        bench.top(), bench.queries, bench.symbols, bench.scored(), bench.imports()
+        bench.top(), bench.queries, bench.symbols, bench.postings, bench.imports()
     )
     return rows.select("query_id", "qualified_name", "rank")
 
@@ -338,7 +356,7 @@ def _promote_named(spark, sf_dir):
 def _promote_shared(spark, sf_dir):
     bench = Bench(spark, sf_dir)
     rows = retrieval.promote_shared_helpers(
-        bench.top(), bench.queries, bench.symbols, bench.scored(), bench.imports()
+        bench.top(), bench.queries, bench.symbols, bench.postings, bench.imports()
     )
     return rows.select("query_id", "qualified_name", "rank")
 

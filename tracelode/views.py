@@ -371,7 +371,10 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     scope = F.when(key % 3 == 0, "Holder.").when(key % 3 == 1, "RingBox.").otherwise("")
     code = F.when(key % 4 == 0, "class").when(key % 4 == 1, "function").when(key % 4 == 2, "method").otherwise("constant")
-    return table(spark, sf_dir, "part").select(
+    # The table is one row group. Its short rows are dealt out before they grow, so that all cores work on the texts.
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
+    parts = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    return parts.select(
         key.alias("symbol_id"),
         F.concat(module, F.lit("."), scope, name).alias("qualified_name"),
         module.alias("module"),
