@@ -62,7 +62,7 @@ def _stream_once(spark, sf_dir):
     SELECT conv_id, turn, rank, symbol, rank = 1 OR turn = min(turn) OVER (PARTITION BY conv_id, symbol) AS kept FROM once""",
 )
 def _stream_delta(spark, sf_dir):
-    session = jobs.local_session(spark)
+    session = jobs.state_session(spark)
     k = F.get_json_object("props", "$.k").cast("bigint")
     sent = _events(session, sf_dir).select(
         F.col("user_id").alias("conv_id"),
@@ -70,7 +70,7 @@ def _stream_delta(spark, sf_dir):
         (F.col("event_id") % 5 + 1).alias("rank"),
         F.concat(F.lit("s"), (k % 20).cast("string")).alias("symbol"),
     )
-    return jobs.run_available(spark, jobs.delta_state(sent), "delta")
+    return jobs.run_available(spark, jobs.delta_state(sent, ttl="30 days"), "delta")
 
 
 @query(

@@ -9,12 +9,13 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracelode.functions.text import strip_empty_think
 from tracelode.operators.records import ingest_new_records
 from tracelode.operators.responses import DONE, PREVIEW
-from tracelode.session import scratch_path
+from tracelode.session import scratch_path, ship_package
 from tracelode.sources.logs import parse_lines
 
 
@@ -57,40 +58,57 @@ def _deadline(last: pd.Timestamp, idle_ms: int, state: GroupState) -> int:
 
 
 SENT_OUT = "conv_id long, turn long, rank long, symbol string, kept boolean"
+STATE_PARTS = 8
 
 
-def delta_state(sent: DataFrame, ttl: str | None = None) -> DataFrame:
-    """Mark symbols already sent in their conversation, over a stream of (conv_id, turn, rank, symbol).
+class SentSymbols(StatefulProcessor):
+    """Turn in which each symbol of a conversation was first offered, as a map that forgets after `ttl_ms`.
 
-    State is one number per (conversation, symbol): the first turn. Keyed that finely, one long
-    conversation spreads over all tasks. With `ttl` a key is forgotten once the newest event time is
-    that far past its last row; the stream then needs a `ts` column.
+    An entry's time starts again whenever the symbol is offered, so the state holds the symbols offered within
+    `ttl_ms` and no others.
     """
-    timeout = GroupStateTimeout.EventTimeTimeout if ttl else GroupStateTimeout.NoTimeout
-    idle_ms = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else 0
 
-    def mark(
-        key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def __init__(self, ttl_ms: int | None):
+        self._ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._first = handle.getMapState("first", "symbol string", "turn long", self._ttl_ms)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        offered = None
+        for part in rows:
+            part = part[["turn", "symbol", "rank"]]
+            joined = part if offered is None else pd.concat([offered, part])
+            offered = joined.groupby(["turn", "symbol"], as_index=False)["rank"].min()
+        if offered is None:
             return
-        rows = pd.concat(list(batches))
-        first = int(rows["turn"].min())
-        if state.exists:
-            first = min(first, state.get[0])
-        state.update((first,))
-        if idle_ms:
-            state.setTimeoutTimestamp(_deadline(rows["ts"].max(), idle_ms, state))
-        best = rows.groupby("turn", as_index=False)["rank"].min()
-        best["conv_id"], best["symbol"] = key
-        best["kept"] = (best["rank"] == 1) | (best["turn"] == first)
-        yield best[["conv_id", "turn", "rank", "symbol", "kept"]]
-
-    if ttl:
-        sent = sent.withWatermark("ts", ttl)
-    return sent.groupBy("conv_id", "symbol").applyInPandasWithState(
-        mark, SENT_OUT, "first_turn long", "append", timeout
+        first = offered.groupby("symbol")["turn"].min()
+        for symbol, turn in first.items():
+            if self._first.containsKey((symbol,)):
+                first[symbol] = min(int(turn), self._first.getValue((symbol,))[0])
+            self._first.updateValue((symbol,), (int(first[symbol]),))
+        offered["conv_id"] = key[0]
+        offered["kept"] = (offered["rank"] == 1) | (offered["turn"] == offered["symbol"].map(first))
+        yield offered[["conv_id", "turn", "rank", "symbol", "kept"]]
+
+    def close(self) -> None:
+        pass
+
+
+def delta_state(sent: DataFrame, ttl: str | None = None) -> DataFrame:
+    """Mark symbols already sent in their conversation, over a stream of (conv_id, turn, rank, symbol).
+
+    A conversation's symbols are dealt to STATE_PARTS keys, so a very long conversation uses as many tasks, and
+    each key is called once a batch. State is a map from symbol to first turn; with `ttl` (processing time) an entry
+    goes when its symbol was not offered for that long, and the symbol is sent again afterwards. The session needs
+    a state store with map state: see `state_session`.
+    """
+    ship_package(sent.sparkSession)
+    ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None
+    part = F.pmod(F.xxhash64("symbol"), F.lit(STATE_PARTS)).cast("int")
+    keyed = sent.select("conv_id", part.alias("part"), "turn", "rank", "symbol").where(F.col("symbol").isNotNull())
+    return keyed.groupBy("conv_id", "part").transformWithStateInPandas(
+        SentSymbols(ttl_ms), SENT_OUT, "Append", "ProcessingTime" if ttl_ms else "None"
     )
 
 
@@ -217,6 +235,19 @@ def local_session(spark: SparkSession) -> SparkSession:
     return own
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def state_session(spark: SparkSession) -> SparkSession:
+    """Session to start a stream in that keeps maps with expiry: its state store is RocksDB, off the JVM's heap."""
+    own = local_session(spark)
+    own = spark.newSession() if own is spark else own
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # Time alone ends nothing here (an expired entry counts as gone when it is read), so batches without rows are idle.
+    own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    return own
+
+
 def _finish(started) -> None:
     """Wait for a run over the data there is; a query that fails raises here."""
     started.awaitTermination()
