@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import random
 import time
+from pathlib import Path
 
+from pyspark.sql import functions as F
 
 from tracelode.operators.conversations import delta_suppress
 from tracelode.streaming import jobs
@@ -88,3 +90,67 @@ def test_stream_windows_of_no_rows(spark, tmp_path):
     session = jobs.state_session(spark)
     stream = read_files(session, files_of(spark, tmp_path, [[]], SENT), SENT)
     assert jobs.run_available(spark, jobs.delta_state(stream, ttl="1 day"), "none").count() == 0
+
+
+def _rows(ids):
+    return [(i, n, "x" * 40) for n, i in enumerate(ids)]
+
+
+RECORDS = "id long, at long, body string"
+
+
+def test_ingest_keeps_the_first_row_of_each_id(spark, tmp_path):
+    draw = random.Random(5)
+    store = str(tmp_path / "store")
+    write = jobs.ingest_batch(store, "id", "at")
+    wanted = {}
+    for n in range(4):
+        rows = [(draw.randint(0, 400), n * 1000 + draw.randint(0, 900), f"r{n}") for _ in range(200)]
+        for i, at, _ in sorted(rows):
+            if i not in wanted or (wanted[i] // 1000 == n and at < wanted[i]):
+                wanted[i] = at
+        batch = spark.createDataFrame(rows, RECORDS)
+        write(batch, n)
+        if n == 2:
+            write(batch, n)  # run again after a failure
+    got = [(r["id"], r["at"]) for r in spark.read.schema(RECORDS).parquet(store).collect()]
+    assert len(got) == len(wanted) and dict(got) == wanted
+
+
+def test_what_a_batch_reads_does_not_grow_with_history(spark, tmp_path, monkeypatch):
+    opened = []
+    plain = jobs._held
+
+    def held(spark, path, schema, buckets):
+        if not path.endswith("_sketch"):
+            opened.append(sum(f.stat().st_size for b in buckets for f in Path(path).glob(f"id_bucket={b}/*.parquet")))
+        return plain(spark, path, schema, buckets)
+
+    monkeypatch.setattr(jobs, "_held", held)
+    sizes = []
+    for history in (1_000, 30_000):
+        store = str(tmp_path / f"store{history}")
+        write = jobs.ingest_batch(store, "id", "at")
+        write(spark.createDataFrame(_rows(range(history)), RECORDS), 0)
+        total = sum(f.stat().st_size for f in Path(store).glob("id_bucket=*/*.parquet"))
+        opened.clear()
+        write(spark.createDataFrame(_rows(range(10**6, 10**6 + 300)), RECORDS), 1)  # new ids alone
+        new = sum(opened)
+        opened.clear()
+        write(spark.createDataFrame(_rows([5, 5, 10**7]), RECORDS), 2)  # one that is there
+        sizes.append((total, new, sum(opened)))
+        assert spark.read.schema(RECORDS).parquet(store).count() == history + 301
+    (small, new_small, hit_small), (large, new_large, hit_large) = sizes
+    assert large > 2 * small
+    # New ids open nothing, or a bucket that a false hit names; a repeat opens its one bucket of many.
+    assert new_small <= 0.05 * small and new_large <= 0.05 * large
+    assert 0 < hit_small <= 0.05 * small and 0 < hit_large <= 0.05 * large
+
+
+def test_sketch_of_odd_ids(spark):
+    ids = spark.createDataFrame([("",), ("é",), (None,), ("a" * 1000,)], "id string").withColumn("id_bucket", jobs._id_bucket("id"))
+    sketch = jobs.id_sketch(ids.where("id IS NOT NULL"), "id")
+    held = {r["id"] for r in jobs.maybe_held(ids, sketch, "id").collect()}
+    assert {"", "é", "a" * 1000} <= held
+    other = spark.range(2000).select(F.concat(F.lit("n"), "id").alias("id")).withColumn("id_bucket", jobs._id_bucket("id"))
+    assert jobs.maybe_held(other, sketch, "id").count() == 0

@@ -45,7 +45,7 @@ def _stream_ingest(spark, sf_dir):
     store = scratch_path(spark, "store")
     rows = _events(session, sf_dir).select(F.col("user_id").alias("session_id"), "event_id")
     jobs.run_batches(spark, rows, "ingest", jobs.ingest_batch(store, "session_id", "event_id"))
-    return spark.read.schema("session_id long, event_id long").parquet(store)
+    return spark.read.schema("session_id long, event_id long").parquet(store).select("session_id", "event_id")
 
 
 @query("stream_once_per_id", "SELECT count(*) AS n, count(DISTINCT user_id) AS ids FROM (SELECT DISTINCT user_id FROM events)")

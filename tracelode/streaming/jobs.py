@@ -7,13 +7,13 @@ from typing import Any
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracelode.functions.text import strip_empty_think
-from tracelode.operators.records import ingest_new_records
+from tracelode.operators.records import first_per_id
 from tracelode.operators.responses import DONE, PREVIEW
 from tracelode.session import scratch_path, ship_package
 from tracelode.sources.logs import parse_lines
@@ -34,20 +34,78 @@ def once_per_id(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
+ID_BUCKETS = 64
+_SKETCH_CELLS, _SKETCH_HASHES = 16, 3
+_SKETCH_SCHEMA = "cell int, bits binary, id_bucket int"
+_CELL_BITS = 1 << 15
+
+
+def _id_bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(ID_BUCKETS)).cast("int")
+
+
+def _places(ids: DataFrame, key: str) -> DataFrame:
+    """Where each id of (key, id_bucket) sets its bits: a cell of its bucket's sketch and a bit of the cell."""
+    hashed = ids.select(key, "id_bucket", F.explode(F.array(*(F.xxhash64(F.lit(n), F.col(key)) for n in range(_SKETCH_HASHES)))).alias("h"))
+    cell = F.pmod(F.col("h"), F.lit(_SKETCH_CELLS)).cast("int")
+    bit = F.pmod(F.shiftrightunsigned("h", 32), F.lit(_CELL_BITS))
+    return hashed.select(key, "id_bucket", cell.alias("cell"), bit.alias("bit"))
+
+
+def id_sketch(ids: DataFrame, key: str) -> DataFrame:
+    """Bloom sketch of ids as bitmaps: id_bucket, cell, bits."""
+    return _places(ids, key).groupBy("id_bucket", "cell").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def maybe_held(ids: DataFrame, sketch: DataFrame, key: str) -> DataFrame:
+    """Ids (key, id_bucket) all of whose bits are set; ids that were never added are seldom among them."""
+    asked = _places(ids, key)
+    cells = sketch.groupBy("id_bucket", "cell").agg(F.bitmap_or_agg("bits").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    is_set = F.pmod(F.floor(byte / F.pow(F.lit(2), F.col("bit") % 8)), F.lit(2)) == 1
+    seen = asked.join(cells, ["id_bucket", "cell"], "left").select(key, "id_bucket", F.coalesce(is_set, F.lit(False)).alias("is_set"))
+    return seen.groupBy(key, "id_bucket").agg(F.min("is_set").alias("is_set")).filter("is_set").drop("is_set")
+
+
+def _held(spark: SparkSession, path: str, schema: str, buckets: list[int]) -> DataFrame:
+    """Rows of a store's buckets; others are not opened."""
+    return spark.read.schema(schema).parquet(path).filter(F.col("id_bucket").isin(buckets))
+
+
 def ingest_batch(store_path: str, key: str, order: str):
     """foreachBatch function that appends ids the store does not hold yet, for any lateness.
 
-    A batch that is run again after a failure finds its own rows in the store and adds nothing.
+    The store has a folder for each bucket of ids (by hash) and, beside them, a Bloom sketch for each bucket. A
+    batch reads the sketches of its own buckets; only buckets where one of its ids may be are opened, and of these
+    only the ids. So what a batch reads follows the batch and its repeats, not the history.
+
+    Sketches are written before rows: a batch that breaks off in between leaves bits without rows, which cost a
+    look and no more. A batch that is run again finds its own rows in the store and adds nothing.
     """
+    sketch_path = f"{store_path}/_sketch"
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        kept = [name for name in batch.columns]
+        kind = batch.schema[key].dataType.simpleString()
+        fresh = first_per_id(batch, key, order).withColumn("id_bucket", _id_bucket(key)).persist()
         try:
-            store = spark.read.schema(batch.schema).parquet(store_path)
-        except AnalysisException:  # the store does not exist before the first batch
-            store = batch.limit(0)
-        ingest_new_records(batch, store, key, order).select(*kept).write.mode("append").parquet(store_path)
+            own = [row["id_bucket"] for row in fresh.select("id_bucket").distinct().collect()]  # ID_BUCKETS at most
+            buckets = []
+            try:
+                maybe = maybe_held(fresh.select(key, "id_bucket"), _held(spark, sketch_path, _SKETCH_SCHEMA, own), key)
+                buckets = [row["id_bucket"] for row in maybe.select("id_bucket").distinct().collect()]
+            except AnalysisException:  # no store before the first batch
+                pass
+            new = fresh
+            if buckets:
+                new = fresh.join(_held(spark, store_path, f"`{key}` {kind}, id_bucket int", buckets), ["id_bucket", key], "left_anti")
+            # One file a bucket and batch.
+            new = new.select(*batch.columns, "id_bucket").repartition("id_bucket").persist()
+            id_sketch(new, key).write.mode("append").partitionBy("id_bucket").parquet(sketch_path)
+            new.write.mode("append").partitionBy("id_bucket").parquet(store_path)
+            new.unpersist()
+        finally:
+            fresh.unpersist()
 
     return write
 
