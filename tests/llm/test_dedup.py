@@ -93,6 +93,25 @@ def test_near_groups_of_odd_rows(spark):
     assert near_dedup.one_of_each(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_rows_that_share_an_id_are_judged_by_their_text(spark, seed):
+    rows = [(None if k == 3 else k % 40, t) for k, t in texts.corpus(seed)]
+    rows += [(50, rows[0][1]), (50, "a text of its own that no other row has"), (60, "tail " * 3 + "of that"), (3, "tail " * 3 + "of that")]
+    parts = texts.near_components([(n, t if k is not None else None) for n, (k, t) in enumerate(rows)], 3, 85)
+    names: dict[int, int] = {}
+    for n, (k, _) in enumerate(rows):
+        if k is not None:
+            names[parts[n]] = min(names.get(parts[n], k), k)
+    want = [(k, None if k is None else names[parts[n]], k is None or k == names[parts[n]]) for n, (k, _) in enumerate(rows)]
+    docs = texts.frame(spark, rows).withColumn("row", F.lit("r"))
+    got = [(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_groups(docs, 3, 85).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    kept = [(k, t) for (k, t), (_, _, stays) in zip(rows, want) if stays]
+    left = near_dedup.one_of_each(docs, 3, 85)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted(kept, key=repr)
+
+
 def test_components_of_a_long_path(spark):
     links = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = near_dedup.components(links).collect()

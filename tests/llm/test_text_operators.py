@@ -116,6 +116,27 @@ def test_leaks_match_brute_force(spark, monkeypatch, block_bytes):
     assert all(not r.contaminated for r in decontaminate.leak_digest(docs, bench.limit(0)).collect())
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 23, 300, 40])
+def test_leaks_are_judged_row_by_row(spark, monkeypatch, block_bytes):
+    """Ids repeat and lack, texts differ: the blocks of the benchmark make no difference."""
+    passage = " ".join(f"w{i}" for i in range(14))
+    items = {1: passage, 2: "other words here " * 6, 3: passage + " and more " + passage, 4: "a b c"}
+    rows = [(5, f"x {passage} y"), (5, "clean words"), (None, f"{passage} {passage}"), (None, "clean"), (None, None), (6, "a b c a b c"), (6, f"x {passage} y")]
+    rows += [(6, "other words here " * 7 + passage)]
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+    docs = texts.frame(spark, rows).withColumn("row", F.lit("r"))
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    want = []
+    for k, text in rows:
+        n, hit, ids = texts.leaks(text, items)
+        want.append((k, n, hit, len(ids), hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest(), hit > 0))
+    got = [tuple(r) for r in decontaminate.leak_digest(docs, bench).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    left = decontaminate.clean_documents(docs, bench)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted((r for r, w in zip(rows, want) if not w[-1]), key=repr)
+
+
 def test_suffix_array_orders_suffixes():
     draw = np.random.default_rng(3)
     symbols = draw.integers(1, 4, 300).astype(np.uint64)

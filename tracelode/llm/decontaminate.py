@@ -7,8 +7,9 @@ of every benchmark item is binary-searched in that array. The suffixes that shar
 the longest verbatim match, with its place in the item and in the document.
 
 Benchmarks are read in blocks of at most `BLOCK_BYTES` of text; a block goes to every task, which is the
-only thing that does, and its size is fixed. Documents never leave their task: no shuffle with one block,
-one merge by document with more. A document with hits from thousands of items, an item that a third of all
+only thing that does, and its size is fixed (an item longer than that is a block of its own). The driver holds
+one block at a time. Documents never leave their task: no shuffle with one block, one merge by row number of
+what was found with more. A document with hits from thousands of items, an item that a third of all
 documents quote and a passage quoted many times in one document are linear work.
 
 Words are runs of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased. Null or empty text: no words.
@@ -19,14 +20,16 @@ Rows that repeat a doc_id are judged row by row. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelode.llm.columns import fresh_name
 from tracelode.llm.wordcodes import ALNUM, WordTable, text_pieces
-from tracelode.session import ship_package
+from tracelode.session import cut_lineage, ship_package
 
 SHARD_BYTES = 1 << 21
 BLOCK_BYTES = 1 << 23
@@ -192,63 +195,72 @@ def _longest(table: WordTable, items: _Items, at: np.ndarray, owner: np.ndarray,
     return out
 
 
-def _blocks(benchmark: DataFrame) -> list[list]:
-    """Benchmark rows in blocks of bounded size; a block is on the driver while it is searched for."""
+def _blocks(benchmark: DataFrame) -> tuple[int, Iterator[list]]:
+    """How many blocks of bounded size the benchmark's rows make, and the blocks, brought to the driver one by one."""
     rows = benchmark.filter(F.col("item_id").isNotNull()).select(
         F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")
     )
     cell = F.octet_length("text").cast("long") + 16
     total = rows.agg(F.sum(cell)).first()[0] or 0
-    if total <= BLOCK_BYTES:
-        return [rows.collect()]
-    count = -(-2 * total // BLOCK_BYTES)
+    count = 1 if total <= BLOCK_BYTES else -(-2 * total // BLOCK_BYTES)
     spread = rows.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(count)))
-    return [spread.filter(F.col("_block") == k).drop("_block").collect() for k in range(count)]
+    return count, (spread.filter(F.col("_block") == k).drop("_block").collect() for k in range(count))
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """MATCH_SCHEMA, a row for each row of `docs`: words, words under a match, longest matches by place."""
+    """MATCH_SCHEMA, a row for each row of `docs`: words, words under a match, longest matches by place.
+
+    With a benchmark of several blocks the rows are numbered and written first; then each block is searched for in
+    a run of its own, and what it found is put together by row number.
+    """
     ship_package(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    found = [_search(plain, rows, window) for rows in _blocks(benchmark)]
-    if len(found) == 1:
-        return found[0]
+    count, blocks = _blocks(benchmark)
+    if count == 1:
+        return _search(plain.withColumn("row", F.lit(0)), next(blocks), window).drop("row")
+    numbered = _numbered(plain)
+    # The first block gives every row; a block is written before the next one is brought in.
+    found = [cut_lineage(_search(numbered, next(blocks), window))]
+    found += [cut_lineage(_search(numbered, rows, window).filter("n_hit > 0")) for rows in blocks]
     return _merged(found)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with a number for each row, written so that the numbers stay."""
+    return cut_lineage(docs.withColumn("row", F.monotonically_increasing_id()))
+
+
 def _search(docs: DataFrame, rows: list, window: int) -> DataFrame:
+    """Columns of MATCH_SCHEMA and `row`, from doc_id, text and row."""
     ids, texts = [r["item_id"] for r in rows], [r["text"].encode() for r in rows]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = _Items(ids, texts, window)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(_MATCH))
-        names = ["doc_id", "n_words", "n_hit", "matches"]
+        names = ["doc_id", "n_words", "n_hit", "matches", "row"]
         for batch in batches:
             for piece, held in text_pieces(batch, 1, SHARD_BYTES):
                 found = _match_shard(piece.column(0).to_pylist(), held, items)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names=names)
+                columns = [pa.array(c, t) for c, t in zip(zip(*found), kinds)]
+                yield pa.RecordBatch.from_arrays([*columns, piece.column(2).cast(pa.int64())], names=names)
 
-    return docs.mapInArrow(run, MATCH_SCHEMA)
+    return docs.select("doc_id", "text", F.col("row").cast("long")).mapInArrow(run, MATCH_SCHEMA + ", row long")
 
 
 def _merged(found: list[DataFrame]) -> DataFrame:
-    """One row for each document from the rows of several blocks; rows of one doc_id are one document."""
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
+    """One row for each row of the first part, with the matches of all parts."""
+    every = reduce(DataFrame.unionByName, found)
     # Matches of a document are bounded by its words times the items that quote it.
-    grouped = every.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"), F.count("*").alias("n")
+    grouped = every.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches")
     )
     begin, stop = F.col("m.doc_start"), F.col("m.doc_start") + F.col("m.n_words")
-    spans = grouped.select("doc_id", F.explode("matches").alias("m")).select("doc_id", begin.alias("a"), stop.alias("b")).distinct()
-    order = Window.partitionBy("doc_id").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    spans = every.select("row", F.explode("matches").alias("m")).select("row", begin.alias("a"), stop.alias("b")).distinct()
+    order = Window.partitionBy("row").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.greatest(F.coalesce(F.max("b").over(order), F.lit(0)), F.col("a"))
-    covered = spans.select(F.col("doc_id").alias("hit_id"), F.greatest(F.col("b") - reach, F.lit(0)).alias("n_hit"))
-    hits = covered.groupBy("hit_id").agg(F.sum("n_hit").alias("n_hit"))
-    times = (F.col("n") / F.lit(len(found))).cast("int")
-    whole = grouped.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
-    return whole.withColumn("row", F.explode(F.sequence(F.lit(1), times))).select(
+    covered = spans.select("row", F.greatest(F.col("b") - reach, F.lit(0)).alias("n_hit"))
+    hits = covered.groupBy("row").agg(F.sum("n_hit").alias("n_hit"))
+    return grouped.join(hits, "row", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), "matches"
     )
 
@@ -256,13 +268,17 @@ def _merged(found: list[DataFrame]) -> DataFrame:
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """`docs` without the rows that hold a window of the benchmark; same columns, no shuffle.
 
-    With a benchmark of several blocks, each block sees what the ones before it left.
+    With a benchmark of several blocks the rows are numbered and written first, and each block names the rows it hits.
     """
     ship_package(docs.sparkSession)
-    kept = docs
-    for rows in _blocks(benchmark):
-        kept = _without_hits(kept, rows, window)
-    return kept
+    count, blocks = _blocks(benchmark)
+    if count == 1:
+        return _without_hits(docs, next(blocks), window)
+    row = fresh_name(docs.columns, "row")
+    numbered = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
+    plain = numbered.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col(row).alias("row"))
+    hit = [cut_lineage(_search(plain, rows, window).filter("n_hit > 0").select(F.col("row").alias(row))) for rows in blocks]
+    return numbered.join(reduce(DataFrame.unionByName, hit).distinct(), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _without_hits(docs: DataFrame, rows: list, window: int) -> DataFrame:

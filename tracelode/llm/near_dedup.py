@@ -20,8 +20,8 @@ Large groups of copies are one class; large groups of near copies are stars, dea
 `STAR_PART` members with the centre's text in each part. Nothing is collected to the driver but counts.
 
 Null or empty texts, and texts without words, have empty sets and no links. Null doc_id: such a row has no
-name to give to a group, takes no part and is kept (component_id null). Rows of one doc_id are one document
-for the links; each gets its row. Other columns are ignored.
+name to give to a group, takes no part and is kept (component_id null). Rows that share a doc_id are judged
+each by its own text; the row's group is named by the smallest doc_id in it. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelode.llm.columns import fresh_name
 from tracelode.llm.wordcodes import NOT_SPACE, WordTable, mix, text_pieces, window_codes
 from tracelode.session import cut_lineage, ship_package
 
@@ -154,7 +155,7 @@ def components(links: DataFrame) -> DataFrame:
             .filter("u <> v").distinct()
         )
         edges = cut_lineage(next_edges)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.sum("v")).first())
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.sum(F.xxhash64("v") % 1000003)).first())
         if now == seen:
             break
         seen = now
@@ -170,6 +171,36 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     """
     ship_package(docs.sparkSession)
     signed = cut_lineage(signatures(docs, width))
+    if not _ids_repeat(signed):
+        return _groups(docs, signed, width, percent)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = cut_lineage(plain.withColumn("row", F.monotonically_increasing_id()))
+    nameless = signed.filter("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return _row_groups(rows, width, percent).drop("row").unionByName(nameless)
+
+
+def _ids_repeat(signed: DataFrame) -> bool:
+    """Whether some doc_id stands for different sets."""
+    spread = signed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("code_a").alias("low"), F.max("code_a").alias("high"))
+    return not spread.filter("low < high").isEmpty()
+
+
+def _row_groups(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """row, doc_id, n_shingles, component_id, kept of written `rows` (row, doc_id, text) with a doc_id.
+
+    The rows' numbers take the place of ids that do not tell them apart; a group's name is its smallest doc_id.
+    """
+    named = rows.filter("doc_id IS NOT NULL").select("row", "doc_id", "text")
+    plain = named.select(F.col("row").alias("doc_id"), "text")
+    found = _groups(plain, cut_lineage(signatures(plain, width)), width, percent)
+    found = found.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("part")).join(named.select("row", "doc_id"), "row")
+    found = cut_lineage(found)
+    names = found.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    return found.join(names, "part").select("row", "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def _groups(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
+    """Rows of `near_groups` for `docs` and their signatures, where a doc_id stands for one set."""
     named = signed.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     codes = ["code_a", "code_b", "n_shingles"]
     classes = cut_lineage(named.groupBy(*codes).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")))
@@ -312,6 +343,18 @@ def _rest_links(circles: DataFrame, tested: DataFrame, grouped: DataFrame, texts
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with one document of each group, the one of the smallest doc_id; same columns."""
-    gone = near_groups(docs, width, percent).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """`docs` with one document of each group, the one of the smallest doc_id; same columns.
+
+    A row stays or goes by its own text, whatever other rows bear its doc_id.
+    """
+    ship_package(docs.sparkSession)
+    signed = cut_lineage(signatures(docs, width))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if not _ids_repeat(signed):
+        gone = _groups(docs, signed, width, percent).filter(~F.col("kept")).select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*columns)
+    row = fresh_name(docs.columns, "row")
+    rows = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
+    plain = rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    gone = _row_groups(plain, width, percent).filter(~F.col("kept")).select(F.col("row").alias(row))
+    return rows.join(gone, row, "left_anti").select(*columns)
