@@ -7,16 +7,15 @@
    count and by a hash; a group has a token of its own, as context and as target, and its words are told
    apart by their counts. The hash grows with the square root of the corpus. Tokens are classed by frequency;
    the number of classes grows with the square root of the number of tokens. Unseen words share one token.
-3. Training. The weights go round `rounds` times: every task runs truncated backpropagation (recurrent.py)
-   over its part of the training documents, each document once in all, and the weights are averaged by
-   the tokens they saw. A word seen once stands for an unseen one, since it would be if left out.
+3. Training. The weights go round `rounds` times: the documents lie in streams, as many as the square root of
+   the corpus asks for, and a task for each runs truncated backpropagation (recurrent.py) over its part of the
+   training documents, each document once in all. What the weights moved by is averaged by the tokens seen. A word seen once stands for an unseen one, since it would be if left out.
 4. Scoring. Every document is read from its first word to its end mark; the state goes from window to
    window. The score is the log10 probability of all its tokens.
 
 Documents whose crc32(doc_id as text) is divisible by ten are held out. Words are parted by white space,
 A-Z lower-cased, each document ends with an end token. Tasks hold one chunk and one model; the driver holds
-the vocabulary and a bounded number of weight vectors, all of them of the order of the square root of the
-corpus.
+the vocabulary and one weight vector, both of the order of the square root of the corpus.
 
 Null text: only the end token. Null doc_id: held out. No training document: base scores of an empty
 count table, and a model of even odds. Rows that repeat are learned and scored each. Other columns are
@@ -267,17 +266,24 @@ def _train_round(encoded: DataFrame, words: _Vocabulary, model: Model, part: int
                 own.train(chosen, words.end, rate, memory)
         if seen:
             group = zlib.crc32(own.flat.tobytes()) % _MEAN_PARTS
-            names = ["part", "weight", "flat"]
-            yield pa.RecordBatch.from_arrays([pa.array([group]), pa.array([float(seen)]), pa.array([own.flat.tobytes()])], names=names)
+            moved = (own.flat - flat).astype(np.float16)
+            names = ["part", "weight", "moved"]
+            yield pa.RecordBatch.from_arrays([pa.array([group]), pa.array([float(seen)]), pa.array([moved.tobytes()])], names=names)
 
-    def mean(rows: pd.DataFrame) -> pd.DataFrame:
-        weights = rows["weight"].to_numpy()
-        total = sum(np.frombuffer(f, dtype=np.float32).astype(np.float64) * w for f, w in zip(rows["flat"], weights))
-        return pd.DataFrame({"weight": [weights.sum()], "flat": [(total / weights.sum()).astype(np.float32).tobytes()]})
+    def mean(kind: type):
+        def fold(rows: pd.DataFrame) -> pd.DataFrame:
+            total, weight = np.zeros(len(flat)), float(rows["weight"].sum())
+            for moved, own in zip(rows["moved"], rows["weight"]):
+                total += np.frombuffer(moved, dtype=kind).astype(np.float64) * own
+            return pd.DataFrame({"weight": [weight], "moved": [(total / weight).astype(np.float32).tobytes()]})
 
-    learned = encoded.mapInArrow(run, "part long, weight double, flat binary")
-    found = learned.groupBy("part").applyInPandas(mean, "weight double, flat binary").toPandas()
-    return _copy(model, np.frombuffer(mean(found)["flat"][0], dtype=np.float32)) if len(found) else model
+        return fold
+
+    # A stream changes weights by little, so changes go round in half precision; they are averaged in two steps.
+    learned = encoded.mapInArrow(run, "part long, weight double, moved binary")
+    parts = learned.groupBy("part").applyInPandas(mean(np.float16), "weight double, moved binary")
+    found = parts.withColumn("every", F.lit(0)).groupBy("every").applyInPandas(mean(np.float32), "weight double, moved binary").collect()
+    return _copy(model, flat + np.frombuffer(found[0]["moved"], dtype=np.float32)) if found else model
 
 
 def _copy(model: Model, flat: np.ndarray) -> Model:
@@ -316,8 +322,10 @@ def score_documents(
     layout = Layout(words.counts, max(classes, int(np.sqrt(words.size))))
     # No known word is without a token, so the model's own one for such words is empty.
     model = Model(layout, hidden, words.counts.astype(float), (0.0, once))
+    # As many streams as the model is large for: what they send stays in proportion to the corpus.
+    streams = encoded.coalesce(max(_MEAN_PARTS, int(2 * encoded.count() ** 0.5)))
     for k in range(rounds if ends else 0):
-        model = _train_round(encoded, words, model, k, rounds, rate * (1 - k / (rounds + 1)))
+        model = _train_round(streams, words, model, k, rounds, rate * (1 - k / (rounds + 1)))
     flat, train_tokens = model.flat, int(words.tokens)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

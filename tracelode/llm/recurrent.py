@@ -14,6 +14,7 @@ from __future__ import annotations
 import numpy as np
 
 WINDOW = 32
+TOGETHER = 1 << 14
 
 
 class Layout:
@@ -35,11 +36,11 @@ class Layout:
 def _log_softmax(logits: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log probability of the picked columns; `logits` become exponentials, whose row sums are returned.
 
-    One shift serves all rows; rows so far below it that they would vanish have their own.
+    `logits` come shifted by a bound, so that none is above 0; rows so far below it that they would vanish have
+    their own shift.
     """
     if not len(logits):
         return np.zeros(0, dtype=np.float32), np.zeros(0, dtype=np.float32)
-    logits -= logits.max()
     low = logits[np.arange(len(pick)), pick]
     if low.min() < -60:
         logits -= logits.max(axis=1, keepdims=True)
@@ -49,6 +50,19 @@ def _log_softmax(logits: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.n
     return low - np.log(total), total
 
 
+def _shifted(weights: np.ndarray, bias: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Weights with the bias as one more column, less the highest logit that any state can give in its group.
+
+    States lie between -1 and 1; `first` are the first rows of the groups.
+    """
+    out = np.empty((len(weights), weights.shape[1] + 1), dtype=np.float32)
+    out[:, :-1] = weights
+    if len(weights):
+        most = np.maximum.reduceat(np.abs(weights).sum(axis=1) + bias, first)
+        out[:, -1] = bias - np.repeat(most, np.diff(np.append(first, len(weights))))
+    return out
+
+
 class Model:
     """Parameters as one flat float32 array with named views."""
 
@@ -75,10 +89,14 @@ class Model:
         self.part["class_b"][...] = np.array([*mass, np.log(others[0] + 1.0), np.log(others[1] + 1.0)])
         self.part["class_b"][...] -= self.part["class_b"].max()
 
-    def _run(self, tokens: np.ndarray, state: np.ndarray, tape: list | None) -> np.ndarray:
+    def entry(self) -> np.ndarray:
+        """What each token brings to the gates."""
+        return self.part["enter"] + self.part["bias"]
+
+    def _run(self, entry: np.ndarray, tokens: np.ndarray, state: np.ndarray) -> np.ndarray:
         """States before each of the steps of `tokens` (steps, rows), then the one after the last."""
         h = self.hidden
-        entered = (self.part["enter"] + self.part["bias"])[tokens]
+        entered = entry[tokens]
         states = np.empty((len(tokens) + 1, len(state), h), dtype=np.float32)
         states[0] = state
         for t in range(len(tokens)):
@@ -91,44 +109,55 @@ class Model:
             np.subtract(fresh, old, out=states[t + 1])
             states[t + 1] *= gates[:, :h]
             states[t + 1] += old
-            if tape is not None:
-                tape.append((gates, fresh, held[:, 2 * h :]))
         return states
 
     def _targets(self, states: np.ndarray, tokens: np.ndarray, grads: dict | None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Log probability of each token given the state before it, and the gradient on the states."""
-        layout = self.layout
-        class_of = layout.class_of[tokens]
-        logits = states @ self.part["class_w"].T
-        logits += self.part["class_b"]
+        """Log probability of each token given the state before it, and the gradient on the states.
+
+        Tokens are put in order of their classes, so that each class works on rows that lie together.
+        """
+        layout, h = self.layout, self.hidden
+        order = np.argsort(layout.class_of[tokens].astype(np.uint16 if layout.classes < 1 << 16 else np.int64), kind="stable")
+        target = tokens[order]
+        class_of = layout.class_of[target]
+        known = np.ones((len(tokens), h + 1), dtype=np.float32)
+        known[:, :h] = states[order]
+        logits = known @ _shifted(self.part["class_w"], self.part["class_b"], np.zeros(1, dtype=np.int64)).T
         found, total = _log_softmax(logits, class_of)
         back = None
         if grads is not None:
-            logits /= -total[:, None]
+            logits *= (np.float32(-1) / total)[:, None]
             logits[np.arange(len(tokens)), class_of] += 1
-            grads["class_w"] += logits.T @ states
-            grads["class_b"] += logits.sum(axis=0)
+            change = logits.T @ known
+            grads["class_w"] += change[:, :h]
+            grads["class_b"] += change[:, h]
             back = logits @ self.part["class_w"]
-        order = np.argsort(class_of, kind="stable")
-        cuts = np.searchsorted(class_of[order], np.arange(layout.classes - 1))
+        cuts = np.searchsorted(class_of, np.arange(layout.classes - 1)).tolist()
+        words = _shifted(self.part["word_w"], self.part["word_b"], layout.first[:-1])
+        first = layout.first.tolist()
         for c in range(layout.classes - 2):
-            rows = order[cuts[c] : cuts[c + 1]]
-            a, b = layout.first[c], layout.first[c + 1]
-            if not len(rows) or b - a < 2:
+            low, high, a, b = cuts[c], cuts[c + 1], first[c], first[c + 1]
+            if low == high or b - a < 2:
                 continue
-            own = states[rows]
-            scores = own @ self.part["word_w"][a:b].T
-            scores += self.part["word_b"][a:b]
-            pick = tokens[rows] - a
+            own = known[low:high]
+            scores = own @ words[a:b].T
+            pick = target[low:high] - a
             inside, total = _log_softmax(scores, pick)
-            found[rows] += inside
+            found[low:high] += inside
             if grads is not None:
-                scores /= -total[:, None]
-                scores[np.arange(len(rows)), pick] += 1
-                grads["word_w"][a:b] += scores.T @ own
-                grads["word_b"][a:b] += scores.sum(axis=0)
-                back[rows] += scores @ self.part["word_w"][a:b]
-        return found, back
+                scores *= (np.float32(-1) / total)[:, None]
+                scores[np.arange(high - low), pick] += 1
+                change = scores.T @ own
+                grads["word_w"][a:b] += change[:, :h]
+                grads["word_b"][a:b] += change[:, h]
+                back[low:high] += scores @ self.part["word_w"][a:b]
+        out = np.empty_like(found)
+        out[order] = found
+        if back is None:
+            return out, None
+        spread = np.empty_like(back)
+        spread[order] = back
+        return out, spread
 
     def score(self, texts: list[np.ndarray], start: int) -> np.ndarray:
         """Natural log probability of each token sequence; `start` is read before the first token.
@@ -140,25 +169,37 @@ class Model:
         sums = np.zeros(len(texts))
         state = np.zeros((len(texts), self.hidden), dtype=np.float32)
         last = np.full(len(texts), start, dtype=np.int64)
-        at = 0
+        entry = self.entry()
+        # Steps of long texts are few rows each: their states wait until a good number can be scored together.
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = at = 0
+
+        def settle() -> None:
+            if waiting:
+                states, tokens, owner = (np.concatenate(part) for part in zip(*waiting))
+                found, _ = self._targets(states, tokens, None)
+                np.add.at(sums, owner, found.astype(np.float64))
+                waiting.clear()
+
         while True:
             live = int(np.searchsorted(-lengths[order], -at, side="left"))
             if not live:
+                settle()
                 return sums
             rows = order[:live]
             steps = min(WINDOW, int(lengths[rows[0]]) - at)
             grid = np.full((steps, live), start, dtype=np.int64)
-            inside = np.zeros((steps, live), dtype=bool)
+            inside = np.arange(at, at + steps)[:, None] < lengths[rows]
             for k, row in enumerate(rows.tolist()):
                 piece = texts[row][at : at + steps]
                 grid[: len(piece), k] = piece
-                inside[: len(piece), k] = True
             before = np.concatenate([last[None, :live], grid[:-1]])
-            states = self._run(before, state[:live], None)
-            found, _ = self._targets(states[1:][inside], grid[inside], None)
-            spread = np.zeros((steps, live))
-            spread[inside] = found
-            sums[rows] += spread.sum(axis=0)
+            states = self._run(entry, before, state[:live])
+            waiting.append((states[1:][inside], grid[inside], np.broadcast_to(rows, grid.shape)[inside]))
+            held += int(inside.sum())
+            if held >= TOGETHER:
+                settle()
+                held = 0
             state, last = states[-1], grid[-1]
             at += steps
 
@@ -214,7 +255,8 @@ class Model:
 
     def _run_cleared(self, tokens: np.ndarray, state: np.ndarray, clear: np.ndarray, tape: list) -> np.ndarray:
         h = self.hidden
-        entered = (self.part["enter"] + self.part["bias"])[tokens]
+        entered = self.part["enter"][tokens]
+        entered += self.part["bias"]
         states = np.empty((len(tokens) + 1, len(state), h), dtype=np.float32)
         states[0] = state
         for t in range(len(tokens)):
@@ -265,9 +307,13 @@ class Model:
         memory["mean"] *= np.float32(0.9)
         memory["mean"] += np.float32(0.1) * grad
         grad *= grad
+        grad *= np.float32(0.01)
         memory["square"] *= np.float32(0.99)
-        memory["square"] += np.float32(0.01) * grad
+        memory["square"] += grad
         n = memory["count"]
-        scale = np.sqrt(memory["square"] / np.float32(1 - 0.99**n))
-        scale += np.float32(1e-8)
-        self.flat += np.float32(rate / (1 - 0.9**n)) * memory["mean"] / scale
+        np.multiply(memory["square"], np.float32(1 / (1 - 0.99**n)), out=grad)
+        np.sqrt(grad, out=grad)
+        grad += np.float32(1e-8)
+        np.divide(memory["mean"], grad, out=grad)
+        grad *= np.float32(rate / (1 - 0.9**n))
+        self.flat += grad
