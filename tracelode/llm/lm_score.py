@@ -44,6 +44,7 @@ SCORE_SCHEMA = (
 _TOKEN_SCHEMA = "ids array<long>, lengths array<int>, known array<int>, base array<double>, rest array<double>, tokens binary"
 _MEAN_PARTS = 16
 _ROWS = 2048
+_TRAIN_TOKENS = 1 << 19
 _GROWTH = 4
 _HASH_BITS = 6
 _POWERS = 63
@@ -255,15 +256,19 @@ def _train_round(encoded: DataFrame, words: _Vocabulary, model: Model, part: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, memory, seen = _copy(model, flat), {}, 0
+        chosen, held = [], 0
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                chosen = []
                 for doc_id, text in zip(row["ids"], _texts(row)):
                     if not held_out(doc_id) and fold(doc_id) // 10 % parts == part:
                         chosen.append(words.learned(text))
-                seen += sum(len(t) for t in chosen)
-                own.train(chosen, words.end, rate, memory)
+                        held += len(text)
+                if held >= _TRAIN_TOKENS:
+                    own.train(chosen, words.end, rate, memory)
+                    chosen, held, seen = [], 0, seen + held
+        own.train(chosen, words.end, rate, memory)
+        seen += held
         if seen:
             group = zlib.crc32(own.flat.tobytes()) % _MEAN_PARTS
             moved = (own.flat - flat).astype(np.float16)

@@ -15,6 +15,8 @@ import numpy as np
 
 WINDOW = 32
 TOGETHER = 1 << 14
+ROWS = 512
+_BLOCK = 1 << 11
 
 
 class Layout:
@@ -58,7 +60,7 @@ def _shifted(weights: np.ndarray, bias: np.ndarray, first: np.ndarray) -> np.nda
     out = np.empty((len(weights), weights.shape[1] + 1), dtype=np.float32)
     out[:, :-1] = weights
     if len(weights):
-        most = np.maximum.reduceat(np.abs(weights).sum(axis=1) + bias, first)
+        most = np.maximum.reduceat(np.abs(weights) @ np.ones(weights.shape[1], dtype=np.float32) + bias, first)
         out[:, -1] = bias - np.repeat(most, np.diff(np.append(first, len(weights))))
     return out
 
@@ -122,16 +124,21 @@ class Model:
         class_of = layout.class_of[target]
         known = np.ones((len(tokens), h + 1), dtype=np.float32)
         known[:, :h] = states[order]
-        logits = known @ _shifted(self.part["class_w"], self.part["class_b"], np.zeros(1, dtype=np.int64)).T
-        found, total = _log_softmax(logits, class_of)
-        back = None
-        if grads is not None:
-            logits *= (np.float32(-1) / total)[:, None]
-            logits[np.arange(len(tokens)), class_of] += 1
-            change = logits.T @ known
-            grads["class_w"] += change[:, :h]
-            grads["class_b"] += change[:, h]
-            back = logits @ self.part["class_w"]
+        found = np.empty(len(tokens), dtype=np.float32)
+        back = None if grads is None else np.empty((len(tokens), h), dtype=np.float32)
+        classes = _shifted(self.part["class_w"], self.part["class_b"], np.zeros(1, dtype=np.int64)).T.copy()
+        # Blocks whose logits stay in a core's cache.
+        for low in range(0, len(tokens), _BLOCK):
+            block, own = known[low : low + _BLOCK], class_of[low : low + _BLOCK]
+            logits = block @ classes
+            found[low : low + _BLOCK], total = _log_softmax(logits, own)
+            if grads is not None:
+                logits *= (np.float32(-1) / total)[:, None]
+                logits[np.arange(len(own)), own] += 1
+                change = logits.T @ block
+                grads["class_w"] += change[:, :h]
+                grads["class_b"] += change[:, h]
+                np.matmul(logits, self.part["class_w"], out=back[low : low + _BLOCK])
         cuts = np.searchsorted(class_of, np.arange(layout.classes - 1)).tolist()
         words = _shifted(self.part["word_w"], self.part["word_b"], layout.first[:-1])
         first = layout.first.tolist()
@@ -216,7 +223,7 @@ class Model:
             fresh[at] = True
             at += len(t) + 1
         # Wide enough for few calls a token, narrow enough for some twenty steps a pass over a small part.
-        rows = int(min(256, max(1, len(stream) // (24 * WINDOW))))
+        rows = int(min(ROWS, max(1, len(stream) // (24 * WINDOW))))
         if len(stream) < 2:
             return
         span = -(-(len(stream) - 1) // rows)
@@ -294,10 +301,10 @@ class Model:
         grads["keep"] += states[:-1].reshape(-1, h).T @ through.reshape(-1, 3 * h)
         grads["bias"] += into.reshape(-1, 3 * h).sum(axis=0)
         flat, rows = tokens.reshape(-1), into.reshape(-1, 3 * h)
-        order = np.argsort(flat, kind="stable")
-        ranked = flat[order]
-        heads = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        grads["enter"][ranked[heads]] += np.add.reduceat(rows[order], heads, axis=0)
+        used, place = np.unique(flat, return_inverse=True)
+        columns = np.ascontiguousarray(rows.T)
+        sums = np.stack([np.bincount(place, weights=column, minlength=len(used)) for column in columns], axis=1)
+        grads["enter"][used] += sums.astype(np.float32)
 
     def _step(self, grad: np.ndarray, rate: float, memory: dict) -> None:
         """Adam, upwards."""
