@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import html.parser
 import math
+import random
+import time
 import zlib
 from collections import Counter
 
@@ -199,6 +202,139 @@ def test_inline_parts_put_aside_end_with_their_tag():
     assert [(b.text, b.links) for b in linked] == [("one two", 6)]
 
 
+def test_inline_parts_of_any_tag_are_put_aside():
+    read = html_extract.main_text
+    assert read("<article><p>One <em hidden>x</em> two.</p></article>") == "One two."
+    assert read('<article><p>One <a class="share">Share</a> <a href=u>two</a>.</p></article>') == "One two."
+    # A link ends with the next one, whatever became of it.
+    assert read('<article><p>One <a class="share">Share <a href=u>two</a>, three.</p></article>') == "One two, three."
+    assert read('<p>One <code class="lang-menu">x</code> two.</p>') == "One x two."
+    assert read('<p>One <b class="ad">x <i>y</b> z</i> two.</p>') == "One z two."
+
+
+class _SlowPaths(html.parser.HTMLParser):
+    """Blocks of a well-formed page as (path, text, link characters)."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.open, self.found, self.text, self.linked, self.link = [], [], "", 0, False
+        self.feed(page)
+        self.close()
+
+    def cut(self):
+        text = " ".join(self.text.split())
+        if text:
+            self.found.append(("/".join(self.open), text, self.linked))
+        self.text, self.linked = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.link = True
+        else:
+            self.cut()
+            self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.link = False
+        else:
+            self.cut()
+            self.open.pop()
+
+    def handle_data(self, data):
+        self.text += data
+        self.linked += len(data.strip()) if self.link else 0
+
+
+def _slow_scores(page):
+    """Blocks and the score of each path from the description, every path's figures counted anew for every block."""
+    blocks = _SlowPaths(page).found
+
+    def mean(path, of):
+        values = [of(b) for b in blocks if b[0] == path]
+        return sum(values) / len(values)
+
+    def smoothed(k, of):
+        near = [blocks[min(max(j, 0), len(blocks) - 1)][0] for j in (k - 1, k, k, k + 1)]
+        return sum(mean(path, of) for path in near) / 4
+
+    def marks(b):
+        return sum(c in ".,;:!?\u2026\u3002\uff0c\u3001\uff01\uff1f" for c in b[1])
+
+    def plain(path):
+        return 1 - sum(b[2] for b in blocks if b[0] == path) / sum(len(b[1]) for b in blocks if b[0] == path)
+
+    ratio = {}
+    for path in {b[0] for b in blocks}:
+        at = [k for k, b in enumerate(blocks) if b[0] == path]
+        ratio[path] = plain(path) * sum(smoothed(k, lambda b: len(b[1])) * (1 + smoothed(k, marks)) for k in at) / len(at)
+    best = max(ratio.values(), default=0)
+    named = {path: bool({"article", "main"} & set(path.split("/"))) for path in ratio}
+    score = {}
+    for path in ratio:
+        score[path] = ratio[path] / best if best else 1.0
+        score[path] += 0.5 * plain(path) if named[path] else -0.85 if any(named.values()) else 0
+    return blocks, score
+
+
+def test_path_ratios_against_brute_force():
+    draw = random.Random(4)
+    dropped = 0
+    for _ in range(150):
+        def part(depth):
+            if depth == 0 or draw.random() < 0.35:
+                words = " ".join(draw.choice(["one", "two,", "three.", "four"]) for _ in range(draw.choice([1, 3, 9, 40])))
+                words = f"<a href=u>{words}</a>" if draw.random() < 0.3 else words
+                return f"<{(t := draw.choice(['p', 'h2', 'blockquote']))}>{words}</{t}>"
+            tag = draw.choice(["div", "section", "article", "div"])
+            return f"<{tag}>{''.join(part(depth - 1) for _ in range(draw.randint(1, 3)))}</{tag}>"
+
+        page = "<body>" + "".join(part(3) for _ in range(4)) + "</body>"
+        blocks, expected = _slow_scores(page)
+        read = html_extract.read_blocks(page)
+        assert [(b.text, b.links) for b in read] == [b[1:] for b in blocks]
+        got = html_extract.path_scores(read)
+        for block, (path, _, _) in zip(read, blocks):
+            assert abs(got[block.element.path] - expected[path]) < 1e-9
+        text = html_extract.main_text(page).split("\n\n")
+        sure = [t for path, t, _ in blocks if expected[path] >= 0.15 + 1e-9]
+        assert [t for path, t, _ in blocks if t in text] and all(t in text for t in sure)
+        heads = [t for path, t, _ in blocks if expected[path] < 0.15 - 1e-9 and path.endswith("h2")]
+        assert len(text) <= len(blocks) and len(sure) <= len(text) <= len(sure) + len(heads) + sum(abs(expected[p] - 0.15) < 1e-9 for p, _, _ in blocks)
+        dropped += len(blocks) - len(text)
+    assert dropped > 100
+
+
+def test_ratios_decide_in_and_beside_an_article():
+    long = "A long part of the text, with commas, of the page. " * 5
+    links = "".join(f"<li><a href=/{k}>Place {k}</a></li>" for k in range(9))
+    read = html_extract.main_text
+    assert read(f"<article><h1><a href=x>Head</a></h1><p>{long}</p><ul>{links}</ul><p>End.</p></article>") == f"Head\n\n{long.strip()}\n\nEnd."
+    assert read(f"<article><p>{long}</p><ul><li>One</li><li>Two</li></ul></article><div>Beside.</div>") == f"{long.strip()}\n\nOne\n\nTwo"
+    # A short article beside the page's real text does not hide it.
+    assert read(f"<article><p>Teaser</p></article><div><p>x</p><section>{long}</section><section>{long}</section></div>").count("A long part") == 10
+
+
+def test_pages_take_linear_time():
+    def seconds(page):
+        began = time.process_time()
+        html_extract.main_text(page)
+        return time.process_time() - began
+
+    def shapes(n):
+        yield "<div>" * n + "deep, deep." + "</div>" * n
+        yield "<ul>" * n + "<p>x</p>" * n
+        yield "<div>" * n + "<li>x" * n
+        yield "<div>" * n + "<p>one, two</p>" * n + "</div>" * n
+        yield "<div>" * n + "</b></x>" * n
+        for bad in ("<a ", '<a "', '<a ">"', "<p>x</p><i '", "<!--", "<! ", "<span class=ad>", "<a class=ad>"):
+            yield bad * (n + 1)
+
+    # Four times the page in far less than sixteen times the time.
+    for small, large in zip(shapes(5_000), shapes(20_000)):
+        assert seconds(large) < 9 * seconds(small) + 0.3
+
+
 def test_content_is_whole():
     read = html_extract.main_text
     first, second = ["A long first part, with commas, of the page."] * 4, ["Another part, shorter, but content as well."] * 2

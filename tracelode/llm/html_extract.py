@@ -4,20 +4,24 @@ A page is read once into blocks: runs of text between block-level tags, each wit
 from the root. Blocks that their markup names as something else (menus, headers and footers of the page,
 sidebars, notices, adverts, forms, reader comments, hidden parts) are put aside. For the rest, characters,
 punctuation and link characters are added up for each path; their ratios to the path's blocks are smoothed
-over neighbouring blocks in page order, fused into one score and compared with a threshold. In pages with
-article or main elements the content is all of them, and every block in them stays that is not put aside.
-In other pages the content node is the deepest element that holds all text on paths over the threshold, and
-blocks in it on paths under the threshold go, but for headings.
-
-Pages are read one by one in tasks, no shuffle; time is linear in the page. Null or empty html: empty text.
-Broken markup: unclosed tags end with their parent, stray end tags are ignored, an unclosed script or
-comment lasts to the end. Rows that repeat are read alike; null ids and urls pass through.
+over neighbouring blocks in page order and fused into one score, the best path's being 1. Markup is one more
+signal of the score: a path in article or main gains `MARKUP` times its part outside links, and where a page
+has such a path, all others lose `AGAINST`. On every page the paths over the threshold are the content. The
+content node is the deepest element that holds all of it; headings in that node, or in article or main, stay
+whatever their path scores.
+
+Pages are read one by one in tasks, no shuffle; time is linear in the page: paths are numbers, open elements
+are found by tag, and a page whose quotes swallow all ends of tags is read on without regard to quotes.
+Null or empty html: empty text. Broken markup: unclosed tags end with their parent (a link with the next
+link), stray end tags are ignored, an unclosed script or comment lasts to the end, and a tag without an end
+is text. Rows that repeat are read alike; null ids and urls pass through.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,7 +30,8 @@ from pyspark.sql import DataFrame
 
 from tracelode.session import ship_package
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.S)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 _NAME_PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
@@ -65,17 +70,19 @@ _ENDS = {
     "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"}),
     "thead": ({"tr", "td", "th"}, {"table"}), "tbody": ({"thead", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "tr", "td", "th"}, {"table"}),
 }
+# Inline elements whose class names a language or style, not a part of the page.
+_CODE = {"code", "kbd", "samp", "var", "tt"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "aside", "path", "content")
+    __slots__ = ("tag", "parent", "aside", "within", "path", "content", "inside")
 
     def __init__(self, tag: str, parent: _Element | None, aside: bool):
         self.tag, self.parent, self.aside = tag, parent, aside
-        # Nothing asks for the path of what is put aside.
-        self.path = "" if aside else f"{parent.path}/{tag}" if parent else tag
-        self.content = 0
+        self.within = tag in ("article", "main") or parent is not None and parent.within
+        self.path = self.content = 0
+        self.inside = False
 
 
 class _Block:
@@ -85,11 +92,10 @@ class _Block:
         self.element, self.text, self.links = element, text, links
 
 
-def _put_aside(tag: str, attributes: str, parent: _Element) -> bool:
-    """Whether markup names the element as something other than the article."""
+def _put_aside(tag: str, attributes: str, within: bool) -> bool:
+    """Whether markup names the element as something other than the article it may stand in."""
     if tag in _ASIDE:
         return True
-    within = _within(parent, ("article", "main"))
     if tag == "header" and not within:
         return True
     if not attributes.strip():
@@ -103,6 +109,8 @@ def _put_aside(tag: str, attributes: str, parent: _Element) -> bool:
         return True
     if tag in ("body", "html", "article", "main"):
         names = found.get("class", "") if tag == "article" else ""
+    elif tag in _CODE:
+        names = ""
     else:
         names = f"{found.get('class', '')} {found.get('id', '')}"
     for name in names.split():
@@ -114,132 +122,205 @@ def _put_aside(tag: str, attributes: str, parent: _Element) -> bool:
     return False
 
 
-def _within(element: _Element | None, tags: tuple[str, ...]) -> bool:
-    while element is not None:
-        if element.tag in tags:
-            return True
-        element = element.parent
-    return False
+def _tokens(page: str) -> Iterator[tuple[str, str | None, bool, str]]:
+    """(text before, tag or None, whether it is an end tag, attributes); what a raw element holds is left out."""
+    at = begin = 0
+    quotes = True
+    while True:
+        at = page.find("<", at)
+        if at < 0:
+            break
+        if page.startswith(("<!--", "<![CDATA["), at):
+            mark, skip = ("-->", 4) if page[at + 2] == "-" else ("]]>", 9)
+            end = page.find(mark, at + skip)
+            inner = "" if skip == 4 else page[at + 9 : end if end >= 0 else len(page)]
+            yield page[begin:at], None, False, ""
+            if inner:
+                yield inner, None, False, ""
+            at = begin = end + 3 if end >= 0 else len(page)
+            continue
+        name = None if page.startswith(("<!", "<?"), at) else _NAME.match(page, at + 1)
+        if name is None and page[at + 1 : at + 2] not in ("!", "?"):
+            at += 1
+            continue
+        start = name.end() if name else at + 2
+        end = _tag_end(page, start) if name and quotes else page.find(">", start)
+        if end < 0 and name and quotes:
+            quotes, end = False, page.find(">", start)
+        if end < 0:
+            break
+        before, begin = page[begin:at], end + 1
+        at = begin
+        if name is None:
+            yield before, None, False, ""
+            continue
+        tag = name[2].lower()
+        yield before, tag, bool(name[1]), page[start:end]
+        if tag in _RAW and not name[1]:
+            close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = begin = close.end() if close else len(page)
+    yield page[begin:], None, False, ""
 
 
-def read_blocks(page: str) -> list[_Block]:
-    """Blocks of a page in order; those put aside are left out."""
-    root = _Element("", None, False)
-    here, blocks, parts, links, link_depth, at = root, [], [], 0, 0, 0
-    # The block an inline element that is put aside interrupts: its element, parts, links, link depth.
-    held: tuple[_Element, list[str], int, int] | None = None
+def _tag_end(page: str, at: int) -> int:
+    """Place of the next > outside of quotes, -1 without one. A quote that never ends counts as a letter."""
+    while True:
+        stop = _STOP.search(page, at)
+        if stop is None:
+            return -1
+        at = stop.end()
+        if stop[0] == ">":
+            return stop.start()
+        close = page.find(stop[0], at)
+        if close >= 0:
+            at = close + 1
+
+
+class _Reader:
+    """Blocks and elements of one page, those put aside left out; elements in the order of their start tags."""
+
+    def __init__(self, page: str):
+        root = _Element("", None, False)
+        self.elements, self.blocks = [root], []
+        self.stack = [root]
+        # Places in the stack of the open elements of each tag.
+        self.opened: dict[str, list[int]] = defaultdict(list)
+        self.paths: dict[tuple[int, str], int] = {}
+        # Tag of the outermost open element that is put aside.
+        self.aside_tag = ""
+        self.parts: list[str] = []
+        self.links = self.link_depth = 0
+        # The block an inline element that is put aside interrupts: its element, parts, links, link depth.
+        self.held: tuple[_Element, list[str], int, int] | None = None
+        for text, tag, end, attributes in _tokens(page):
+            self.add(text)
+            if tag is None:
+                continue
+            if tag in _INLINE:
+                self.inline(tag, end, attributes)
+            elif tag == "br":
+                self.parts.append("\n")
+            elif tag not in ("wbr", "img"):
+                self.block(tag, end, attributes)
+        self.close_block()
+        self.settle()
+
+    def add(self, text: str) -> None:
+        if text:
+            decoded = html.unescape(text)
+            self.parts.append(decoded)
+            if self.link_depth:
+                self.links += len(decoded.strip())
 
-    def settle() -> None:
-        """End the interrupted block, for its element was left by other means than the end tag."""
-        nonlocal held
-        if held is not None:
-            text = " ".join("".join(held[1]).split())
-            if text:
-                blocks.append(_Block(held[0], text, min(held[2], len(text))))
-            held = None
-
-    def close_block() -> None:
-        nonlocal parts, links
-        if not here.aside:
-            settle()
+    def keep(self, element: _Element, parts: list[str], links: int) -> None:
         text = " ".join("".join(parts).split())
-        if text and not here.aside:
-            blocks.append(_Block(here, text, min(links, len(text))))
-        parts, links = [], 0
-
-    def add(text: str) -> None:
-        nonlocal links
         if text:
-            decoded = html.unescape(text)
-            parts.append(decoded)
-            if link_depth:
-                links += len(decoded.strip())
+            self.blocks.append(_Block(element, text, min(links, len(text))))
 
-    def leave(tags: set[str], stops: set[str]) -> None:
-        """End the outermost open element of `tags` below the nearest of `stops`."""
-        nonlocal here
-        found, element = None, here
-        while element.parent is not None and element.tag not in stops:
-            if element.tag in tags:
-                found = element
-            element = element.parent
-        if found is not None:
-            here = found.parent
+    def settle(self) -> None:
+        """End the interrupted block, for its element was left by other means than the end tag."""
+        if self.held is not None:
+            self.keep(*self.held[:3])
+            self.held = None
 
-    while True:
-        token = _TOKEN.search(page, at)
-        if token is None:
-            add(page[at:])
-            close_block()
-            settle()
-            return blocks
-        add(page[at : token.start()])
-        at = token.end()
-        if token[1] is not None:
-            add(token[1])
-        if token[3] is None:
-            continue
-        tag, end = token[3].lower(), bool(token[2])
-        if tag in ("span", "label"):
-            # Elements of these are only open where they, or what they stand in, are put aside.
-            if end and here.aside:
-                element = here
-                while element is not None and element.tag != tag:
-                    element = element.parent
-                if element is not None:
-                    here = element.parent
-                    if not here.aside:
-                        (_, parts, links, link_depth), held = held, None
-            elif not end and (here.aside or _put_aside(tag, token[4], here)):
-                if not here.aside:
-                    settle()
-                    held = (here, parts, links, link_depth)
-                    parts, links, link_depth = [], 0, 0
-                here = _Element(tag, here, True)
-            continue
-        if tag in _INLINE:
-            if tag == "a":
-                link_depth = 0 if end else 1
-            continue
-        if tag in ("br", "wbr", "img"):
-            if tag == "br":
-                parts.append("\n")
-            continue
-        close_block()
-        link_depth = 0
+    def close_block(self) -> None:
+        here = self.stack[-1]
+        if not here.aside:
+            self.settle()
+            self.keep(here, self.parts, self.links)
+        self.parts, self.links = [], 0
+
+    def push(self, tag: str, aside: bool) -> None:
+        here = self.stack[-1]
+        element = _Element(tag, here, aside)
+        if not aside:
+            element.path = self.paths.setdefault((here.path, tag), len(self.paths) + 1)
+            self.elements.append(element)
+        elif not here.aside:
+            self.aside_tag = tag
+        self.opened[tag].append(len(self.stack))
+        self.stack.append(element)
+
+    def pop_to(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.opened[self.stack.pop().tag].pop()
+
+    def leave(self, tags: set[str], stops: set[str]) -> None:
+        """End the outermost open element of `tags` below the nearest of `stops`."""
+        if not any(self.opened.get(t) for t in tags):
+            return
+        floor = max((self.opened[s][-1] for s in stops if self.opened.get(s)), default=0)
+        found = [places[bisect_right(places, floor)] for t in tags if (places := self.opened.get(t)) and places[-1] > floor]
+        if found:
+            self.pop_to(min(found))
+
+    def inline(self, tag: str, end: bool, attributes: str) -> None:
+        """Inline elements are only open where they, or what they stand in, are put aside."""
+        here = self.stack[-1]
+        if here.aside:
+            if tag != self.aside_tag:
+                return
+            if not end and tag != "a":
+                self.push(tag, True)
+                return
+            self.pop_to(self.opened[tag][-1])
+            here = self.stack[-1]
+            if here.aside:
+                return
+            (_, self.parts, self.links, self.link_depth), self.held = self.held, None
+            if end:
+                return
+        if not end and _put_aside(tag, attributes, here.within):
+            self.settle()
+            self.held = (here, self.parts, self.links, 0 if tag == "a" else self.link_depth)
+            self.parts, self.links, self.link_depth = [], 0, 0
+            self.push(tag, True)
+        elif tag == "a":
+            self.link_depth = 0 if end else 1
+
+    def block(self, tag: str, end: bool, attributes: str) -> None:
+        self.close_block()
+        self.link_depth = 0
         if end:
-            element = here
-            while element is not None and element.tag != tag:
-                element = element.parent
-            if element is not None and element.parent is not None:
-                here = element.parent
-            continue
-        if tag in _RAW:
-            close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = close.end() if close else len(page)
-            continue
-        if tag in _VOID:
-            continue
+            if self.opened.get(tag):
+                self.pop_to(self.opened[tag][-1])
+            return
+        if tag in _RAW or tag in _VOID:
+            return
         if tag in _ENDS_P:
-            leave({"p"}, {"td", "th", "li", "blockquote", "div", "section", "article", "main", "body", "button"})
+            self.leave({"p"}, {"td", "th", "li", "blockquote", "div", "section", "article", "main", "body", "button"})
             if tag in _HEADINGS:
-                leave(_HEADINGS, {"div", "section", "article", "main", "body", "td", "li", "header"})
+                self.leave(_HEADINGS, {"div", "section", "article", "main", "body", "td", "li", "header"})
         if tag in _ENDS:
-            leave(*_ENDS[tag])
-        if token[4].endswith("/") and tag in ("svg", "path"):
-            continue
-        here = _Element(tag, here, here.aside or _put_aside(tag, token[4], here))
+            self.leave(*_ENDS[tag])
+        if attributes.endswith("/") and tag in ("svg", "path"):
+            return
+        here = self.stack[-1]
+        self.push(tag, here.aside or _put_aside(tag, attributes, here.within))
+
+
+def read_blocks(page: str) -> list[_Block]:
+    """Blocks of a page in order; those put aside are left out."""
+    return _Reader(page).blocks
+
 
+# What article and main add to a path's score (the best text ratio is 1), and what text beside them loses: with
+# these, in an article only paths that are links for the most part go, and beside it only the best path stays.
+MARKUP = 0.5
+AGAINST = 0.85
 
-def path_scores(blocks: list[_Block]) -> dict[str, float]:
-    """Fused score of each path: smoothed characters and punctuation a block, less what is link text."""
+
+def path_scores(blocks: list[_Block]) -> dict[int, float]:
+    """Fused score of each path: smoothed characters and punctuation a block, less what is link text, and markup."""
     chars, marks, links, count = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
+    within: dict[int, bool] = {}
     for block in blocks:
         path = block.element.path
         chars[path] += len(block.text)
         marks[path] += len(_PUNCTUATION.findall(block.text))
         links[path] += block.links
         count[path] += 1
+        within[path] = block.element.within
     paths = [b.element.path for b in blocks]
     length = [chars[p] / count[p] for p in paths]
     signs = [marks[p] / count[p] for p in paths]
@@ -248,62 +329,53 @@ def path_scores(blocks: list[_Block]) -> dict[str, float]:
         padded = [series[0], *series, series[-1]]
         return [(a + 2 * b + c) / 4 for a, b, c in zip(padded, padded[1:], padded[2:])]
 
-    total: dict[str, float] = defaultdict(float)
+    total: dict[int, float] = defaultdict(float)
     for path, a, b in zip(paths, smooth(length), smooth(signs)):
         total[path] += a * (1 + b)
-    return {p: total[p] / count[p] * (1 - links[p] / max(chars[p], 1)) for p in total}
+    plain = {p: 1 - links[p] / chars[p] for p in total}
+    ratios = {p: total[p] / count[p] * plain[p] for p in total}
+    best = max(ratios.values())
+    named = any(within.values())
+
+    def markup(path: int) -> float:
+        return MARKUP * plain[path] if within[path] else -AGAINST if named else 0.0
+
+    return {p: (ratios[p] / best if best else 1.0) + markup(p) for p in ratios}
 
 
 def main_text(page: str, threshold: float = 0.15) -> str:
-    """Blocks of the content joined by blank lines. `threshold`: part of the best path's score."""
-    blocks = read_blocks(page)
-    if not blocks:
+    """Blocks of the content joined by blank lines. `threshold`: score a path needs."""
+    read = _Reader(page)
+    if not read.blocks:
         return ""
-    named = [b.text for b in blocks if _within(b.element, ("article", "main"))]
-    if named:
-        return "\n\n".join(named)
-    scores = path_scores(blocks)
-    limit = threshold * max(scores.values())
-    holders: dict[int, _Element] = {}
-    for block in blocks:
-        if scores[block.element.path] >= limit:
-            element = block.element
-            while element is not None:
-                element.content += len(block.text)
-                holders[id(element)] = element
-                element = element.parent
-    node = _content_node(holders)
+    scores = path_scores(read.blocks)
+    for block in read.blocks:
+        if scores[block.element.path] >= threshold:
+            block.element.content += len(block.text)
+    _mark_content_node(read.elements)
     kept = []
-    for block in blocks:
-        if not _inside(block.element, node):
-            continue
-        if scores[block.element.path] >= limit or block.element.tag in _HEADINGS:
+    for block in read.blocks:
+        element = block.element
+        if scores[element.path] >= threshold or element.tag in _HEADINGS and (element.inside or element.within):
             kept.append(block.text)
     return "\n\n".join(kept)
 
 
-def _inside(element: _Element | None, node: _Element) -> bool:
-    while element is not None:
-        if element is node:
-            return True
-        element = element.parent
-    return False
-
-
-def _content_node(holders: dict[int, _Element]) -> _Element:
-    """The deepest element that holds all of the content; one that is a single paragraph or the like counts as its parent."""
-    below: dict[int, list[_Element]] = defaultdict(list)
-    node = None
-    for element in holders.values():
-        if element.parent is None:
-            node = element
-        else:
-            below[id(element.parent)].append(element)
-    while True:
-        whole = next((e for e in below[id(node)] if e.content == node.content), None)
-        if whole is None or whole.tag in ("p", "li", "td", *_HEADINGS):
-            return node
-        node = whole
+def _mark_content_node(elements: list[_Element]) -> None:
+    """Mark what lies in the deepest element that holds all of the content; a single paragraph or the like counts as its parent."""
+    for element in reversed(elements):
+        if element.parent is not None:
+            element.parent.content += element.content
+    node, deeper = elements[0], True
+    for element in elements[1:]:
+        if deeper and element.parent is node and element.content == node.content:
+            if element.tag in ("p", "li", "td", *_HEADINGS):
+                deeper = False
+            else:
+                node = element
+    node.inside = True
+    for element in elements[1:]:
+        element.inside = element is node or element.parent.inside
 
 
 def extract(pages: DataFrame) -> DataFrame:
