@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 import texts
+import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -506,8 +507,79 @@ def test_mixing_reaches_targets(spark):
     assert right > 0.95 * 450
     twice = [r for r in got if r.doc_id == 7 and r.n_tokens == 2]
     assert len(twice) == 1 and twice[0].n_rows == 2
-    with pytest.raises(ValueError):
-        mixing.mix(docs, marks.limit(0), targets)
+    assert all(r.converged and r.max_gap <= 1e-6 for r in got)
+    # Without labels, or with labels of unknown documents only, the targets are all that is known.
+    for none in (marks.limit(0), marks.filter("doc_id = 5000")):
+        plain = mixing.mix(docs, none, targets).collect()
+        assert sum(r.n_rows for r in plain) == len(rows)
+        assert all((round(r.p_x, 9), round(r.p_y, 9), round(r.p_z, 9), r.rate, r.converged) == (0.6, 0.3, 0.1, 1.0, True) for r in plain)
+    for known in (marks, marks.limit(0)):
+        assert mixing.mix(docs.limit(0), known, targets).collect() == []
+
+
+def test_mixing_against_brute_force(spark):
+    draw = np.random.default_rng(6)
+    rows, marks, bits = [], [], 9
+    for k in range(240):
+        kind = "xyz"[k % 3]
+        rows.append((k, " ".join(f"{kind if draw.random() < 0.7 else 'c'}{draw.integers(9)}" for _ in range(int(draw.integers(0, 40))))))
+        if k % 2:
+            marks.append((k, kind))
+    rows += [(900, None), (901, "New words")]
+    targets = {"x": 0.5, "y": 0.45, "z": 0.05}
+    docs, labels = texts.frame(spark, rows), spark.createDataFrame(marks, "doc_id long, domain string")
+    got = {r.doc_id: r for r in mixing.mix(docs, labels, targets, feature_bits=bits, min_z=1.0).collect()}
+
+    def features(text):
+        found = []
+        for word in texts.words(text):
+            for kind, value in (("word", word.lower()), ("end", word[-2:])):
+                code = xxhash.xxh64_intdigest(value.encode(), seed=42)
+                found.append((kind, (code - (1 << 64) if code >> 63 else code) % (1 << bits)))
+        return found
+
+    known, counts, mass = dict(marks), Counter(), Counter()
+    for k, text in rows:
+        for feature in features(text):
+            if k in known:
+                counts[known[k], feature] += 1
+                mass[known[k], feature[0]] += 1
+    weights = {}
+    for feature in {f for _, f in counts}:
+        whole, both = sum(mass[d, feature[0]] for d in "xyz"), sum(counts[d, feature] for d in "xyz")
+        expected = {d: both * mass[d, feature[0]] / whole for d in "xyz"}
+        if any(abs(counts[d, feature] - expected[d]) >= math.sqrt(expected[d] + 1) for d in "xyz"):
+            weights[feature] = {
+                d: math.log((counts[d, feature] + 0.5 * mass[d, feature[0]] / whole) / (mass[d, feature[0]] + 0.5) / (both / whole)) for d in "xyz"
+            }
+    assert 0 < len(weights) < len({f for _, f in counts})
+    posterior, size = [], []
+    for _, text in rows:
+        logit = [math.log(sum(v == d for v in known.values()) / len(known)) + sum(weights[f][d] for f in features(text) if f in weights) for d in "xyz"]
+        power = [math.exp(v - max(logit)) for v in logit]
+        posterior.append([v / sum(power) for v in power])
+        size.append(len(texts.words(text)))
+    posterior, size = np.array(posterior), np.array(size, float)
+    for (k, text), p, n in zip(rows, posterior, size):
+        assert np.abs(np.array([got[k].p_x, got[k].p_y, got[k].p_z]) - p).max() < 1e-9 and got[k].n_tokens == n
+    # Least squares of rates that are not negative: no step down the gradient makes the sum of squares smaller.
+    rate = np.array([got[k].rate for k, _ in rows])
+    off = (size * rate) @ posterior / size.sum() - np.array([targets[d] for d in "xyz"])
+    slope = posterior @ off
+    assert (rate >= 0).all() and np.abs(np.where(rate > 0, slope, np.minimum(slope, 0))).max() < 1e-5
+    assert got[0].converged and abs(got[0].max_gap - np.abs(off).max()) < 1e-9
+
+
+def test_rates_say_whether_they_are_fitted(spark):
+    members = spark.createDataFrame(
+        [(k, k, 1, 10 + k, [k / 40, 1 - k / 40]) for k in range(41)], "doc_id long, text_code long, n_rows long, n_tokens long, posterior array<double>"
+    )
+    early = mixing.fit_rates(members, [0.9, 0.1], rounds=1).first()
+    assert not early.converged and early.max_gap > 1e-6
+    # A domain that no document has cannot be reached: the least squares are, and the gap is told.
+    pure = members.withColumn("posterior", F.array(F.lit(1.0), F.lit(0.0)))
+    missed = mixing.fit_rates(pure, [0.5, 0.5]).collect()
+    assert all(r.converged and abs(r.max_gap - 0.5) < 1e-9 and abs(r.rate - 0.5) < 1e-6 for r in missed)
 
 
 def test_rates_hit_the_bound_of_zero(spark):
