@@ -116,35 +116,24 @@ def judge(
     tokens, rows, first, flags = (
         fresh_name(docs.columns, n) for n in ("_tokens", "_rows", "_first", "_flags")
     )
-    # Copies of earlier lines: sort (line hash, line number) and mark all but the first of a hash.
+    # Copies of earlier lines: sort (line hash, line number), mark all but the first of a hash, sort the marks back.
     marked = F.transform(F.col(rows), lambda line, i: F.struct(F.xxhash64(line).alias("h"), i.alias("i")))
 
     def repeats(ranked: Column) -> Column:
-        copies = F.transform(
-            ranked, lambda cell, i: F.when((i > 0) & (F.get(ranked, i - 1)["h"] == cell["h"]), cell["i"])
-        )
-        return F.filter(copies, lambda i: i.isNotNull())
-
-    def verdicts(copies: Column) -> Column:
-        copy_set = F.map_from_arrays(copies, F.transform(copies, lambda i: F.lit(True)))
-        none = F.size(copies) == 0
-        return let(
-            copy_set,
-            lambda seen: F.transform(
-                F.col(rows),
-                lambda line, i: has_word(line)
-                & (line_fails(line) | (~none & F.coalesce(F.element_at(seen, i), F.lit(False)))),
-            ),
+        copy = F.transform(
+            ranked, lambda cell, k: F.struct(cell["i"].alias("i"), ((k > 0) & (F.get(ranked, k - 1)["h"] == cell["h"])).alias("copy"))
         )
+        return F.transform(F.sort_array(copy), lambda cell: cell["copy"])
 
     copies = F.when(
-        F.size(F.array_distinct(F.col(rows))) == F.size(F.col(rows)), F.array().cast("array<int>")
+        F.size(F.array_distinct(F.col(rows))) == F.size(F.col(rows)), F.transform(F.col(rows), lambda line: F.lit(False))
     ).otherwise(let(F.sort_array(marked), repeats))
+    verdicts = F.zip_with(F.col(rows), copies, lambda line, copy: has_word(line) & (line_fails(line) | copy))
     prepared = (
         docs.withColumn(tokens, words(F.col(text)))
         .withColumn(rows, text_lines(F.col(text)))
         .withColumn(first, F.filter(F.col(rows), has_word))
-        .withColumn(flags, let(copies, verdicts))
+        .withColumn(flags, verdicts)
     )
     # Both arrays are arguments, not captured by the lambda, where the planner may inline their making.
     kept_lines = F.zip_with(F.col(rows), F.col(flags), lambda line, bad: F.when(~bad, line))
