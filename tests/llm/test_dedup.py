@@ -2,13 +2,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+import time
 from itertools import compress
 
 import pytest
 import texts
 from pyspark.sql import functions as F
 
-from tracelode.llm import exchange, line_dedup, near_dedup, substring_dedup
+from tracelode.llm import exchange, line_dedup, near_dedup, quality_rules, substring_dedup
 
 
 @pytest.mark.parametrize("width,seed", [(13, 5), (5, 6), (4, 7)])
@@ -148,3 +149,23 @@ def test_runs_are_maximal(spark):
     rows = [(1, "x\n" + shared + "\ny"), (2, "p\nq\n" + shared), (3, shared + "\nz\n" + shared)]
     got = {(r.doc_id, r.start, r.n_lines, r.first_doc_id, r.first_start) for r in line_dedup.repeated_runs(texts.frame(spark, rows)).collect()}
     assert got == {(2, 2, 9, 1, 1), (3, 0, 9, 1, 1), (3, 10, 9, 1, 1)}
+
+
+def test_texts_of_many_lines_take_linear_time(spark):
+    """Lines, copies and lost lines of one text are found by sorting, and its code is made once."""
+
+    def seconds(n):
+        rows = [(1, "\n".join(["The same line of words, again and again."] * n)), (2, "\n".join(f"Line {k} of words, {k}." for k in range(n)))]
+        docs = texts.frame(spark, rows)
+        began = time.monotonic()
+        lines = {r.doc_id: r for r in line_dedup.line_digest(docs).collect()}
+        judged = {r.doc_id: r for r in quality_rules.verdict_digest(docs).collect()}
+        took = time.monotonic() - began
+        # Every window but the one at the first line repeats an earlier one.
+        assert [(r.n_lines, r.n_removed_lines) for r in (lines[1], lines[2])] == [(n, n - 1), (n, 0)]
+        assert lines[2].kept_sha256 == hashlib.sha256(rows[1][1].encode()).hexdigest()
+        assert (judged[1].n_dup_lines, judged[1].n_removed_lines, judged[2].n_dup_lines) == (n - 1, n - 1, 0)
+        return took
+
+    seconds(1000)
+    assert seconds(40_000) < 3 * seconds(5000) + 5

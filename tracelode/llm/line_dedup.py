@@ -38,11 +38,13 @@ def _numbered_lines(text: Column) -> Column:
 
 def code_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_code, idx (among lines with a word), code_a, code_b, n_words; a row for each line."""
-    rows = docs.select(
+    # The code is made before the lines are: beside posexplode it would be worked out from the whole text for each line.
+    coded = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_code"),
-        F.posexplode(_numbered_lines(F.col(text))).alias("idx", "cell"),
+        _numbered_lines(F.col(text)).alias("cells"),
     )
+    rows = coded.select("doc_id", "text_code", F.posexplode("cells").alias("idx", "cell"))
     line = F.col("cell")["line"]
     return rows.select(
         *POSITION,
@@ -144,8 +146,17 @@ def deduplicate(
     # Numbers of lost lines among the lines with a word become numbers among all lines.
     numbered = F.transform(_numbered_lines(F.col(text)), lambda cell: cell["line_no"])
     dropped = let(numbered, lambda held: F.transform(F.col(lost), lambda i: F.get(held, i)))
-    marks = let(dropped, lambda held: F.map_from_arrays(held, F.transform(held, lambda i: F.lit(True))))
-    kept = let(marks, lambda held: F.filter(text_lines(F.col(text)), lambda line, i: F.element_at(held, i).isNull()))
+    # One sort puts a lost line's mark behind its number; numbers without a mark are the lines that stay.
+    every = F.transform(text_lines(F.col(text)), lambda line, i: F.struct(i.alias("i"), F.lit(0).alias("mark")))
+    marked = F.sort_array(F.concat(every, F.transform(dropped, lambda i: F.struct(i.alias("i"), F.lit(1).alias("mark")))))
+
+    def unmarked(cells: Column) -> Column:
+        stays = F.transform(
+            cells, lambda cell, k: F.when((cell["mark"] == 0) & (F.coalesce(F.get(cells, k + 1)["mark"], F.lit(0)) == 0), cell["i"])
+        )
+        return F.filter(stays, lambda i: i.isNotNull())
+
+    kept = let(text_lines(F.col(text)), lambda lines: F.transform(let(marked, unmarked), lambda i: F.get(lines, i)))
     joined = joined.withColumn(n_lines, F.size(text_lines(F.col(text))).cast("long"))
     joined = joined.withColumn(n_removed, F.coalesce(F.size(F.col(lost)), F.lit(0)).cast("long"))
     out = joined.withColumn(text, F.when(F.col(lost).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
