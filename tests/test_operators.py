@@ -12,7 +12,7 @@ from tracelode import schemas
 from tracelode.functions import text
 from tracelode.functions.ordered import previous_value, running_sum, sorted_ordinal
 from tracelode.functions.stats import distribution, round_half_even
-from tracelode.operators import checks, conversations, graph, graph_walk, mining, responses, sessions
+from tracelode.operators import checks, conversations, graph, graph_walk, mining, quality, responses, sessions
 from tracelode.operators.responses import DONE
 from tracelode.sources import files, logs
 from tracelode.streaming import jobs
@@ -306,3 +306,17 @@ def test_calls_bind_in_priority_order(spark):
     assert rows(mining.parse_errors(facts), "module") == [("c",)]
     modules = spark.createDataFrame([("a",), ("b",)], "path string")
     assert rows(mining.import_edges(mining.imports_of(facts), modules), "source", "target") == [("d", "a"), ("d", "b")]
+
+
+def test_target_rank_meets_any_number_of_prefixes(spark):
+    names = ["tests/a", "tests/b", "src/tests/c", "té", "", "src/d"]
+    ranked = spark.createDataFrame(
+        [(q, k + 1, n) for q in (1, 2) for k, n in enumerate(names + ["src/d"])], "query_id int, rank int, name string"
+    )
+    targets = spark.createDataFrame([(1, "src/d"), (2, "none")], "query_id int, name string")
+    prefixes = ["tests/", "tests/a", "té", "src/x", None, "tests/abc"]
+    for chosen in (prefixes, prefixes + [""], []):
+        unwanted = spark.createDataFrame([(p,) for p in chosen], "prefix string")
+        got = rows(quality.target_rank(ranked, targets, unwanted), "query_id", "name", "place", "repeated", "unwanted")
+        bad = sum(any(p is not None and n.startswith(p) for p in chosen) for n in names)
+        assert sorted(got) == [(1, "src/d", 5, 1, bad), (2, "none", -1, 1, bad)]

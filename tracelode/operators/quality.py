@@ -428,7 +428,12 @@ def target_rank(ranked: DataFrame, targets: DataFrame, unwanted: DataFrame) -> D
     )
     places = targets.join(listed.select("query_id", "name", "rank"), ["query_id", "name"], "left")
     places = places.select("query_id", "name", F.coalesce(F.col("rank") - 1, F.lit(-1)).alias("place"))
-    bad = listed.join(F.broadcast(unwanted), F.col("name").startswith(F.col("prefix")), "left_semi")
+    # Every beginning of a name is a row, so names meet prefixes by equality, however many prefixes there are.
+    length = F.explode(F.sequence(F.lit(0), F.char_length("name"))).alias("n")
+    starts = listed.select("name").distinct().select("name", length)
+    starts = starts.select("name", F.left("name", F.col("n")).alias("prefix"))
+    bad_names = starts.join(unwanted.select("prefix"), "prefix", "left_semi").select("name").distinct()
+    bad = listed.join(bad_names, "name", "left_semi")
     bad = bad.groupBy("query_id").agg(F.count(F.lit(1)).alias("unwanted"))
     repeats = listed.groupBy("query_id").agg(F.count_if(F.col("copies") > 1).alias("repeated"))
     return (
