@@ -320,3 +320,34 @@ def test_target_rank_meets_any_number_of_prefixes(spark):
         got = rows(quality.target_rank(ranked, targets, unwanted), "query_id", "name", "place", "repeated", "unwanted")
         bad = sum(any(p is not None and n.startswith(p) for p in chosen) for n in names)
         assert sorted(got) == [(1, "src/d", 5, 1, bad), (2, "none", -1, 1, bad)]
+
+
+def _fans(spark):
+    """Two fans joined by a call, ends known to several modules, two of them tests."""
+    edges = [("a", f"x{i}", "calls") for i in range(40)] + [(f"y{i}", "a", "calls") for i in range(40)]
+    edges += [(f"x{i}", f"z{i % 7}", "calls") for i in range(40)] + [("a", "x1", "imports"), ("x2", "a", "defines")]
+    nodes = sorted({end for source, target, _ in edges for end in (source, target)})
+    module = lambda n: f"tests/t{len(n) % 2}.py" if n[-1] in "37" else f"pkg/{n[0]}.py"
+    symbols = [(n, n[0], "function", module(n), 1, []) for n in nodes]
+    return (
+        spark.createDataFrame([(n, n, 0) for n in nodes], "change_id string, root string, root_order int"),
+        spark.createDataFrame(edges, "source string, target string, type string"),
+        spark.createDataFrame(
+            symbols, "qualified_name string, name string, symbol_type string, module string, lineno long, decorators array<string>"
+        ),
+    )
+
+
+def test_impact_moves_lists_and_no_pair_of_change_and_symbol(spark, monkeypatch):
+    roots, edges, _ = _fans(spark)
+    impacted = graph_walk.impact(roots, edges)
+    plan = impacted._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(change_id" in line]
+    assert moved and not any("next" in line or "symbol" in line for line in moved)
+    whole = rows(impacted, "change_id", "symbol", "distance", "reason")
+    assert ("z0", "a", 2, "CALLER") in whole and ("x1", "a", 1, "CALLER") in whole
+    monkeypatch.setattr(graph_walk, "PAIRS_OF_CHANGE", 50)  # changes above it are merged over several tasks
+    monkeypatch.setattr(graph_walk, "LIST_SIZE", 3)
+    assert rows(graph_walk.impact(roots, edges), "change_id", "symbol", "distance", "reason") == whole
+    deeper = rows(graph_walk.impact(roots, edges, 4), "change_id", "symbol", "distance", "reason")
+    assert deeper == rows(graph_walk.impact(roots, edges, -1), "change_id", "symbol", "distance", "reason")
