@@ -351,3 +351,19 @@ def test_impact_moves_lists_and_no_pair_of_change_and_symbol(spark, monkeypatch)
     assert rows(graph_walk.impact(roots, edges), "change_id", "symbol", "distance", "reason") == whole
     deeper = rows(graph_walk.impact(roots, edges, 4), "change_id", "symbol", "distance", "reason")
     assert deeper == rows(graph_walk.impact(roots, edges, -1), "change_id", "symbol", "distance", "reason")
+
+
+def test_impact_report_counts_modules_without_a_join_of_the_pairs(spark):
+    roots, edges, symbols = _fans(spark)
+    owners = graph_walk.module_owners(symbols.where("qualified_name <> 'x5'"))
+    impacted = graph_walk.impact(roots, edges, owners=owners)
+    home = {r["symbol"]: r["module"] for r in owners.collect()}
+    reached = {}
+    for change, symbol, distance in rows(impacted, "change_id", "symbol", "distance"):
+        reached.setdefault(change, []).append((symbol, distance))
+    want = sorted(
+        (change, len(hits), max(d for _, d in hits), len({home[s] for s, _ in hits if s in home}))
+        for change, hits in reached.items()
+    )
+    report = graph_walk.impact_report(roots, impacted)
+    assert rows(report, "change_id", "impacted_symbols", "max_distance", "impacted_modules") == want
