@@ -367,3 +367,11 @@ def test_impact_report_counts_modules_without_a_join_of_the_pairs(spark):
     )
     report = graph_walk.impact_report(roots, impacted)
     assert rows(report, "change_id", "impacted_symbols", "max_distance", "impacted_modules") == want
+
+
+def test_impacted_modules_leave_unknown_symbols_out(spark):
+    roots, edges, symbols = _fans(spark)
+    owners = graph_walk.module_owners(symbols.where("qualified_name <> 'a'"))
+    got = rows(graph_walk.impacted_modules(graph_walk.impact(roots, edges, owners=owners)), "change_id", "module")
+    assert [m for c, m in got if c == "y0"] == ["pkg/x.py", "tests/t0.py", "tests/t1.py"]
+    assert [m for c, m in got if c == "z0"] == ["pkg/x.py", "tests/t0.py"]
