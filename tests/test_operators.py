@@ -375,3 +375,21 @@ def test_impacted_modules_leave_unknown_symbols_out(spark):
     got = rows(graph_walk.impacted_modules(graph_walk.impact(roots, edges, owners=owners)), "change_id", "module")
     assert [m for c, m in got if c == "y0"] == ["pkg/x.py", "tests/t0.py", "tests/t1.py"]
     assert [m for c, m in got if c == "z0"] == ["pkg/x.py", "tests/t0.py"]
+
+
+def test_impacted_tests_follow_sets_as_far_as_the_pairs_reach(spark, monkeypatch):
+    roots, edges, symbols = _fans(spark)
+    pairs = edges.select("source", "target").collect()
+    home = {r["qualified_name"]: r["module"] for r in symbols.collect()}
+    near = {}
+    for a, b in pairs:
+        for node, other in ((a, a), (a, b), (b, a), (b, b)):
+            if home[other].startswith("tests/"):
+                near.setdefault(node, set()).add(home[other])
+    for depth in (1, 2, -1):
+        scope = set(rows(graph_walk.impact(roots, edges, depth), "change_id", "symbol"))
+        scope |= {(root, root) for root in home}
+        want = sorted({(change, m) for change, node in scope for m in near.get(node, ())})
+        assert rows(graph_walk.impacted_tests(roots, edges, symbols, depth), "change_id", "module") == want
+    monkeypatch.setattr(graph_walk, "SET_SIZE", 1)
+    assert rows(graph_walk.impacted_tests(roots, edges, symbols, -1), "change_id", "module") == want
