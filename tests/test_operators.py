@@ -393,3 +393,23 @@ def test_impacted_tests_follow_sets_as_far_as_the_pairs_reach(spark, monkeypatch
         assert rows(graph_walk.impacted_tests(roots, edges, symbols, depth), "change_id", "module") == want
     monkeypatch.setattr(graph_walk, "SET_SIZE", 1)
     assert rows(graph_walk.impacted_tests(roots, edges, symbols, -1), "change_id", "module") == want
+
+
+def test_calls_of_a_common_name_meet_in_blocks_and_once(spark, monkeypatch):
+    monkeypatch.setattr(mining, "NAME_BLOCK", 4)
+    callers = [f"m{i}.go" for i in range(15)]
+    symbols = [(c, "go", "function", c[:-3], 1, []) for c in callers]
+    symbols += [(f"s{i}.far", "far", "function", f"s{i}", 1, []) for i in range(11)]
+    symbols += [("s1.far", "near", "function", "s1", 1, []), ("m1.C", "C", "class", "m1", 1, []), ("m1.C.far", "far", "method", "m1", 1, [])]
+    symbols = spark.createDataFrame(
+        symbols, "qualified_name string, name string, symbol_type string, module string, lineno long, decorators array<string>"
+    )
+    sites = [(c[:-3], c, None, "name", name, None) for c in callers + ["lost.go"] for name in ("far", "near", "none")]
+    sites += [("m1", "m1.go", "m1.C", "self", "far", "self"), ("m2", "m2.go", None, "member", "far", "m1.C")]
+    sites = spark.createDataFrame(sites, "module string, caller string, class_scope string, form string, name string, object string")
+    found = mining.resolve_calls(sites, symbols)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Union") < plan.index("Aggregate")  # pairs are not shuffled again to be made distinct
+    # The module m1 has a `far` of its own, so only its `near` binds elsewhere.
+    want = [(c, f"s{i}.far") for c in callers for i in range(11) if c != "m1.go" or i == 1]
+    assert rows(found, "source", "target") == sorted(want + [(c, "m1.C.far") for c in callers])
