@@ -118,3 +118,12 @@ def test_no_symbol_text_is_shuffled_by_gram(spark, parts):
     symbols, queries, _ = parts
     listed = postings.gram_index(symbols)
     assert listed.columns == ["bucket", "gram", "symbol_id"]
+
+
+def test_pairs_are_scored_where_their_symbol_is(spark, parts):
+    symbols, queries, found = parts
+    scored = postings.score_symbols(queries, symbols, found)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(symbol_id" in plan and "hashpartitioning(query_id" not in plan
+    every = found.select("token", "symbol_id").distinct().join(postings.asked_tokens(queries), "token")
+    assert scored.count() == every.select("query_id", "symbol_id").distinct().count()
