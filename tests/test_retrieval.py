@@ -127,3 +127,21 @@ def test_pairs_are_scored_where_their_symbol_is(spark, parts):
     assert "hashpartitioning(symbol_id" in plan and "hashpartitioning(query_id" not in plan
     every = found.select("token", "symbol_id").distinct().join(postings.asked_tokens(queries), "token")
     assert scored.count() == every.select("query_id", "symbol_id").distinct().count()
+
+
+def test_first_symbols_of_modules_need_no_row_for_each_symbol(spark, parts):
+    symbols, queries, found = parts
+    wanted = queries.select("query_id").crossJoin(symbols.select("module").distinct())
+    rows = wanted.join(symbols.select("symbol_id", "module"), "module").select("query_id", "symbol_id")
+    own = {(r["query_id"], r["symbol_id"]): r["score"] for r in postings.score_pairs(rows, queries, symbols, found).collect()}
+    best = {}
+    for q in queries.collect():
+        for s in symbols.collect():
+            points = (postings.TEST_WANTED if q["wants_tests"] else postings.TEST_CODE) if s["is_test"] else 0
+            score = own.get((q["query_id"], s["symbol_id"]), s["base"] + points)
+            key, cell = (q["query_id"], s["module"]), (-score, s["qualified_name"])
+            if score >= retrieval.MINIMUM_SCORE:
+                best[key] = min(best.get(key, cell), cell)
+    got = retrieval._best_of_modules(wanted, queries, symbols, found).collect()
+    assert {(r["query_id"], r["module"]): (-r["score"], r["qualified_name"]) for r in got} == best
+    assert postings.score_modules(wanted, queries, symbols, found).count() < rows.count()
