@@ -86,6 +86,19 @@ def test_delta_state_calls_a_conversation_once_a_batch(spark):
     assert sorted(calls) == [("a",), ("b",)] and job._first.values == {("a",): (4,), ("b",): (4,)}
 
 
+def test_delta_state_asks_for_no_entry_on_its_own(spark, tmp_path):
+    parts = [[(c, n, r + 2, f"s{(c + r) % 9}") for c in range(40) for r in range(6)] for n in range(2)]
+    session = jobs.state_session(spark)
+    stream = jobs.delta_state(read_files(session, files_of(spark, tmp_path, parts, SENT), SENT), ttl="1 day")
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan and "FlatMapGroupsInPandasWithState" in plan
+    got = jobs.run_available(spark, stream, "entries")
+    wanted = sorted((c, n, r, s, n == 0) for n, part in enumerate(parts) for c, _, r, s in part)
+    assert sorted(tuple(r) for r in got.collect()) == wanted
+    stream = jobs.delta_state(read_files(session, str(tmp_path / "files"), SENT), parts=4)  # without expiry
+    assert sorted(tuple(r) for r in jobs.run_available(spark, stream, "parts").collect()) == wanted
+
+
 def test_stream_windows_of_no_rows(spark, tmp_path):
     session = jobs.state_session(spark)
     stream = read_files(session, files_of(spark, tmp_path, [[]], SENT), SENT)

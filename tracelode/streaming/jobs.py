@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracelode.functions.text import strip_empty_think
@@ -116,58 +115,89 @@ def _deadline(last: pd.Timestamp, idle_ms: int, state: GroupState) -> int:
 
 
 SENT_OUT = "conv_id long, turn long, rank long, symbol string, kept boolean"
-STATE_PARTS = 8
 
 
-class SentSymbols(StatefulProcessor):
-    """Turn in which each symbol of a conversation was first offered, as a map that forgets after `ttl_ms`.
+_SENT_STATE = "symbol array<string>, turn array<long>, used_at array<long>"
+
+
+class HeldSymbols:
+    """A key's state for one batch: first turn of each symbol. Entries not offered for `ttl_ms` are gone."""
+
+    def __init__(self, columns: tuple | None, now: int, ttl_ms: int | None):
+        self._now = now
+        rows = zip(*columns) if columns else ()
+        self._held = {symbol: (turn, at) for symbol, turn, at in rows if ttl_ms is None or at + ttl_ms > now}
+
+    def containsKey(self, key: tuple[str]) -> bool:
+        return key[0] in self._held
+
+    def getValue(self, key: tuple[str]) -> tuple[int]:
+        return self._held[key[0]][:1]
+
+    def updateValue(self, key: tuple[str], value: tuple[int]) -> None:
+        self._held[key[0]] = (value[0], self._now)
+
+    def columns(self) -> tuple[list, list, list]:
+        return list(self._held), [turn for turn, _ in self._held.values()], [at for _, at in self._held.values()]
+
+
+class SentSymbols:
+    """Marks what a conversation is offered in a batch, by the turn in which each symbol was first offered.
 
     An entry's time starts again whenever the symbol is offered, so the state holds the symbols offered within
-    `ttl_ms` and no others.
+    `ttl_ms` and no others. Plain values: a key has few rows, and a table for each step costs more than the rows.
     """
 
-    def __init__(self, ttl_ms: int | None):
-        self._ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._first = handle.getMapState("first", "symbol string", "turn long", self._ttl_ms)
+    def __init__(self, ttl_ms: int | None, columns: tuple | None = None, now: int = 0):
+        self._first = HeldSymbols(columns, now, ttl_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        offered = None
+        offered: dict[tuple[int, str], int | None] = {}
         for part in rows:
-            part = part[["turn", "symbol", "rank"]]
-            joined = part if offered is None else pd.concat([offered, part])
-            offered = joined.groupby(["turn", "symbol"], as_index=False)["rank"].min()
-        if offered is None:
+            for turn, symbol, rank in zip(part["turn"].tolist(), part["symbol"].tolist(), part["rank"].tolist()):
+                if turn is None or turn != turn:
+                    continue
+                place, rank = (int(turn), symbol), None if rank is None or rank != rank else int(rank)
+                known = offered.get(place)
+                offered[place] = known if rank is None else rank if known is None else min(known, rank)
+        if not offered:
             return
-        first = offered.groupby("symbol")["turn"].min()
+        first: dict[str, int] = {}
+        for turn, symbol in offered:
+            first[symbol] = min(turn, first.get(symbol, turn))
         for symbol, turn in first.items():
             if self._first.containsKey((symbol,)):
-                first[symbol] = min(int(turn), self._first.getValue((symbol,))[0])
-            self._first.updateValue((symbol,), (int(first[symbol]),))
-        offered["conv_id"] = key[0]
-        offered["kept"] = (offered["rank"] == 1) | (offered["turn"] == offered["symbol"].map(first))
-        yield offered[["conv_id", "turn", "rank", "symbol", "kept"]]
-
-    def close(self) -> None:
-        pass
+                first[symbol] = min(turn, self._first.getValue((symbol,))[0])
+            self._first.updateValue((symbol,), (first[symbol],))
+        marked = [(key[0], t, rank, s, rank == 1 or t == first[s]) for (t, s), rank in offered.items()]
+        yield pd.DataFrame(marked, columns=["conv_id", "turn", "rank", "symbol", "kept"])
 
 
-def delta_state(sent: DataFrame, ttl: str | None = None) -> DataFrame:
+def delta_state(sent: DataFrame, ttl: str | None = None, parts: int = 1) -> DataFrame:
     """Mark symbols already sent in their conversation, over a stream of (conv_id, turn, rank, symbol).
 
-    A conversation's symbols are dealt to STATE_PARTS keys, so a very long conversation uses as many tasks, and
-    each key is called once a batch. State is a map from symbol to first turn; with `ttl` (processing time) an entry
-    goes when its symbol was not offered for that long, and the symbol is sent again afterwards. The session needs
-    a state store with map state: see `state_session`.
+    A key's rows are read as they come and a key is called once a batch. A key has its cost, so a conversation is
+    one; where conversations are very long, `parts` deals a conversation's symbols to as many keys and tasks. State is a list of symbols with their first turns, and travels with the key's
+    rows: no entry is asked for on its own. With `ttl` (processing time) an entry goes when its symbol was not
+    offered for that long, and the symbol is sent again afterwards. For the session see `state_session`.
     """
     ship_package(sent.sparkSession)
     ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None
-    part = F.pmod(F.xxhash64("symbol"), F.lit(STATE_PARTS)).cast("int")
+
+    def fold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        job = SentSymbols(ttl_ms, state.get if state.exists else None, state.getCurrentProcessingTimeMs() if ttl_ms else 0)
+        yield from job.handleInputRows(key, batches, None)
+        state.update(job._first.columns())
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
+
+    part = F.pmod(F.xxhash64("symbol"), F.lit(parts)).cast("int")
     keyed = sent.select("conv_id", part.alias("part"), "turn", "rank", "symbol").where(F.col("symbol").isNotNull())
-    return keyed.groupBy("conv_id", "part").transformWithStateInPandas(
-        SentSymbols(ttl_ms), SENT_OUT, "Append", "ProcessingTime" if ttl_ms else "None"
-    )
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    return keyed.groupBy("conv_id", "part").applyInPandasWithState(fold, SENT_OUT, _SENT_STATE, "append", timeout)
 
 
 RESPONSE_OUT = (
@@ -297,7 +327,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def state_session(spark: SparkSession) -> SparkSession:
-    """Session to start a stream in that keeps maps with expiry: its state store is RocksDB, off the JVM's heap."""
+    """Session to start a stream in that keeps entries with expiry: its state store is RocksDB, off the JVM's heap."""
     own = local_session(spark)
     own = spark.newSession() if own is spark else own
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
