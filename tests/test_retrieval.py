@@ -145,3 +145,30 @@ def test_first_symbols_of_modules_need_no_row_for_each_symbol(spark, parts):
     got = retrieval._best_of_modules(wanted, queries, symbols, found).collect()
     assert {(r["query_id"], r["module"]): (-r["score"], r["qualified_name"]) for r in got} == best
     assert postings.score_modules(wanted, queries, symbols, found).count() < rows.count()
+
+
+def test_top_rows_are_found_without_reasons_of_every_pair(parts, monkeypatch):
+    symbols, queries, found = parts
+    explained = []
+    full = postings.score_pairs
+
+    def score_pairs(pairs, *rest):
+        explained.append(pairs.count())
+        return full(pairs, *rest)
+
+    monkeypatch.setattr(postings, "score_pairs", score_pairs)
+    top = retrieval.top_k(queries, symbols, found)
+    named = top.join(symbols.select("qualified_name", F.col("symbol_id").alias("id")), "qualified_name").count()
+    assert explained == [named]
+
+
+def test_lines_with_text_are_counted(spark):
+    sources = ["", None, "\n \n", "a", " a\n\n\tb \n", "a\r\n \r\nb", "\n" * 60 + "x\n" * 50, "x\n" * 51, " x y\n" * 101]
+    rows = [(n, "m.f", "m", "constant", "m.py", None, s, "", False) for n, s in enumerate(sources)]
+    schema = (
+        "symbol_id long, qualified_name string, module string, symbol_type string, path string, docstring string, "
+        "source string, signature string, in_init boolean"
+    )
+    got = retrieval.prepare_symbols(spark.createDataFrame(rows, schema)).orderBy("symbol_id").collect()
+    lines = [sum(bool(line.strip(" \t\r")) for line in (s or "").split("\n")) for s in sources]
+    assert [r["base"] - retrieval.PUBLIC_NAME for r in got] == [15 if 0 < n <= 50 else -5 if n > 100 else 0 for n in lines]
