@@ -172,3 +172,21 @@ def test_lines_with_text_are_counted(spark):
     got = retrieval.prepare_symbols(spark.createDataFrame(rows, schema)).orderBy("symbol_id").collect()
     lines = [sum(bool(line.strip(" \t\r")) for line in (s or "").split("\n")) for s in sources]
     assert [r["base"] - retrieval.PUBLIC_NAME for r in got] == [15 if 0 < n <= 50 else -5 if n > 100 else 0 for n in lines]
+
+
+def test_only_edges_that_end_at_a_pair_are_kept(spark, monkeypatch):
+    cuts = []
+    plain = retrieval.cut_lineage
+
+    def cut(df):
+        cuts.append((df.columns, [tuple(r) for r in df.collect()]))
+        return plain(df)
+
+    monkeypatch.setattr(retrieval, "cut_lineage", cut)
+    pairs = [(1, "a", "m", "b", "m"), (1, "a", "m", "c", "n"), (2, "b", "m", "d", "n"), (2, "b", "m", "b", "m")]
+    edges = [("a", "b", "calls"), ("c", "a", "calls"), ("p", "b", "defines"), ("p", "d", "defines"), ("x", "y", "calls"), ("a", "c", "imports")]
+    pairs = spark.createDataFrame(pairs, "query_id long, primary string, primary_module string, qualified_name string, module string")
+    got = retrieval.score_relationship(pairs, spark.createDataFrame(edges, "source string, target string, type string"))
+    scores = {(r["query_id"], r["qualified_name"]): r["relation_score"] for r in got.collect()}
+    assert scores == {(1, "b"): 50, (1, "c"): 30, (2, "d"): 20}
+    assert sorted(cuts[-1][1]) == [("a", "b", "calls"), ("c", "a", "calls"), ("p", "b", "defines"), ("p", "d", "defines")]
