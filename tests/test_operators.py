@@ -430,3 +430,15 @@ def test_rounds_of_a_walk_send_no_table_through_the_driver(spark, monkeypatch):
     depth = graph_walk.call_depth(nodes, edges).first()
     assert (depth["maximum_call_depth"], depth["cyclic_nodes"]) == (2, 6)
     assert plans and not any("BroadcastHashJoin" in plan for plan in plans)
+
+
+def test_related_edges_are_not_merged_again(spark):
+    listed = [("a", "b", "calls"), ("a", "b", "calls"), ("a", "b", "imports"), ("c", "a", "calls"), ("c", "d", "calls"), (None, "a", "calls"), ("a", None, "calls")]
+    edges = spark.createDataFrame(listed, "source string, target string, type string")
+    names = spark.createDataFrame([("a",), ("a",), ("b",), ("z",)], "qualified_name string")
+    related = graph.related_edges(edges, names)
+    got = [tuple(r) for r in related.collect()]
+    assert len(got) == len(set(got)) and set(got) == {e for e in listed if "a" in e or "b" in e}
+    plan = graph.related_edges(edges.distinct(), names)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Union")]
+    assert "Aggregate" not in above

@@ -312,11 +312,18 @@ def importers_of(imports: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def related_edges(edges: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Edges with either end among the candidates, each once."""
+    """Edges with either end among the candidates, each once.
+
+    An edge is taken by its source, or else by its target, so the two lists are not merged again. Edges that are
+    distinct already are not made so twice.
+    """
     names = candidates.select("qualified_name").distinct()
-    out = edges.join(names, edges["source"] == names["qualified_name"], "left_semi")
-    into = edges.join(names, edges["target"] == names["qualified_name"], "left_semi")
-    return out.unionByName(into).distinct()
+    every = edges.distinct()
+    starts = names.withColumnRenamed("qualified_name", "source")
+    ends = names.withColumnRenamed("qualified_name", "target")
+    out = every.join(starts, "source", "left_semi")
+    into = every.join(starts, "source", "left_anti").join(ends, "target", "left_semi")
+    return out.select(*edges.columns).unionByName(into.select(*edges.columns))
 
 
 def review_scope(changes: DataFrame, symbols: DataFrame, modules: DataFrame) -> DataFrame:
