@@ -442,3 +442,23 @@ def test_related_edges_are_not_merged_again(spark):
     plan = graph.related_edges(edges.distinct(), names)._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("Union")]
     assert "Aggregate" not in above
+
+
+def test_cycles_write_only_arcs_that_may_lie_on_one(spark, monkeypatch):
+    written = []
+    cut = graph_walk.cut_lineage
+
+    def kept(df):
+        table = cut(df)
+        if table.columns == ["source", "target"]:
+            written.append(table.count())
+        return table
+
+    monkeypatch.setattr(graph_walk, "cut_lineage", kept)
+    leaves = [("n1", f"leaf{i}") for i in range(300)] + [(f"root{i}", "n2") for i in range(300)]
+    arcs = [("n1", "n2"), ("n2", "n3"), ("n3", "n1"), ("n1", "n2"), ("n3", "n4"), ("n4", "n5"), ("n5", "n5"), (None, "n1"), ("n1", None)]
+    edges = spark.createDataFrame(arcs + leaves, "source string, target string")
+    found = rows(graph_walk.dependency_cycles(edges), "cycle_id", "node")
+    assert found == [("n1", "n1"), ("n1", "n2"), ("n1", "n3")]
+    assert written and max(written) <= 5
+    assert rows(graph_walk.dependency_cycles(edges.where("target = 'n2'")), "cycle_id", "node") == []

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracelode.functions.stats import ratio, round_half_even
 from tracelode.functions.text import contains_any
+from tracelode.session import cut_lineage
 
 # Fixed values.
 EDGE_TYPES = ("calls", "imports", "inherits", "defines")
@@ -392,10 +393,11 @@ def refactoring_findings(
 ) -> DataFrame:
     """All six kinds of findings, one row per (category, modules), the most confident kept.
 
-    `cycles` is (cycle_id, node) as the cycle operator returns it.
+    `cycles` is (cycle_id, node) as the cycle operator returns it. Edges are read several times: they should be a
+    written table.
     """
     path = F.col("module")
-    coupled = high_coupling(coupling(modules, symbols, edges), coupling_multiplier)
+    coupled = high_coupling(cut_lineage(coupling(modules, symbols, edges)), coupling_multiplier)
     large = large_modules(symbols, large_threshold)
     dead = dead_symbols(symbols, edges).groupBy("module").agg(F.count(F.lit(1)).alias("n"))
     orphans = import_orphans(modules, symbols, edges)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracelode import views
 from tracelode.operators import graph, graph_walk
 from tracelode.plans.registry import query
+from tracelode.session import cut_lineage
 
 WITH = "WITH " + views.GRAPH_SQL
 
@@ -551,6 +552,7 @@ findings AS (SELECT category || ':' || modules AS id, category, modules, any_val
 
 def _findings(spark, sf_dir):
     modules, symbols, edges = _tables(spark, sf_dir)
+    edges = cut_lineage(edges)
     cycles = graph_walk.dependency_cycles(edges)
     return graph.refactoring_findings(modules, symbols, edges, cycles, large_threshold=30)
 
@@ -567,6 +569,7 @@ def _refactoring_findings(spark, sf_dir):
 )
 def _cycle_modules(spark, sf_dir):
     _, symbols, edges = _tables(spark, sf_dir)
+    edges = cut_lineage(edges)
     owner = symbols.groupBy(F.col("qualified_name").alias("node")).agg(F.min("module").alias("module"))
     return graph.cycle_modules(graph_walk.dependency_cycles(edges).join(owner, "node"))
 
