@@ -462,3 +462,27 @@ def test_cycles_write_only_arcs_that_may_lie_on_one(spark, monkeypatch):
     assert found == [("n1", "n1"), ("n1", "n2"), ("n1", "n3")]
     assert written and max(written) <= 5
     assert rows(graph_walk.dependency_cycles(edges.where("target = 'n2'")), "cycle_id", "node") == []
+
+
+def test_joint_impact_walks_only_edges_near_the_roots(spark, monkeypatch):
+    written = []
+    cut = graph_walk.cut_lineage
+
+    def kept(df):
+        table = cut(df)
+        if "lane" in table.columns:
+            written.append(table.count())
+        return table
+
+    monkeypatch.setattr(graph_walk, "cut_lineage", kept)
+    names = [("a", "top"), ("b", "top"), ("x", "low"), ("y", "low")]
+    symbols = spark.createDataFrame([(n, m, i) for i, (n, m) in enumerate(names)], "qualified_name string, module string, load_order long")
+    modules = spark.createDataFrame([("top",), ("low",)], "path string")
+    near = [("a", f"p{i}", "calls") for i in range(6)] + [("p0", "q", "calls"), ("q", "r", "calls"), ("p0", "z", "imports"), ("b", "a", "imports")]
+    far = [(f"f{i}", f"g{i % 7}", "calls") for i in range(500)]
+    edges = spark.createDataFrame(near + far, "source string, target string, type string")
+    got = graph_walk.top_module_impact(modules, symbols, edges, module_limit=1).first()
+    assert (got["impacted_symbols"], got["max_distance"]) == (9, 2)  # p0 to p5, q, and a and b by each other
+    assert written and max(written) <= 2 * len(near)
+    start = spark.createDataFrame([("a",)], "node string")
+    assert rows(graph_walk.edges_near(start, edges, 1), "source", "target", "type") == sorted(e for e in near if "a" in e[:2])
