@@ -510,3 +510,16 @@ def test_dag_checks_hold_the_sorts_of_one_join_in_a_task(spark, monkeypatch):
         *[("unknown dependency", n) for n in (1, 30)],
         *[("unreachable", n) for n in (*range(1, 9), 20, 21, 22, 23)],
     ]
+
+
+def test_sources_go_to_python_in_small_batches_and_once(spark):
+    source = "import os\nclass A(B):\n    @deco\n    def go(self):\n        self.stop()\n"
+    files = spark.createDataFrame([("m", source), ("empty", ""), ("bad", "def (")], "module string, content string")
+    facts = mining.extract_facts(files)
+    plan = facts.where("fact = 'symbol'")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchEvalPython") == 1 and "Arrow" not in plan and "Pandas" not in plan
+    assert facts.columns[0] == "module" and not hasattr(mining, "pd")
+    got = rows(mining.symbols_of(facts), "qualified_name", "symbol_type", "lineno", "decorators")
+    assert got == [("m.A", "class", 2, []), ("m.A.go", "method", 4, ["deco"])]
+    assert [r["module"] for r in mining.parse_errors(facts).collect()] == ["bad"]
+    assert rows(mining.imports_of(facts), "module", "import_text") == [("m", "import os")]
