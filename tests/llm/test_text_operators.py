@@ -588,3 +588,21 @@ def test_rates_hit_the_bound_of_zero(spark):
     members = spark.createDataFrame(rows, "doc_id long, text_code long, n_rows long, n_tokens long, posterior array<double>")
     got = {r.doc_id: r.rate for r in mixing.fit_rates(members, [1.0, 0.0]).collect()}
     assert got[2] < 1e-4 and got[3] >= 0 and got[1] > 1
+
+
+def test_a_scoring_window_stays_small_however_many_texts_run_together(monkeypatch):
+    sizes, run = [], Model._run
+
+    def kept(self, entry, tokens, state):
+        sizes.append(tokens.size)
+        return run(self, entry, tokens, state)
+
+    monkeypatch.setattr(Model, "_run", kept)
+    counts = np.arange(40, 0, -1).astype(float)
+    model = Model(Layout(counts, 4), 5, counts, (0.0, 1.0))
+    draw = np.random.default_rng(3)
+    texts = [draw.integers(0, 40, n) for n in [*draw.integers(0, 90, 700), 3000]]
+    together = model.score(texts, 3)
+    assert max(sizes) <= 1 << 12
+    some = range(0, 701, 50)
+    assert np.allclose(together[some], [model.score([texts[i]], 3)[0] for i in some], rtol=1e-5)

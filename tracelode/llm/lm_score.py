@@ -45,6 +45,7 @@ _TOKEN_SCHEMA = "ids array<long>, lengths array<int>, known array<int>, base arr
 _MEAN_PARTS = 16
 _ROWS = 2048
 _TRAIN_TOKENS = 1 << 19
+_SCORE_TOKENS = 1 << 21
 _GROWTH = 4
 _HASH_BITS = 6
 _POWERS = 63
@@ -333,24 +334,37 @@ def score_documents(
         model = _train_round(streams, words, model, k, rounds, rate * (1 - k / (rounds + 1)))
     flat, train_tokens = model.flat, int(words.tokens)
 
+    def scored(own: Model, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        """Rows of chunks read together: a step over the longest texts costs its calls, however few texts are left."""
+        texts = [words.scored(t) for row in rows for t in _texts(row)]
+        every = np.zeros(len(texts))
+        order = np.argsort([len(t) for t in texts], kind="stable")
+        for low in range(0, len(order), _ROWS):
+            part = order[low : low + _ROWS]
+            every[part] = own.score([texts[i] for i in part], words.end)
+        at = 0
+        for row in rows:
+            n = len(row["ids"])
+            found = every[at : at + n] / np.log(10) + np.array(row["rest"])
+            at += n
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(row["ids"], pa.int64()), pa.array([held_out(i) for i in row["ids"]]), pa.array(row["lengths"], pa.int64()),
+                    pa.array(row["known"], pa.int64()), pa.array([train_tokens] * n, pa.int64()), pa.array(row["base"]), pa.array(found),
+                ],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _copy(model, flat)
+        own, rows, held = _copy(model, flat), [], 0
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                texts = [words.scored(t) for t in _texts(row)]
-                found = np.zeros(len(texts))
-                order = np.argsort([len(t) for t in texts], kind="stable")
-                for low in range(0, len(order), _ROWS):
-                    part = order[low : low + _ROWS]
-                    found[part] = own.score([texts[i] for i in part], words.end)
-                found = found / np.log(10) + np.array(row["rest"])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row["ids"], pa.int64()), pa.array([held_out(i) for i in row["ids"]]), pa.array(row["lengths"], pa.int64()),
-                        pa.array(row["known"], pa.int64()), pa.array([train_tokens] * len(texts), pa.int64()), pa.array(row["base"]), pa.array(found),
-                    ],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+                rows.append(batch.slice(k, 1).to_pylist()[0])
+                held += sum(rows[-1]["lengths"])
+                if held >= _SCORE_TOKENS:
+                    yield from scored(own, rows)
+                    rows, held = [], 0
+        if rows:
+            yield from scored(own, rows)
 
     return encoded.mapInArrow(score, SCORE_SCHEMA)

@@ -17,6 +17,7 @@ WINDOW = 32
 TOGETHER = 1 << 14
 ROWS = 512
 _BLOCK = 1 << 11
+_HELD = 1 << 12
 
 
 class Layout:
@@ -95,23 +96,37 @@ class Model:
         """What each token brings to the gates."""
         return self.part["enter"] + self.part["bias"]
 
+    def _halved(self, weights: np.ndarray) -> np.ndarray:
+        """A copy with the gates' columns halved, as the tanh form of a sigmoid asks for."""
+        out = weights.copy()
+        out[:, : 2 * self.hidden] *= np.float32(0.5)
+        return out
+
     def _run(self, entry: np.ndarray, tokens: np.ndarray, state: np.ndarray) -> np.ndarray:
-        """States before each of the steps of `tokens` (steps, rows), then the one after the last."""
-        h = self.hidden
-        entered = entry[tokens]
-        states = np.empty((len(tokens) + 1, len(state), h), dtype=np.float32)
-        states[0] = state
+        """States before each of the steps of `tokens` (steps, rows), then the one after the last.
+
+        `entry` has its gates halved. Inside, rows are the last axis, so that a gate's numbers lie together.
+        """
+        h, half, one = self.hidden, np.float32(0.5), np.float32(1.0)
+        weights = np.ascontiguousarray(self._halved(self.part["keep"]).T)
+        entered = np.ascontiguousarray(entry[tokens].transpose(0, 2, 1))
+        states = np.empty((len(tokens) + 1, h, len(state)), dtype=np.float32)
+        states[0] = state.T
         for t in range(len(tokens)):
-            old = states[t]
-            held = old @ self.part["keep"]
-            gates = np.tanh((entered[t, :, : 2 * h] + held[:, : 2 * h]) * np.float32(0.5))
-            gates += np.float32(1.0)
-            gates *= np.float32(0.5)
-            fresh = np.tanh(entered[t, :, 2 * h :] + gates[:, h:] * held[:, 2 * h :])
-            np.subtract(fresh, old, out=states[t + 1])
-            states[t + 1] *= gates[:, :h]
-            states[t + 1] += old
-        return states
+            old, gates = states[t], entered[t, : 2 * h]
+            held = weights @ old
+            gates += held[: 2 * h]
+            np.tanh(gates, out=gates)
+            gates += one
+            gates *= half
+            fresh = held[2 * h :]
+            fresh *= gates[h:]
+            fresh += entered[t, 2 * h :]
+            np.tanh(fresh, out=fresh)
+            fresh -= old
+            fresh *= gates[:h]
+            np.add(fresh, old, out=states[t + 1])
+        return np.ascontiguousarray(states.transpose(0, 2, 1))
 
     def _targets(self, states: np.ndarray, tokens: np.ndarray, grads: dict | None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probability of each token given the state before it, and the gradient on the states.
@@ -176,7 +191,7 @@ class Model:
         sums = np.zeros(len(texts))
         state = np.zeros((len(texts), self.hidden), dtype=np.float32)
         last = np.full(len(texts), start, dtype=np.int64)
-        entry = self.entry()
+        entry = self._halved(self.entry())
         # Steps of long texts are few rows each: their states wait until a good number can be scored together.
         waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = at = 0
@@ -194,7 +209,8 @@ class Model:
                 settle()
                 return sums
             rows = order[:live]
-            steps = min(WINDOW, int(lengths[rows[0]]) - at)
+            # Few rows go many steps at once, many rows few, so that what a window holds stays in a core's cache.
+            steps = min(max(1, _HELD // live), int(lengths[rows[0]]) - at)
             grid = np.full((steps, live), start, dtype=np.int64)
             inside = np.arange(at, at + steps)[:, None] < lengths[rows]
             for k, row in enumerate(rows.tolist()):
@@ -242,8 +258,7 @@ class Model:
         # A text's first token starts from an empty state.
         clear = fresh[:-1]
         state = state * ~clear[0][:, None]
-        tape: list = []
-        states = self._run_cleared(read, state, clear, tape)
+        states, tape = self._run_cleared(read, state, clear)
         if "grads" not in memory:
             memory["grads"] = np.zeros_like(self.flat)
         flat = memory["grads"]
@@ -252,57 +267,72 @@ class Model:
         for name, part in self.part.items():
             grads[name] = flat[at : at + part.size].reshape(part.shape)
             at += part.size
-        after = states[1:]
+        after = np.ascontiguousarray(states[1:].transpose(0, 2, 1))
         _, back = self._targets(after[valid], want[valid], grads)
         spread = np.zeros(after.shape, dtype=np.float32)
         spread[valid] = back
         self._backward(read, states, clear, tape, spread, grads)
         self._step(flat / np.float32(max(1, int(valid.sum()))), rate, memory)
-        return states[-1].copy()
+        return states[-1].T.copy()
 
-    def _run_cleared(self, tokens: np.ndarray, state: np.ndarray, clear: np.ndarray, tape: list) -> np.ndarray:
-        h = self.hidden
-        entered = self.part["enter"][tokens]
-        entered += self.part["bias"]
-        states = np.empty((len(tokens) + 1, len(state), h), dtype=np.float32)
-        states[0] = state
+    def _run_cleared(self, tokens: np.ndarray, state: np.ndarray, clear: np.ndarray) -> tuple:
+        """States (steps + 1, hidden, rows), and what the way back needs: gates and new values, what the state gave."""
+        h, half, one = self.hidden, np.float32(0.5), np.float32(1.0)
+        weights = np.ascontiguousarray(self._halved(self.part["keep"]).T)
+        entered = np.ascontiguousarray(self._halved(self.entry())[tokens].transpose(0, 2, 1))
+        given = np.empty_like(entered)
+        states = np.empty((len(tokens) + 1, h, len(state)), dtype=np.float32)
+        states[0] = state.T
         for t in range(len(tokens)):
             if t and clear[t].any():
-                states[t][clear[t]] = 0
-            old = states[t]
-            held = old @ self.part["keep"]
-            gates = np.tanh((entered[t, :, : 2 * h] + held[:, : 2 * h]) * np.float32(0.5))
-            gates += np.float32(1.0)
-            gates *= np.float32(0.5)
-            fresh = np.tanh(entered[t, :, 2 * h :] + gates[:, h:] * held[:, 2 * h :])
-            states[t + 1] = old + gates[:, :h] * (fresh - old)
-            tape.append((gates, fresh, held[:, 2 * h :]))
-        return states
+                states[t][:, clear[t]] = 0
+            old, gates, fresh = states[t], entered[t, : 2 * h], entered[t, 2 * h :]
+            held = np.matmul(weights, old, out=given[t])
+            gates += held[: 2 * h]
+            np.tanh(gates, out=gates)
+            gates += one
+            gates *= half
+            fresh += gates[h:] * held[2 * h :]
+            np.tanh(fresh, out=fresh)
+            step = fresh - old
+            step *= gates[:h]
+            np.add(step, old, out=states[t + 1])
+        return states, (entered, given)
 
     def _backward(self, tokens, states, clear, tape, spread, grads) -> None:
-        h = self.hidden
+        h, steps, one = self.hidden, len(tokens), np.float32(1.0)
+        entered, given = tape
+        spread = np.ascontiguousarray(spread.transpose(0, 2, 1))
+        into, through = np.empty_like(entered), np.empty_like(entered)
         pulled = np.zeros_like(states[0])
-        steps = len(tokens)
-        into = np.empty((steps, tokens.shape[1], 3 * h), dtype=np.float32)
-        through = np.empty_like(into)
         for t in range(steps - 1, -1, -1):
-            gates, fresh, held = tape[t]
-            keep, reset, old = gates[:, :h], gates[:, h:], states[t]
-            grad = spread[t] + pulled
-            d_fresh = grad * keep * (1 - fresh * fresh)
-            into[t, :, :h] = grad * (fresh - old) * keep * (1 - keep)
-            into[t, :, h : 2 * h] = d_fresh * held * reset * (1 - reset)
-            into[t, :, 2 * h :] = d_fresh
-            through[t, :, : 2 * h] = into[t, :, : 2 * h]
-            through[t, :, 2 * h :] = d_fresh * reset
-            pulled = grad * (1 - keep) + through[t] @ self.part["keep"].T
+            keep, reset, fresh = entered[t, :h], entered[t, h : 2 * h], entered[t, 2 * h :]
+            grad, own, passed = spread[t], into[t], through[t]
+            grad += pulled
+            kept = grad * keep
+            d_keep, d_reset, d_fresh = own[:h], own[h : 2 * h], own[2 * h :]
+            np.multiply(fresh, fresh, out=d_fresh)
+            np.subtract(one, d_fresh, out=d_fresh)
+            d_fresh *= kept
+            np.subtract(one, keep, out=d_keep)
+            d_keep *= kept
+            d_keep *= fresh - states[t]
+            np.multiply(d_fresh, reset, out=passed[2 * h :])
+            np.subtract(one, reset, out=d_reset)
+            d_reset *= given[t, 2 * h :]
+            d_reset *= passed[2 * h :]
+            passed[: 2 * h] = own[: 2 * h]
+            pulled = self.part["keep"] @ passed
+            grad -= kept
+            pulled += grad
             if clear[t].any():
-                pulled[clear[t]] = 0
-        grads["keep"] += states[:-1].reshape(-1, h).T @ through.reshape(-1, 3 * h)
-        grads["bias"] += into.reshape(-1, 3 * h).sum(axis=0)
-        flat, rows = tokens.reshape(-1), into.reshape(-1, 3 * h)
-        used, place = np.unique(flat, return_inverse=True)
-        columns = np.ascontiguousarray(rows.T)
+                pulled[:, clear[t]] = 0
+        grads["keep"] += np.matmul(states[:-1], through.transpose(0, 2, 1)).sum(axis=0)
+        grads["bias"] += into.sum(axis=(0, 2))
+        flat, columns = tokens.reshape(-1), into.transpose(1, 0, 2).reshape(3 * h, -1)
+        seen = np.zeros(len(self.part["enter"]), dtype=bool)
+        seen[flat] = True
+        used, place = np.flatnonzero(seen), (np.cumsum(seen) - 1)[flat]
         sums = np.stack([np.bincount(place, weights=column, minlength=len(used)) for column in columns], axis=1)
         grads["enter"][used] += sums.astype(np.float32)
 
