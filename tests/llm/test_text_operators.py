@@ -4,7 +4,9 @@ import hashlib
 import html.parser
 import math
 import random
+import sys
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -16,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelode.llm import chat_format, decontaminate, html_extract, lm_score, mixing, quality_rules, token_counts
+from tracelode.llm import chat_format, decontaminate, exchange, html_extract, lm_score, mixing, quality_rules, token_counts
 from tracelode.llm.oracle import QUALITY_RULES
 from tracelode.llm.queries import END_OF_DOCUMENT, RANK_FILE
 from tracelode.llm.recurrent import Layout, Model
@@ -606,3 +608,57 @@ def test_a_scoring_window_stays_small_however_many_texts_run_together(monkeypatc
     assert max(sizes) <= 1 << 12
     some = range(0, 701, 50)
     assert np.allclose(together[some], [model.score([texts[i]], 3)[0] for i in some], rtol=1e-5)
+
+
+def test_scoring_takes_no_call_for_each_text_and_window():
+    counts = np.arange(40, 0, -1).astype(float)
+    model = Model(Layout(counts, 4), 5, counts, (0.0, 1.0))
+    draw = np.random.default_rng(5)
+    texts = [draw.integers(0, 40, n) for n in draw.integers(90, 110, 2000)]
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        model.score(texts, 3)
+    finally:
+        sys.setprofile(None)
+    # A token took half a call while each text's part of a window was laid in by itself.
+    assert calls < sum(map(len, texts)) / 8
+
+
+def test_a_training_step_works_in_the_room_of_the_one_before():
+    counts = np.arange(900, 0, -1).astype(float)
+    model = Model(Layout(counts, 30), 16, counts, (0.0, 1.0))
+    grid = np.random.default_rng(9).integers(0, 900, (33, 512))
+    state, memory = np.zeros((512, 16), dtype=np.float32), {}
+    model._learn(grid, np.zeros(grid.shape, dtype=bool), state, 0.01, memory)
+    tracemalloc.start()
+    try:
+        model._learn(grid, np.zeros(grid.shape, dtype=bool), state, 0.01, memory)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # What the gates of all tokens bring and give, forth and back, is four times this much.
+    assert most < 2 * grid.size * 48 * 4
+
+
+def test_texts_are_cut_into_words_once(spark, monkeypatch):
+    """Chunks are written as words: no later step has the texts to read them again."""
+    tables, make = [], exchange.chunk_table
+    monkeypatch.setattr(exchange, "chunk_table", lambda *given, **named: tables.append(make(*given, **named)) or tables[-1])
+    rows = [(k, f"One two\tw{k} TWO") for k in range(40)] + [(50, None), (None, " "), (51, "one")]
+    assert lm_score.score_documents(texts.frame(spark, rows), vocabulary=20, classes=6, hidden=4, rounds=0).count() == len(rows)
+    assert "data" not in tables[0].columns
+    found = []
+    for row in tables[0].collect():
+        chunk = exchange.Chunk(row.asDict())
+        distinct = lm_score._Distinct(chunk)
+        assert (np.diff(distinct.codes.astype(object)) > 0).all() and len(distinct.text_of) == len(distinct.place)
+        codes = distinct.codes[distinct.place].tolist()
+        found += [(i, codes[a:b]) for i, a, b in zip(chunk.ids, distinct.first, distinct.first[1:])]
+    wanted = [(k, WordTable([(t or "").encode()], lower=True).codes().tolist()) for k, t in rows]
+    assert sorted(found, key=str) == sorted(wanted, key=str)

@@ -60,12 +60,26 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(ids, texts)
 
 
-def chunk_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Written table of chunks: chunk_id, n_bytes, ids, lengths, data (the texts end to end)."""
+def chunk_table(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    work: Callable[[Chunk], pa.RecordBatch] | None = None,
+    schema: str = _CHUNK_SCHEMA,
+) -> DataFrame:
+    """Written table of chunks: chunk_id, n_bytes, ids, lengths, data (the texts end to end).
+
+    `work` makes of a chunk what is written in its place; its `schema` has chunk_id, n_bytes and ids too.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _packed(batches):
+            yield batch if work is None else work(Chunk(batch.to_pylist()[0]))
+
     spark = docs.sparkSession
     ship_package(spark)
     name = f"text_chunks_{uuid.uuid4().hex}"
-    packed = docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_packed, _CHUNK_SCHEMA)
+    packed = docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, schema)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     (
         packed.write.format("parquet").option("compression", "zstd").option("path", scratch_path(spark, "chunks"))
@@ -81,13 +95,13 @@ def bucket_bits(chunks: DataFrame) -> int:
 
 
 class Chunk:
-    """One row of the chunk table inside a task, with the answers it got so far."""
+    """One row of the chunk table inside a task, with the answers it got so far. Texts are there if they were written."""
 
     def __init__(self, row: dict):
         self.chunk_id = row["chunk_id"]
         self.ids = [i for i in row["ids"]]
         self.texts, at = [], 0
-        for length in row["lengths"]:
+        for length in row["lengths"] if "data" in row else ():
             self.texts.append(row["data"][at : at + length])
             at += length
         self.row = row

@@ -1,12 +1,14 @@
 """Log-likelihood of whole documents under a gated recurrent language model learned from the corpus.
 
-1. Counts. Chunks of documents ask for the training count of each of their words (see exchange.py), so
-   counts cover all training documents and no table of all words goes anywhere as a whole.
+1. Counts. Texts are read once, and written as distinct words and their places. Chunks of documents ask for
+   the training count of each of their words (see exchange.py), so counts cover all training documents and no
+   table of all words goes anywhere as a whole.
 2. Vocabulary. The most frequent words, `vocabulary` at least and `_GROWTH` times the square root of the
    number of distinct words, have a token each. Other known words are grouped by the power of two of their
    count and by a hash; a group has a token of its own, as context and as target, and its words are told
    apart by their counts. The hash grows with the square root of the corpus. Tokens are classed by frequency;
-   the number of classes grows with the square root of the number of tokens. Unseen words share one token.
+   the number of classes grows with the square root of the number of tokens. Classes are gathered in kinds, as
+   many as the square root of the classes. Unseen words share one token.
 3. Training. The weights go round `rounds` times: the documents lie in streams, as many as the square root of
    the corpus asks for, and a task for each runs truncated backpropagation (recurrent.py) over its part of the
    training documents, each document once in all. What the weights moved by is averaged by the tokens seen. A word seen once stands for an unseen one, since it would be if left out.
@@ -25,7 +27,7 @@ ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,6 +43,7 @@ from tracelode.session import cut_lineage
 SCORE_SCHEMA = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 )
+_WORD_SCHEMA = "chunk_id long, n_bytes long, ids array<long>, lengths array<int>, codes binary, place binary"
 _TOKEN_SCHEMA = "ids array<long>, lengths array<int>, known array<int>, base array<double>, rest array<double>, tokens binary"
 _MEAN_PARTS = 16
 _ROWS = 2048
@@ -60,16 +63,27 @@ def held_out(doc_id: int | None) -> bool:
     return fold(doc_id) % 10 == 0
 
 
+def _as_words(chunk: exchange.Chunk) -> pa.RecordBatch:
+    """Row of _WORD_SCHEMA: distinct words in order of their codes, which one each word is, and each text's number of words."""
+    table = WordTable(chunk.texts, lower=True)
+    codes, place = np.unique(table.codes(), return_inverse=True)
+    row = [chunk.chunk_id, chunk.row["n_bytes"], chunk.ids, np.diff(table.first), to_planes(codes), to_planes(place.astype(np.uint32))]
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+    names = ["chunk_id", "n_bytes", "ids", "lengths", "codes", "place"]
+    return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, kinds)], names=names)
+
+
 class _Distinct:
     """Distinct words of a chunk, in order of their codes, and where they are."""
 
     def __init__(self, chunk: exchange.Chunk):
-        self.table = WordTable(chunk.texts, lower=True)
-        self.codes, self.place = np.unique(self.table.codes(), return_inverse=True)
+        self.codes, self.place = from_planes(chunk.row["codes"], np.uint64), from_planes(chunk.row["place"], np.uint32).astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum(chunk.row["lengths"], dtype=np.int64)])
+        self.text_of = np.repeat(np.arange(len(chunk.ids)), np.diff(self.first))
         self.training = ~np.array([held_out(i) for i in chunk.ids], dtype=bool)
 
     def training_counts(self) -> np.ndarray:
-        used = self.place[self.training[self.table.text_of]] if len(self.place) else self.place
+        used = self.place[self.training[self.text_of]] if len(self.place) else self.place
         return np.bincount(used, minlength=len(self.codes)).astype(np.uint64)
 
 
@@ -232,7 +246,7 @@ def _encode_chunk(chunk: exchange.Chunk, words: _Vocabulary) -> tuple:
     counts = np.concatenate([from_planes(r, np.uint64) for r in replies]).astype(np.int64) if replies else np.zeros(0, np.int64)
     token, rest = words.encode(distinct.codes, counts)
     base = np.log10((counts + 0.1) / words.scale)
-    first = distinct.table.first
+    first = distinct.first
 
     def by_text(values: np.ndarray) -> np.ndarray:
         sums = np.concatenate([[0], np.cumsum(values[distinct.place])])
@@ -240,15 +254,15 @@ def _encode_chunk(chunk: exchange.Chunk, words: _Vocabulary) -> tuple:
 
     lengths = np.diff(first) + 1
     stream = np.full(int(lengths.sum()), words.end, dtype=np.uint32)
-    at = np.arange(len(distinct.place)) + distinct.table.text_of
+    at = np.arange(len(distinct.place)) + distinct.text_of
     stream[at] = token[distinct.place]
     known = by_text((counts > 0).astype(np.int64)) + (words.ends > 0)
     end = float(np.log10((words.ends + 0.1) / words.scale))
     return chunk.ids, lengths, known, by_text(base) + end, by_text(rest), to_planes(stream)
 
 
-def _texts(row: dict) -> list[np.ndarray]:
-    stream = from_planes(row["tokens"], np.uint32).astype(np.int64)
+def _texts(row: dict, read: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    stream = read(from_planes(row["tokens"], np.uint32).astype(np.int64))
     return np.split(stream, np.cumsum(row["lengths"])[:-1])
 
 
@@ -261,9 +275,9 @@ def _train_round(encoded: DataFrame, words: _Vocabulary, model: Model, part: int
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                for doc_id, text in zip(row["ids"], _texts(row)):
+                for doc_id, text in zip(row["ids"], _texts(row, words.learned)):
                     if not held_out(doc_id) and fold(doc_id) // 10 % parts == part:
-                        chosen.append(words.learned(text))
+                        chosen.append(text)
                         held += len(text)
                 if held >= _TRAIN_TOKENS:
                     own.train(chosen, words.end, rate, memory)
@@ -302,7 +316,7 @@ def score_documents(
     docs: DataFrame, vocabulary: int = 2047, classes: int = 32, hidden: int = 16, rounds: int = 3, rate: float = 0.02
 ) -> DataFrame:
     """SCORE_SCHEMA, a row for each row of `docs`."""
-    chunks = exchange.chunk_table(docs)
+    chunks = exchange.chunk_table(docs, work=_as_words, schema=_WORD_SCHEMA)
     bits = exchange.bucket_bits(chunks)
 
     def ask(chunk: exchange.Chunk) -> pa.RecordBatch:
@@ -336,7 +350,7 @@ def score_documents(
 
     def scored(own: Model, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         """Rows of chunks read together: a step over the longest texts costs its calls, however few texts are left."""
-        texts = [words.scored(t) for row in rows for t in _texts(row)]
+        texts = [t for row in rows for t in _texts(row, words.scored)]
         every = np.zeros(len(texts))
         order = np.argsort([len(t) for t in texts], kind="stable")
         for low in range(0, len(order), _ROWS):

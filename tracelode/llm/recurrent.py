@@ -1,56 +1,71 @@
-"""A gated recurrent language model in numpy: one layer, output softmax factored into classes.
+"""A gated recurrent language model in numpy: one layer, output softmax factored into kinds and classes.
 
 Tokens are numbers: 0 .. size-1 are those of the vocabulary, `size` stands for known words outside it (if
 there are any), `size + 1` for words that training has not seen. The vocabulary is split into classes, in
-order of frequency, by probability and by number of tokens alike; the probability of a token is that of its
-class times that of the token in the class, both given the state. The two other tokens are classes of their
-own.
+order of frequency, by probability and by number of tokens alike, and the classes are split into kinds in
+the same way. The probability of a token is that of its kind times that of its class in the kind times that
+of the token in the class, all given the state. The two other tokens are kinds of their own.
 
 Used inside tasks; the number of floats of a model is in proportion to its vocabulary.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 WINDOW = 32
 TOGETHER = 1 << 14
 ROWS = 512
-_BLOCK = 1 << 11
+_LOGITS = 1 << 16
 _HELD = 1 << 12
+_PIECE = 1 << 14
 
 
-class Layout:
-    """Classes of a vocabulary given by descending counts."""
+def _dealt(mass: np.ndarray, parts: int) -> np.ndarray:
+    """Part of each of `mass`, in order: at most `parts` parts, from 0 on.
 
-    def __init__(self, counts: np.ndarray, classes: int):
-        size = len(counts)
-        mass = np.cumsum(counts + 1.0) - (counts + 1.0) / 2
-        # Half by number: no class has more than twice its share of the tokens, whatever their probability.
-        share = (mass / (counts + 1.0).sum() + (np.arange(size) + 0.5) / max(size, 1)) / 2
-        owner = np.minimum((share * classes).astype(int), classes - 1)
-        _, owner = np.unique(owner, return_inverse=True)
-        used = int(owner[-1]) + 1 if size else 0
-        self.size, self.classes = size, used + 2
-        self.first = np.searchsorted(owner, np.arange(used + 1))
-        self.class_of = np.concatenate([owner, [used, used + 1]]).astype(np.int64)
+    Half by number: no part has more than twice its share of them, whatever their mass.
+    """
+    share = ((np.cumsum(mass) - mass / 2) / mass.sum() + (np.arange(len(mass)) + 0.5) / len(mass)) / 2
+    return np.unique(np.minimum((share * parts).astype(int), parts - 1), return_inverse=True)[1]
 
 
-def _log_softmax(logits: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of the picked columns; `logits` become exponentials, whose row sums are returned.
+class Layout:
+    """Classes of a vocabulary given by descending counts, and kinds, as many as the square root of the classes."""
+
+    def __init__(self, counts: np.ndarray, classes: int):
+        self.size, mass = len(counts), counts + 1.0
+        owner = _dealt(mass, classes) if self.size else np.zeros(0, dtype=np.int64)
+        self.classes = int(owner[-1]) + 1 if self.size else 0
+        self.first = np.searchsorted(owner, np.arange(self.classes + 1))
+        self.class_of = np.concatenate([owner, self.classes + np.arange(2)]).astype(np.int64)
+        above = _dealt(np.add.reduceat(mass, self.first[:-1]), math.ceil(self.classes**0.5)) if self.size else owner
+        own = int(above[-1]) + 1 if self.size else 0
+        self.first_class = np.searchsorted(above, np.arange(own + 1))
+        self.kind_of = np.concatenate([above, own + np.arange(2)]).astype(np.int64)
+        self.kinds = own + 2
+        self.widest = max(self.kinds, int(np.diff(self.first).max(initial=0)), int(np.diff(self.first_class).max(initial=0)))
+
+
+def _log_softmax(logits: np.ndarray, pick: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log probability of the picked columns; `logits` become exponentials, whose row sums and the places of
+    the picked among them are returned too.
 
     `logits` come shifted by a bound, so that none is above 0; rows so far below it that they would vanish have
-    their own shift.
+    their own shift. There are as many `ones` as columns, or more.
     """
-    if not len(logits):
-        return np.zeros(0, dtype=np.float32), np.zeros(0, dtype=np.float32)
-    low = logits[np.arange(len(pick)), pick]
+    at = np.arange(0, logits.size, logits.shape[1])
+    at += pick
+    low = logits.take(at)
     if low.min() < -60:
         logits -= logits.max(axis=1, keepdims=True)
-        low = logits[np.arange(len(pick)), pick]
+        low = logits.take(at)
     np.exp(logits, out=logits)
-    total = logits @ np.ones(logits.shape[1], dtype=np.float32)
-    return low - np.log(total), total
+    total = logits @ ones[: logits.shape[1]]
+    low -= np.log(total)
+    return low, total, at
 
 
 def _shifted(weights: np.ndarray, bias: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -66,14 +81,22 @@ def _shifted(weights: np.ndarray, bias: np.ndarray, first: np.ndarray) -> np.nda
     return out
 
 
+def _room(memory: dict, name: str, *shape: int) -> np.ndarray:
+    """An array to fill that stays in `memory` from step to step: new pages would cost as much as the filling."""
+    size = int(np.prod(shape))
+    if name not in memory or len(memory[name]) < size:
+        memory[name] = np.empty(size, dtype=np.float32)
+    return memory[name][:size].reshape(shape)
+
+
 class Model:
     """Parameters as one flat float32 array with named views."""
 
     def __init__(self, layout: Layout, hidden: int, counts: np.ndarray, others: tuple[float, float], seed: int = 1):
         self.layout, self.hidden = layout, hidden
         shapes = {
-            "enter": (layout.size + 2, 3 * hidden), "keep": (hidden, 3 * hidden), "bias": (3 * hidden,),
-            "class_w": (layout.classes, hidden), "class_b": (layout.classes,),
+            "enter": (3 * hidden, layout.size + 2), "keep": (hidden, 3 * hidden), "bias": (3 * hidden,),
+            "kind_w": (layout.kinds, hidden), "kind_b": (layout.kinds,), "class_w": (layout.classes, hidden), "class_b": (layout.classes,),
             "word_w": (layout.size, hidden), "word_b": (layout.size,),
         }
         self.flat = np.zeros(sum(int(np.prod(s)) for s in shapes.values()), dtype=np.float32)
@@ -83,102 +106,113 @@ class Model:
             self.part[name] = self.flat[at : at + width].reshape(shape)
             at += width
         draw = np.random.default_rng(seed)
-        for name, scale in (("enter", 0.3), ("keep", 0.3), ("class_w", 0.05), ("word_w", 0.05)):
-            self.part[name][...] = draw.normal(0, scale, self.part[name].shape)
+        for name, scale in (("enter", 0.3), ("keep", 0.3), ("kind_w", 0.05), ("class_w", 0.05), ("word_w", 0.05)):
+            part = self.part[name].T if name == "enter" else self.part[name]
+            part[...] = draw.normal(0, scale, part.shape)
         self.part["bias"][:hidden] = -1.0
         # Before training the model gives the unigram probabilities.
         self.part["word_b"][...] = np.log(counts + 1.0)
-        mass = [np.log((counts[a:b] + 1.0).sum()) for a, b in zip(layout.first[:-1], layout.first[1:])]
-        self.part["class_b"][...] = np.array([*mass, np.log(others[0] + 1.0), np.log(others[1] + 1.0)])
-        self.part["class_b"][...] -= self.part["class_b"].max()
-
-    def entry(self) -> np.ndarray:
-        """What each token brings to the gates."""
-        return self.part["enter"] + self.part["bias"]
-
-    def _halved(self, weights: np.ndarray) -> np.ndarray:
-        """A copy with the gates' columns halved, as the tanh form of a sigmoid asks for."""
-        out = weights.copy()
-        out[:, : 2 * self.hidden] *= np.float32(0.5)
+        mass = np.array([(counts[a:b] + 1.0).sum() for a, b in zip(layout.first[:-1], layout.first[1:])])
+        self.part["class_b"][...] = np.log(mass)
+        above = [mass[a:b].sum() for a, b in zip(layout.first_class[:-1], layout.first_class[1:])]
+        self.part["kind_b"][...] = np.log(np.array([*above, others[0] + 1.0, others[1] + 1.0]))
+        self.part["kind_b"][...] -= self.part["kind_b"].max()
+
+    def _entry(self) -> np.ndarray:
+        """What each token brings to the gates, a row for each number of a gate.
+
+        Gates are halved, here and in `_kept`, as the tanh form of a sigmoid asks for.
+        """
+        out = self.part["enter"] + self.part["bias"][:, None]
+        out[: 2 * self.hidden] *= np.float32(0.5)
+        return out
+
+    def _kept(self) -> np.ndarray:
+        """What the state brings to the gates."""
+        out = self.part["keep"].T.copy()
+        out[: 2 * self.hidden] *= np.float32(0.5)
         return out
 
     def _run(self, entry: np.ndarray, tokens: np.ndarray, state: np.ndarray) -> np.ndarray:
         """States before each of the steps of `tokens` (steps, rows), then the one after the last.
 
-        `entry` has its gates halved. Inside, rows are the last axis, so that a gate's numbers lie together.
+        Rows are the last axis, of `state` as well, so that a gate's numbers lie together.
         """
         h, half, one = self.hidden, np.float32(0.5), np.float32(1.0)
-        weights = np.ascontiguousarray(self._halved(self.part["keep"]).T)
-        entered = np.ascontiguousarray(entry[tokens].transpose(0, 2, 1))
-        states = np.empty((len(tokens) + 1, h, len(state)), dtype=np.float32)
-        states[0] = state.T
-        for t in range(len(tokens)):
-            old, gates = states[t], entered[t, : 2 * h]
-            held = weights @ old
-            gates += held[: 2 * h]
+        weights = self._kept()
+        states = np.empty((len(tokens) + 1, *state.shape), dtype=np.float32)
+        states[0] = state
+        entered, held = np.empty((2, 3 * h, state.shape[1]), dtype=np.float32)
+        gates, given, fresh = entered[: 2 * h], held[: 2 * h], held[2 * h :]
+        for step, old, new in zip(tokens, states, states[1:]):
+            np.take(entry, step, axis=1, out=entered, mode="clip")
+            np.matmul(weights, old, out=held)
+            gates += given
             np.tanh(gates, out=gates)
             gates += one
             gates *= half
-            fresh = held[2 * h :]
             fresh *= gates[h:]
-            fresh += entered[t, 2 * h :]
+            fresh += entered[2 * h :]
             np.tanh(fresh, out=fresh)
             fresh -= old
             fresh *= gates[:h]
-            np.add(fresh, old, out=states[t + 1])
-        return np.ascontiguousarray(states.transpose(0, 2, 1))
+            np.add(fresh, old, out=new)
+        return states
+
+    def _lines(self, states: np.ndarray, memory: dict) -> np.ndarray:
+        """States (steps, hidden, rows) as one line each, step by step, with a one for the bias at the end."""
+        steps, h, rows = states.shape
+        out = _room(memory, "lines", steps, rows, h + 1)
+        out[:, :, :h] = states.transpose(0, 2, 1)
+        out[:, :, h] = 1
+        return out.reshape(-1, h + 1)
 
-    def _targets(self, states: np.ndarray, tokens: np.ndarray, grads: dict | None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Log probability of each token given the state before it, and the gradient on the states.
+    def _targets(self, lines: np.ndarray, place: np.ndarray, tokens: np.ndarray, grads: dict | None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Log probability of each token given the state before it, `lines[place]`, and the gradient on the states.
 
         Tokens are put in order of their classes, so that each class works on rows that lie together.
         """
         layout, h = self.layout, self.hidden
-        order = np.argsort(layout.class_of[tokens].astype(np.uint16 if layout.classes < 1 << 16 else np.int64), kind="stable")
-        target = tokens[order]
-        class_of = layout.class_of[target]
-        known = np.ones((len(tokens), h + 1), dtype=np.float32)
-        known[:, :h] = states[order]
-        found = np.empty(len(tokens), dtype=np.float32)
-        back = None if grads is None else np.empty((len(tokens), h), dtype=np.float32)
-        classes = _shifted(self.part["class_w"], self.part["class_b"], np.zeros(1, dtype=np.int64)).T.copy()
-        # Blocks whose logits stay in a core's cache.
-        for low in range(0, len(tokens), _BLOCK):
-            block, own = known[low : low + _BLOCK], class_of[low : low + _BLOCK]
-            logits = block @ classes
-            found[low : low + _BLOCK], total = _log_softmax(logits, own)
-            if grads is not None:
-                logits *= (np.float32(-1) / total)[:, None]
-                logits[np.arange(len(own)), own] += 1
-                change = logits.T @ block
-                grads["class_w"] += change[:, :h]
-                grads["class_b"] += change[:, h]
-                np.matmul(logits, self.part["class_w"], out=back[low : low + _BLOCK])
-        cuts = np.searchsorted(class_of, np.arange(layout.classes - 1)).tolist()
-        words = _shifted(self.part["word_w"], self.part["word_b"], layout.first[:-1])
-        first = layout.first.tolist()
-        for c in range(layout.classes - 2):
-            low, high, a, b = cuts[c], cuts[c + 1], first[c], first[c + 1]
-            if low == high or b - a < 2:
-                continue
-            own = known[low:high]
-            scores = own @ words[a:b].T
-            pick = target[low:high] - a
-            inside, total = _log_softmax(scores, pick)
-            found[low:high] += inside
-            if grads is not None:
-                scores *= (np.float32(-1) / total)[:, None]
-                scores[np.arange(high - low), pick] += 1
-                change = scores.T @ own
-                grads["word_w"][a:b] += change[:, :h]
-                grads["word_b"][a:b] += change[:, h]
-                back[low:high] += scores @ self.part["word_w"][a:b]
+        narrow = np.uint16 if layout.classes < 1 << 15 else np.int64
+        order = np.argsort(layout.class_of.astype(narrow).take(tokens), kind="stable")
+        target = tokens.take(order)
+        class_of = layout.class_of.take(target)
+        kind_of = layout.kind_of.take(class_of)
+        place = place.take(order)
+        known = lines.take(place, axis=0)
+        found = np.zeros(len(tokens), dtype=np.float32)
+        back = None if grads is None else np.zeros((len(tokens), h), dtype=np.float32)
+        ones = np.ones(layout.widest, dtype=np.float32)
+        levels = (
+            ("kind", np.array([0, layout.kinds]), np.array([0, len(tokens)]), kind_of),
+            ("class", layout.first_class, np.searchsorted(kind_of, np.arange(layout.kinds - 1)), class_of),
+            ("word", layout.first, np.searchsorted(class_of, np.arange(layout.classes + 1)), target),
+        )
+        for name, first, cuts, chosen in levels:
+            w, b = name + "_w", name + "_b"
+            weights = _shifted(self.part[w], self.part[b], first[:-1])
+            for low, high, start, end in zip(cuts.tolist(), cuts[1:].tolist(), first.tolist(), first[1:].tolist()):
+                # Blocks whose logits stay in a core's cache.
+                block = max(1, _LOGITS // (end - start)) if end - start > 1 else 0
+                for at in range(low, high, block) if block else ():
+                    part = slice(at, min(at + block, high))
+                    own, pick = known[part], chosen[part] - start
+                    logits = own @ weights[start:end].T
+                    inside, total, at_pick = _log_softmax(logits, pick, ones)
+                    found[part] += inside
+                    if grads is not None:
+                        logits *= (np.float32(-1) / total)[:, None]
+                        logits.reshape(-1)[at_pick] += 1
+                        change = logits.T @ own
+                        grads[w][start:end] += change[:, :h]
+                        grads[b][start:end] += change[:, h]
+                        back[part] += logits @ self.part[w][start:end]
         out = np.empty_like(found)
         out[order] = found
         if back is None:
             return out, None
-        spread = np.empty_like(back)
-        spread[order] = back
+        spread = np.zeros((len(lines), h), dtype=np.float32)
+        spread[place] = back
         return out, spread
 
     def score(self, texts: list[np.ndarray], start: int) -> np.ndarray:
@@ -188,42 +222,41 @@ class Model:
         """
         lengths = np.array([len(t) for t in texts], dtype=np.int64)
         order = np.argsort(-lengths, kind="stable")
+        ranked = lengths[order]
         sums = np.zeros(len(texts))
-        state = np.zeros((len(texts), self.hidden), dtype=np.float32)
-        last = np.full(len(texts), start, dtype=np.int64)
-        entry = self._halved(self.entry())
+        state = np.zeros((self.hidden, len(texts)), dtype=np.float32)
+        # Texts end to end, each after the token that is read first.
+        ahead = np.array([start], dtype=np.int64)
+        stream = np.concatenate([ahead, *(part for i in order.tolist() for part in (texts[i], ahead))])
+        first = np.cumsum(ranked + 1) - ranked - 1
+        entry = self._entry()
         # Steps of long texts are few rows each: their states wait until a good number can be scored together.
-        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        held = at = 0
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        held = lines = at = 0
 
         def settle() -> None:
             if waiting:
-                states, tokens, owner = (np.concatenate(part) for part in zip(*waiting))
-                found, _ = self._targets(states, tokens, None)
-                np.add.at(sums, owner, found.astype(np.float64))
+                found, _ = self._targets(*(np.concatenate(part) for part in list(zip(*waiting))[:3]), None)
+                np.add.at(sums, np.concatenate([owner for *_, owner in waiting]), found.astype(np.float64))
                 waiting.clear()
 
         while True:
-            live = int(np.searchsorted(-lengths[order], -at, side="left"))
+            live = int(np.searchsorted(-ranked, -at, side="left"))
             if not live:
                 settle()
                 return sums
-            rows = order[:live]
             # Few rows go many steps at once, many rows few, so that what a window holds stays in a core's cache.
-            steps = min(max(1, _HELD // live), int(lengths[rows[0]]) - at)
-            grid = np.full((steps, live), start, dtype=np.int64)
-            inside = np.arange(at, at + steps)[:, None] < lengths[rows]
-            for k, row in enumerate(rows.tolist()):
-                piece = texts[row][at : at + steps]
-                grid[: len(piece), k] = piece
-            before = np.concatenate([last[None, :live], grid[:-1]])
-            states = self._run(entry, before, state[:live])
-            waiting.append((states[1:][inside], grid[inside], np.broadcast_to(rows, grid.shape)[inside]))
-            held += int(inside.sum())
-            if held >= TOGETHER:
+            steps = min(max(1, _HELD // live), int(ranked[0]) - at)
+            grid = stream.take(first[:live] + np.arange(at, at + steps + 1)[:, None], mode="clip")
+            inside = np.flatnonzero(np.arange(at, at + steps)[:, None] < ranked[:live])
+            states = self._run(entry, grid[:-1], state[:, :live])
+            waiting.append((self._lines(states[1:], {}), inside + lines, grid[1:].take(inside), order.take(inside % live)))
+            lines += steps * live
+            held += len(inside)
+            if held >= TOGETHER or lines >= 2 * TOGETHER:
                 settle()
-                held = 0
-            state, last = states[-1], grid[-1]
+                held = lines = 0
+            state = states[-1]
             at += steps
 
     def train(self, texts: list[np.ndarray], start: int, rate: float, memory: dict) -> None:
@@ -258,7 +291,7 @@ class Model:
         # A text's first token starts from an empty state.
         clear = fresh[:-1]
         state = state * ~clear[0][:, None]
-        states, tape = self._run_cleared(read, state, clear)
+        states, tape = self._run_cleared(read, state, clear, memory)
         if "grads" not in memory:
             memory["grads"] = np.zeros_like(self.flat)
         flat = memory["grads"]
@@ -267,23 +300,22 @@ class Model:
         for name, part in self.part.items():
             grads[name] = flat[at : at + part.size].reshape(part.shape)
             at += part.size
-        after = np.ascontiguousarray(states[1:].transpose(0, 2, 1))
-        _, back = self._targets(after[valid], want[valid], grads)
-        spread = np.zeros(after.shape, dtype=np.float32)
-        spread[valid] = back
-        self._backward(read, states, clear, tape, spread, grads)
-        self._step(flat / np.float32(max(1, int(valid.sum()))), rate, memory)
+        place = np.flatnonzero(valid)
+        _, spread = self._targets(self._lines(states[1:], memory), place, want.take(place), grads)
+        self._backward(read, states, clear, tape, spread, grads, memory)
+        flat *= np.float32(1 / max(1, len(place)))
+        self._step(flat, rate, memory)
         return states[-1].T.copy()
 
-    def _run_cleared(self, tokens: np.ndarray, state: np.ndarray, clear: np.ndarray) -> tuple:
+    def _run_cleared(self, tokens: np.ndarray, state: np.ndarray, clear: np.ndarray, memory: dict) -> tuple:
         """States (steps + 1, hidden, rows), and what the way back needs: gates and new values, what the state gave."""
         h, half, one = self.hidden, np.float32(0.5), np.float32(1.0)
-        weights = np.ascontiguousarray(self._halved(self.part["keep"]).T)
-        entered = np.ascontiguousarray(self._halved(self.entry())[tokens].transpose(0, 2, 1))
-        given = np.empty_like(entered)
-        states = np.empty((len(tokens) + 1, h, len(state)), dtype=np.float32)
+        weights, entry = self._kept(), self._entry()
+        entered, given = _room(memory, "tape", 2, len(tokens), 3 * h, len(state))
+        states = _room(memory, "states", len(tokens) + 1, h, len(state))
         states[0] = state.T
         for t in range(len(tokens)):
+            np.take(entry, tokens[t], axis=1, out=entered[t], mode="clip")
             if t and clear[t].any():
                 states[t][:, clear[t]] = 0
             old, gates, fresh = states[t], entered[t, : 2 * h], entered[t, 2 * h :]
@@ -299,11 +331,12 @@ class Model:
             np.add(step, old, out=states[t + 1])
         return states, (entered, given)
 
-    def _backward(self, tokens, states, clear, tape, spread, grads) -> None:
+    def _backward(self, tokens, states, clear, tape, spread, grads, memory) -> None:
         h, steps, one = self.hidden, len(tokens), np.float32(1.0)
         entered, given = tape
-        spread = np.ascontiguousarray(spread.transpose(0, 2, 1))
-        into, through = np.empty_like(entered), np.empty_like(entered)
+        into, through = _room(memory, "back", 2, *entered.shape)
+        spread, lines = _room(memory, "spread", *states[1:].shape), spread
+        spread[...] = lines.reshape(steps, -1, h).transpose(0, 2, 1)
         pulled = np.zeros_like(states[0])
         for t in range(steps - 1, -1, -1):
             keep, reset, fresh = entered[t, :h], entered[t, h : 2 * h], entered[t, 2 * h :]
@@ -329,28 +362,29 @@ class Model:
                 pulled[:, clear[t]] = 0
         grads["keep"] += np.matmul(states[:-1], through.transpose(0, 2, 1)).sum(axis=0)
         grads["bias"] += into.sum(axis=(0, 2))
-        flat, columns = tokens.reshape(-1), into.transpose(1, 0, 2).reshape(3 * h, -1)
-        seen = np.zeros(len(self.part["enter"]), dtype=bool)
-        seen[flat] = True
-        used, place = np.flatnonzero(seen), (np.cumsum(seen) - 1)[flat]
-        sums = np.stack([np.bincount(place, weights=column, minlength=len(used)) for column in columns], axis=1)
-        grads["enter"][used] += sums.astype(np.float32)
+        flat, weights = tokens.reshape(-1), np.empty(tokens.shape)
+        for number, sums in enumerate(grads["enter"]):
+            weights[...] = into[:, number]
+            sums += np.bincount(flat, weights.reshape(-1), len(sums))
 
     def _step(self, grad: np.ndarray, rate: float, memory: dict) -> None:
-        """Adam, upwards."""
+        """Adam, upwards, piece by piece so that what is worked on stays in a core's cache."""
         if "mean" not in memory:
             memory["mean"], memory["square"], memory["count"] = np.zeros_like(grad), np.zeros_like(grad), 0
         memory["count"] += 1
-        memory["mean"] *= np.float32(0.9)
-        memory["mean"] += np.float32(0.1) * grad
-        grad *= grad
-        grad *= np.float32(0.01)
-        memory["square"] *= np.float32(0.99)
-        memory["square"] += grad
         n = memory["count"]
-        np.multiply(memory["square"], np.float32(1 / (1 - 0.99**n)), out=grad)
-        np.sqrt(grad, out=grad)
-        grad += np.float32(1e-8)
-        np.divide(memory["mean"], grad, out=grad)
-        grad *= np.float32(rate / (1 - 0.9**n))
-        self.flat += grad
+        # Means are kept as sums: the factors that make means of them are in `back` and `pace`.
+        back = (0.01 / (1 - 0.99**n)) ** 0.5
+        pace = 0.1 * rate / (1 - 0.9**n) / back
+        for low in range(0, len(grad), _PIECE):
+            own, mean, square, flat = (a[low : low + _PIECE] for a in (grad, memory["mean"], memory["square"], self.flat))
+            mean *= np.float32(0.9)
+            mean += own
+            own *= own
+            square *= np.float32(0.99)
+            square += own
+            np.sqrt(square, out=own)
+            own += np.float32(1e-8 / back)
+            np.divide(mean, own, out=own)
+            own *= np.float32(pace)
+            flat += own
