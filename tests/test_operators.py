@@ -415,6 +415,16 @@ def test_calls_of_a_common_name_meet_in_blocks_and_once(spark, monkeypatch):
     assert rows(found, "source", "target") == sorted(want + [(c, "m1.C.far") for c in callers])
 
 
+def test_pairs_of_a_common_name_are_unrolled_from_lists(spark, monkeypatch):
+    monkeypatch.setattr(mining, "NAME_BLOCK", 3)
+    callers = spark.createDataFrame([(f"c{i}", name) for i in range(10) for name in ("far", "near")], "caller string, name string")
+    symbols = spark.createDataFrame([("far", f"s{i}.far") for i in range(8)] + [("none", "s.none")], "name string, qualified_name string")
+    pairs = mining._pairs_by_name(callers, symbols)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(targets") < plan.index("Join")  # the join makes no row for a pair
+    assert rows(pairs, "caller", "target") == sorted((f"c{i}", f"s{k}.far") for i in range(10) for k in range(8))
+
+
 def test_rounds_of_a_walk_send_no_table_through_the_driver(spark, monkeypatch):
     plans = []
     cut = graph_walk.cut_lineage
