@@ -377,6 +377,41 @@ def test_impacted_modules_leave_unknown_symbols_out(spark):
     assert [m for c, m in got if c == "z0"] == ["pkg/x.py", "tests/t0.py"]
 
 
+def test_a_block_of_changes_gets_a_list_of_neighbours_once(spark, monkeypatch):
+    roots, edges, _ = _fans(spark)
+    written = []
+    cut = graph_walk.cut_lineage
+
+    def kept(df):
+        written.append(cut(df))
+        return written[-1]
+
+    monkeypatch.setattr(graph_walk, "cut_lineage", kept)
+    graph_walk.impact(roots, edges)
+    sent = next(df for df in written if "places" in df.columns).where("distance = 2")
+    assert 0 < sent.count() < sent.agg(F.sum(F.size("places"))).first()[0]
+    blocks = next(df for df in written if df.columns[:2] == ["change_ids", "place"])
+    ids = [r["change_id"] for r in blocks.orderBy("change_ids", "place").collect()]
+    assert ids == sorted(ids, key=lambda n: (n[0], int(n[1:] or 0)))
+
+
+def test_slices_of_a_block_change_no_report(spark, monkeypatch):
+    roots, edges, symbols = _fans(spark)
+    owners = graph_walk.module_owners(symbols.where("qualified_name <> 'x5'"))
+    columns = ("change_id", "impacted_symbols", "max_distance", "impacted_modules")
+
+    def results():
+        impacted = graph_walk.impact(roots, edges.union(edges), owners=owners)
+        return rows(graph_walk.impact_report(roots, impacted), *columns), rows(graph_walk.impacted_modules(impacted), "change_id", "module")
+
+    whole = results()
+    monkeypatch.setattr(graph_walk, "PAIRS_OF_CHANGE", 20)
+    monkeypatch.setattr(graph_walk, "ROOTS_PER_BLOCK", 8)
+    assert results() == whole
+    impacted = graph_walk.impact(roots, edges, owners=owners)
+    assert impacted.select(F.expr("change_ids % 4294967296")).distinct().count() > 1
+
+
 def test_impacted_tests_follow_sets_as_far_as_the_pairs_reach(spark, monkeypatch):
     roots, edges, symbols = _fans(spark)
     pairs = edges.select("source", "target").collect()
