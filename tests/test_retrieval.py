@@ -129,6 +129,21 @@ def test_pairs_are_scored_where_their_symbol_is(spark, parts):
     assert scored.count() == every.select("query_id", "symbol_id").distinct().count()
 
 
+def test_candidates_are_ranked_where_their_names_are(parts, monkeypatch):
+    symbols, queries, found = parts
+    monkeypatch.setattr(postings, "ROWS_PER_TASK", 50)  # many parts
+    ranked = retrieval.rank_candidates(queries, symbols, found)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(part" in plan and "hashpartitioning(query_id" not in plan  # no pair is shuffled
+    scored = postings.score_symbols(queries, symbols, found).where("score >= 1")
+    names = {}
+    for row in retrieval.best_per_name(scored, ["query_id"]).collect():
+        names.setdefault(row["query_id"], []).append((-row["score"], row["qualified_name"].encode(), row["symbol_id"], row["reasons"]))
+    want = {(q, n.decode(), s, i + 1, tuple(r)) for q, listed in names.items() for i, (_, n, s, r) in enumerate(sorted(listed))}
+    got = [(r["query_id"], r["qualified_name"], r["symbol_id"], r["rank"], tuple(r["reasons"])) for r in ranked.collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_first_symbols_of_modules_need_no_row_for_each_symbol(spark, parts):
     symbols, queries, found = parts
     wanted = queries.select("query_id").crossJoin(symbols.select("module").distinct())
